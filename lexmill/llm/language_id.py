@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import WordCache, slices, split_slice, sum_by_text, texts_of, words_of
 
 ORDER = 4
-DOCS_PER_LANG = 1500
+DOCS_PER_LANG = 1000
 UNKNOWN = "und"
 
 
@@ -41,16 +41,6 @@ def _stream(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat, at - start
 
 
-def _grams(flat: np.ndarray, order: int) -> list[np.ndarray]:
-    """For k = 0..order, each byte with the k bytes before it, oldest in the highest bits."""
-    grams = [flat]
-    for k in range(1, order + 1):
-        shifted = np.zeros_like(flat)
-        shifted[k:] = flat[:-k] << np.uint64(8 * k)
-        grams.append(grams[-1] | shifted)
-    return grams
-
-
 @dataclass
 class Level:
     """Contexts of one length. grams: context and symbol, sorted; the other arrays have a column per language."""
@@ -71,10 +61,12 @@ class ContextTrees:
         self.langs, self.order, self.levels = langs, order, []
         flat, age = _stream(words)
         owner = np.cumsum(np.concatenate([[0], (flat[:-1] == 32).astype(np.int64)])) - 1
-        grams = _grams(flat, order)
+        grams = flat.copy()
         for k in range(order + 1):
+            if k:  # each byte with the k bytes before it, oldest in the highest bits
+                grams[k:] |= flat[:-k] << np.uint64(8 * k)
             at = np.flatnonzero((age >= max(k, 1)) & (owner < len(words)))
-            keys, inverse = np.unique(grams[k][at], return_inverse=True)
+            keys, inverse = np.unique(grams[at], return_inverse=True)
             which = owner[at]
             counts = np.bincount(inverse * len(langs) + lang[which], weights=weight[which], minlength=len(keys) * len(langs)).reshape(-1, len(langs))
             contexts, node = np.unique(keys >> np.uint64(8), return_inverse=True)
