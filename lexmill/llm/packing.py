@@ -16,6 +16,7 @@ import os
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,13 @@ ROUNDS_EACH = 2
 class ChunkTokens:
     """Ids of blank-free chunks, each tokenised once per worker.
 
-    The tokenizer never joins text across white space, so a document's ids are
-    those of its chunks, one after the other.
+    The tokenizer never joins text across white space, lower-cases it, and parts
+    a letter from a stop or comma after it, so a document's ids are those of its
+    lower-cased chunks, one after the other, and a chunk's may be those of its
+    stem and of its last character.
     """
 
-    def __init__(self, tokenizer_file: str, limit: int = 300_000) -> None:
+    def __init__(self, tokenizer_file: str, limit: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -58,34 +61,48 @@ class ChunkTokens:
         more[: len(array)] = array
         return more
 
-    def _add(self, chunks: list[bytes], known: int) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(sizes.sum())
-        self.ids = self._room(self.ids, self.n_ids + total)
-        self.begin, self.size = self._room(self.begin, known + len(found)), self._room(self.size, known + len(found))
-        self.ids[self.n_ids : self.n_ids + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
-        self.begin[known : known + len(found)] = self.n_ids + np.cumsum(sizes) - sizes
-        self.size[known : known + len(found)] = sizes
-        self.n_ids += total
+    def _add(self, known: int) -> None:
+        """Ids of the chunks numbered from ``known`` on, and of stems that have no number yet."""
+        keys = reversed(self.index)
+        new = [next(keys) for _ in range(len(self.index) - known)][::-1]
+        split = [(self.index[c], self.index[c[:-1]], self.index[c[-1:]]) for c in new if c[-1:] in (b".", b",") and c[-2:-1].isalpha()]
+        keys = reversed(self.index)
+        late = [next(keys) for _ in range(len(self.index) - known - len(new))][::-1]
+        parted = {n for n, _, _ in split}
+        plain = [(n, c) for n, c in enumerate(chain(new, late), known) if n not in parted]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for _, c in plain], add_special_tokens=False)]
+        numbers, sizes = np.array([n for n, _ in plain], np.int64), np.fromiter(map(len, found), np.int64, len(found))
+        self.begin, self.size = self._room(self.begin, len(self.index)), self._room(self.size, len(self.index))
+        self._put(numbers, sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+        if split:
+            whole, stem, last = np.array(split, np.int64).T
+            both = np.stack([stem, last], axis=1).ravel()
+            self._put(whole, self.size[stem] + self.size[last], self._ids(both))
+
+    def _put(self, numbers: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.ids = self._room(self.ids, self.n_ids + len(ids))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.begin[numbers], self.size[numbers] = self.n_ids + np.cumsum(sizes) - sizes, sizes
+        self.n_ids += len(ids)
+
+    def _ids(self, numbers: np.ndarray) -> np.ndarray:
+        sizes = self.size[numbers]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.begin[numbers] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, without an end."""
-        parts = [t.split() for t in texts]
+        # A special token's string is not lower-cased into being.
+        parts = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.index) > self.limit:
             self.forget()
         known = len(self.index)
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        at = np.fromiter((self.index[c] for p in parts for c in p), np.int64, int(counts.sum()))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
         if len(self.index) > known:
-            keys = reversed(self.index)
-            self._add([next(keys) for _ in range(len(self.index) - known)][::-1], known)
-        sizes = self.size[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.begin[at] - (ends - sizes), sizes) + np.arange(total)]
-        cut = np.concatenate([[0], ends])[np.cumsum(counts)]
-        return np.split(ids, cut[:-1]) if len(cut) else []
+            self._add(known)
+        cut = np.concatenate([[0], np.cumsum(self.size[at])])[np.cumsum(counts)]
+        return np.split(self._ids(at), cut[:-1]) if len(cut) else []
 
 
 _tokens: dict[str, ChunkTokens] = {}
