@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import language_id, lm_scoring, packing, quality_rules, substring_dedup, top_k, url_filter
+from lexmill.llm import language_id, lm_scoring, packing, quality_classifier, quality_rules, substring_dedup, top_k, url_filter
 from lexmill.llm.common import remainder
 
 
@@ -30,6 +30,11 @@ def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.train_and_score(docs, public_tokenizers.path("piece_bpe_32k.model"), ~F.col("held_out"), ["doc_id", "held_out"])
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 3) == 1)
+    return quality_classifier.train_and_score(docs, _read(spark, sf_dir, "labels"), ~F.col("held_out"), ["doc_id", "held_out"])
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_read(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_lattice_lm": op3_lattice_lm,
+        "op4_quality_classifier": op4_quality_classifier,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_url_filter": op7_url_filter,
         "op8_exact_top_k": op8_exact_top_k,
