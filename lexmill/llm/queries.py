@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import language_id, lm_scoring, packing, quality_classifier, quality_rules, substring_dedup, top_k, url_filter
+from lexmill.llm import jaccard_join, language_id, lm_scoring, packing, quality_classifier, quality_rules, substring_dedup, top_k, url_filter
 from lexmill.llm.common import remainder
 
 
@@ -39,6 +39,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_read(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(_read(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_read(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_substring_dedup": op6_substring_dedup,
         "op7_url_filter": op7_url_filter,
         "op8_exact_top_k": op8_exact_top_k,
+        "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_quality_rules": op10_quality_rules,
     }
 
