@@ -77,7 +77,7 @@ class Lattice:
         plain = flat.astype(np.uint64) + np.uint64(1)
         power = np.uint64(1)
         with np.errstate(over="ignore"):
-            for size in range(1, LONGEST + 1):
+            for size in range(1, min(LONGEST, len(flat)) + 1):
                 keys[size - 1 :] += plain[: len(flat) - size + 1] * power
                 power = power * _BASE
                 if size not in self.tables:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import jaccard_join, language_id, lm_scoring, packing, quality_classifier, quality_rules, substring_dedup, top_k, url_filter
+from lexmill.llm import jaccard_join, language_id, lm_scoring, packing, piece_sampling, quality_classifier, quality_rules, substring_dedup, top_k, url_filter
 from lexmill.llm.common import remainder
 
 
@@ -35,6 +35,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.train_and_score(docs, _read(spark, sf_dir, "labels"), ~F.col("held_out"), ["doc_id", "held_out"])
 
 
+def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.encode(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_read(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_lattice_lm": op3_lattice_lm,
         "op4_quality_classifier": op4_quality_classifier,
+        "op5_sampled_pieces": op5_sampled_pieces,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_url_filter": op7_url_filter,
         "op8_exact_top_k": op8_exact_top_k,
