@@ -203,3 +203,13 @@ def identify(docs: DataFrame, trees: ContextTrees, text: str = "text", keep: lis
 def train_and_identify(docs: DataFrame, learn: Column | None = None, keep: list[str] | None = None, **options: object) -> DataFrame:
     """Learns from the rows for which ``learn`` holds (all, if none), then identifies every row."""
     return identify(docs, train(docs if learn is None else docs.where(learn), **options), keep=keep)
+
+
+def keep_documents(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", least: float = 0.5, most_bits: float = 6.5, **options: object) -> DataFrame:
+    """The documents with a language: at least ``least`` likely, and coded in no more than ``most_bits`` a byte. Columns stay as they were."""
+    safe = [f"k{i}" for i in range(len(docs.columns))]
+    names = dict(zip(docs.columns, safe, strict=True))
+    renamed = docs.toDF(*safe)
+    found = identify(renamed, train(renamed, names[text], names[lang], names[key], **options), names[text])
+    fine = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least) & (F.col("bits_per_byte") <= most_bits)
+    return found.where(fine).select(*safe).toDF(*docs.columns)
