@@ -73,13 +73,14 @@ def _unplanes(data: memoryview, n: int, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _encode(ids: np.ndarray, marks: np.ndarray, owner: np.ndarray, start: np.ndarray, hashes: np.ndarray | None, width: int) -> bytes:
-    """Windows in order of their documents: ids and text hashes of the documents, then starts and hashes."""
-    first = np.flatnonzero(np.diff(owner, prepend=-1))
-    docs = owner[first]
-    sizes = np.diff(np.append(first, len(owner)))
-    head = np.array([len(docs), len(owner)], "<u4").tobytes()
-    body = _planes(ids[docs].view(np.uint64), 8) + _planes(marks[docs], 4) + _planes(sizes, 4) + _planes(start, 4)
+def _encode(ids: np.ndarray, marks: np.ndarray, start: np.ndarray, hashes: np.ndarray | None, width: int) -> bytes:
+    """Windows in order of their documents: ids and text hashes once a document, then starts and hashes."""
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])
+    first = np.flatnonzero(new)
+    sizes = np.diff(np.append(first, len(ids)))
+    head = np.array([len(first), len(ids)], "<u4").tobytes()
+    body = _planes(ids[first].view(np.uint64), 8) + _planes(marks[first], 4) + _planes(sizes, 4) + _planes(start, 4)
     return head + body + (_planes(hashes, width) if hashes is not None else b"")
 
 
@@ -137,12 +138,12 @@ class _Block:
         first[by_hash] = leads
         bucket = (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
         if repeat.any():
-            yield int(bucket[np.argmax(repeat)]), 1, _encode(ids, marks, owner[repeat], start[repeat], None, self.width)
+            yield int(bucket[np.argmax(repeat)]), 1, _encode(ids[owner[repeat]], marks[owner[repeat]], start[repeat], None, self.width)
         kept = np.flatnonzero(first)
         kept = kept[np.argsort(bucket[kept].astype(np.uint32), kind="stable")]
         numbers, begins = np.unique(bucket[kept], return_index=True)
         for number, own in zip(numbers.tolist(), np.split(kept, begins[1:]), strict=True):
-            yield number, 0, _encode(ids, marks, owner[own], start[own], hashes[own], self.width)
+            yield number, 0, _encode(ids[owner[own]], marks[owner[own]], start[own], hashes[own], self.width)
 
 
 def _by_document(ids: np.ndarray, marks: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
@@ -204,12 +205,21 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "text",
             lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             later = (ids != ids[lead]) | (marks != marks[lead]) | (start != start[lead])
             out.append((ids[later], marks[later], start[later]))
-        if not sum(len(x[0]) for x in out):
-            return pa.table({"__id": pa.array([], pa.int64()), "__mark": pa.array([], pa.int64()), "starts": pa.array([], pa.binary())})
-        return pa.Table.from_batches([_by_document(*(np.concatenate(x) for x in zip(*out, strict=True)))])
+        ids, marks, start = (np.concatenate(x) for x in zip(*out, strict=True))
+        group = (mix64(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(ids), np.int64)
+        order = np.lexsort((start, marks, ids, group))
+        ids, marks, start, group = ids[order], marks[order], start[order], group[order]
+        numbers, begins = np.unique(group, return_index=True)
+        payloads = [_encode(i, m, s, None, width) for i, m, s in zip(*(np.split(x, begins[1:]) for x in (ids, marks, start)), strict=True)] if len(ids) else []
+        return pa.table({"group": pa.array(numbers, pa.int32()), "payload": pa.array(payloads, pa.binary())})
+
+    def gather(table: pa.Table) -> pa.Table:
+        parts = [_decode(p, width)[:3] for p in table.column("payload").to_pylist()]
+        return pa.Table.from_batches([_by_document(*(np.concatenate(x) for x in zip(*parts, strict=True)))])
 
     dealt = keyed.mapInArrow(deal, "bucket int, kind int, payload binary")
-    return dealt.groupBy("bucket").applyInArrow(compare, "__id long, __mark long, starts binary")
+    repeats = dealt.groupBy("bucket").applyInArrow(compare, "group int, payload binary")
+    return repeats.groupBy("group").applyInArrow(gather, "__id long, __mark long, starts binary")
 
 
 def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
