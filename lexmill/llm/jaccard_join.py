@@ -81,24 +81,24 @@ def gram_sets(texts: list[bytes], cache: WordCache, n: int) -> list[np.ndarray]:
 
 
 def _signed(docs: DataFrame, text: str, key: str, n: int) -> DataFrame:
-    """id, f1 and f2 (a fingerprint of the n-gram set), sig; without documents that have no word."""
+    """id, mark (a hash of the text), f1 and f2 (a fingerprint of the n-gram set), sig; without documents that have no word."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache(word_hashes)
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), texts_of(batch.column(1))
+            ids, marks, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))
             for a, b in slices(len(texts), texts):
                 rows = []
-                for own, grams in zip(ids[a:b].tolist(), gram_sets(texts[a:b], cache, n), strict=True):
+                for own, mark, grams in zip(ids[a:b], marks[a:b], gram_sets(texts[a:b], cache, n), strict=True):
                     if len(grams):
                         digest = xxhash.xxh3_128_digest(grams.tobytes())
-                        rows.append((own, *np.frombuffer(digest, "<i8").tolist(), signature(grams).tobytes()))
+                        rows.append((own, mark, *np.frombuffer(digest, "<i8").tolist(), signature(grams).tobytes()))
                 if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "f1", "f2", "sig"])
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "mark", "f1", "f2", "sig"])
 
-    known = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long"), F.col(text))
-    return known.mapInArrow(sign, "id long, f1 long, f2 long, sig binary")
+    known = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long"), F.xxhash64(F.col(text)), F.col(text))
+    return known.mapInArrow(sign, "id long, mark long, f1 long, f2 long, sig binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -211,15 +211,15 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(groups: DataFrame, threshold: float, n: int) -> DataFrame:
-    """rep, links (from this task's pairs), and an edge to another representative, if there is one."""
+    """rep, mark, links (from this task's pairs), and an edge to another representative, if there is one."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache(word_hashes)
         for table, begins in _runs(batches):
-            reps, own, copies = (table.column(i).to_numpy() for i in (1, 2, 3))
-            texts = texts_of(table.column(4))
+            reps, own, copies, marks = (table.column(i).to_numpy() for i in (1, 2, 3, 4))
+            texts = texts_of(table.column(5))
             ends = np.append(begins[1:], len(reps))
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
             for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
                 sets: list[np.ndarray] = []
                 for c, d in slices(b - a, texts[a:b]):
@@ -232,11 +232,11 @@ def _verify(groups: DataFrame, threshold: float, n: int) -> DataFrame:
                 to = np.full(b - a, -1)
                 for x, y in _forest(near):
                     to[y] = x
-                out.append((reps[a:b], near @ copies[a:b], np.where(to < 0, reps[a:b], reps[a + np.maximum(to, 0)])))
+                out.append((reps[a:b], marks[a:b], near @ copies[a:b], np.where(to < 0, reps[a:b], reps[a + np.maximum(to, 0)])))
             columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rep", "links", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rep", "mark", "links", "other"])
 
-    return _by_part(groups, ["part", "rep", "own", "copies", "text"], verify, "rep long, links long, other long")
+    return _by_part(groups, ["part", "rep", "own", "copies", "mark", "text"], verify, "rep long, mark long, links long, other long")
 
 
 def link(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id", n: int = WORDS) -> DataFrame:
@@ -249,15 +249,17 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key:
     """
     signed = checkpointed(_signed(docs, text, key, n), "signatures")
     # Of equal sets the row with the smallest id speaks; all have the same signature.
-    reps = checkpointed(signed.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "representatives")
+    reps = signed.groupBy("f1", "f2").agg(F.min(F.struct("id", "mark")).alias("m"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    reps = checkpointed(reps.select("f1", "f2", F.col("m.id").alias("rep"), F.col("m.mark").alias("mark"), "copies", "sig"), "representatives")
     candidates = components(candidate_edges(reps, threshold))
     sizes = candidates.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    members = candidates.join(sizes, "label").join(reps.groupBy("rep").agg(F.sum("copies").alias("copies")), F.col("node") == F.col("rep")).select("rep", "label", "size", "copies")
-    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
-    found = checkpointed(_verify(_blocks(texts.join(members, "rep"), "label", "size", "rep", GROUP_BLOCK), threshold, n), "links")
+    members = candidates.join(sizes, "label").join(reps.select("rep", "mark", "copies"), F.col("node") == F.col("rep")).select("rep", "mark", "label", "size", "copies")
+    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
+    asked = texts.join(members, ["rep", "mark"]).dropDuplicates(["rep", "mark"])  # repeated rows: copies has counted them
+    found = checkpointed(_verify(_blocks(asked, "label", "size", "rep", GROUP_BLOCK), threshold, n), "links")
     classes = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = reps.select("f1", "f2", "rep", "copies").join(links, "rep", "left").join(classes.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    links = found.groupBy("rep", "mark").agg(F.sum("links").alias("links"))
+    known = reps.select("f1", "f2", "rep", "mark", "copies").join(links, ["rep", "mark"], "left").join(classes.select(F.col("node").alias("rep"), "label"), "rep", "left")
     known = known.select("f1", "f2", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     worded = signed.select("id", "f1", "f2").join(known, ["f1", "f2"]).select(F.col("id").alias(key), "class_id", "n_links")
     wordless = docs.where(F.col(key).isNull() | F.coalesce(~F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))

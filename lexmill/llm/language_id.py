@@ -68,7 +68,7 @@ class ContextTrees:
             at = np.flatnonzero((age >= max(k, 1)) & (owner < len(words)))
             keys, inverse = np.unique(grams[at], return_inverse=True)
             which = owner[at]
-            counts = np.bincount(inverse * len(langs) + lang[which], weights=weight[which], minlength=len(keys) * len(langs)).reshape(-1, len(langs))
+            counts = np.bincount(inverse * len(langs) + lang[which], weights=weight[which], minlength=len(keys) * len(langs)).reshape(len(keys), len(langs))
             contexts, node = np.unique(keys >> np.uint64(8), return_inverse=True)
             total = np.zeros((len(contexts), len(langs)))
             distinct, excluded = total.copy(), total.copy()
