@@ -27,8 +27,11 @@ def hits(docs: DataFrame, names: DataFrame) -> DataFrame:
     known = names.select("name").distinct().where(F.size("name") > 0)
     prefixes = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("name")), lambda i: F.struct(_text(F.col("name"), i).alias("prefix"), i.alias("n")))).alias("p")).select("p.prefix", "p.n").distinct()
     firsts = known.groupBy(F.col("name")[0].alias("first")).agg(F.max(F.size("name")).alias("longest"))
-    starts = docs.select("doc_id", "words", F.posexplode("words").alias("b", "first")).join(firsts, "first")
-    tried = starts.select("doc_id", "b", F.slice("words", F.col("b") + 1, F.col("longest")).alias("ahead"))
+    # A start carries only as many words as the longest name has: never its whole document.
+    most = known.agg(F.max(F.size("name")).alias("n")).first()["n"] or 1
+    places = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.struct((i - 1).alias("b"), F.slice("words", i, most).alias("ahead")))
+    starts = docs.where(F.size("words") > 0).select("doc_id", F.explode(places).alias("s")).select("doc_id", "s.b", "s.ahead", F.col("s.ahead")[0].alias("first"))
+    tried = starts.join(firsts, "first").select("doc_id", "b", F.slice("ahead", 1, F.col("longest")).alias("ahead"))
     tried = tried.select("doc_id", "b", F.explode(F.transform(F.sequence(F.lit(1), F.size("ahead")), lambda i: F.struct(_text(F.col("ahead"), i).alias("prefix"), i.alias("n")))).alias("p")).select("doc_id", "b", "p.prefix", "p.n")
     walked = tried.join(prefixes, ["prefix", "n"]).groupBy("doc_id", "b").agg(F.max(F.struct("n", "prefix")).alias("w")).select("doc_id", "b", "w.n", "w.prefix")
     whole = known.select(_text(F.col("name"), F.size("name")).alias("prefix"), F.col("name"))
