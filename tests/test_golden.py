@@ -204,3 +204,23 @@ def test_xxhash(spark):
     rows = spark.createDataFrame([("",), ("Hello World",), (None,)], "v string")
     found = rows.select(hashes.xxh32(F.col("v"), 0), hashes.xxh64(F.col("v"), 0)).collect()
     assert [(r[0], None if r[1] is None else int(r[1])) for r in found] == [(0x02CC5D05, 0xEF46DB3751D8E999), (0xB1FD16EE, 0x6334D20719245BC2), (None, None)]
+
+
+def test_meaning_graph_tables(spark):
+    from lexmill.operators import meaning
+
+    links = spark.createDataFrame([(1, "Agent", False, 1, 2), (1, "mod", True, 3, 2)], "sent_id long, rel string, is_modifier boolean, src int, dst int")
+    assert rows_of(meaning.directed(links), "src", "dst") == [(1, 2), (2, 3)]
+    vertices = spark.createDataFrame([(1, 1, "predicate", 1, 2, "fined", "Fining"), (1, 2, "entity", 0, 1, "He", None), (1, 3, "nominal", 3, 5, "a & b", None)], "sent_id long, id int, kind string, b int, e int, text string, frame string")
+    assert rows_of(meaning.predicate_counts(vertices), "predicates", "verbs") == [(2, 1)]
+    assert rows_of(meaning.label(vertices), "id", "label") == [(1, "Fining"), (2, "He"), (3, "a & b")]
+    tags_of = spark.createDataFrame([(1, 3, 4, "ORG"), (1, 0, 1, "PERSON"), (1, 2, 4, "x")], "sent_id long, b int, e int, tag string")
+    assert rows_of(meaning.tagged(vertices, tags_of), "id", "tags") == [(1, []), (2, ["PERSON"]), (3, ["ORG"])]
+    verbs = spark.createDataFrame([(1, "take", ["off", "now"]), (2, "take", ["it"]), (3, "organise", [])], "verb_id int, lemma string, following array<string>")
+    senses = spark.createDataFrame([("take", "1.1"), ("take", "1.2"), ("organize", "1.1")], "lemma string, sense string")
+    idioms = spark.createDataFrame([("take", "1.2", ["off"])], "lemma string, sense string, idiom array<string>")
+    assert rows_of(meaning.verb_senses(verbs, senses, idioms), "verb_id", "sense") == [(1, "1.2"), (2, "1.1"), (2, "1.2"), (3, "1.1")]
+    scores = spark.createDataFrame([(2, 3, 4), (1, 0, 0)], "m int, n int, t int").select(meaning.frame_score(F.col("m"), F.col("n"), F.col("t")))
+    assert [r[0] for r in scores.collect()] == [158.0, 0.0]
+    matches = spark.createDataFrame([(1, "p", 2, 5), (1, "q", 2, 7), (1, "r", 1, 9)], "v int, pattern string, roles int, n int")
+    assert rows_of(meaning.best_pattern(matches, ["v"]), "pattern") == [("q",)]
