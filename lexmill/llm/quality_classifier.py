@@ -158,18 +158,25 @@ def _fit(features: np.ndarray, labels: np.ndarray, contexts: dict[bytes, np.ndar
     return Classifier(contexts, mean, scale, weights[0], weights[1], weights[2], float(weights[3][0]), temperature)
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample: int = SAMPLE) -> Classifier | float:
-    """A classifier from labels 0 and 1 (others and nulls are left out); with one label only that label, with none 0.5."""
-    rows = labelled.select(F.col(key).cast("string").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", sample: int = SAMPLE) -> Classifier | float:
+    """A classifier from documents with label 0 or 1 (others and nulls are left out); with one label only that label, with none 0.5.
+
+    Of a document with both labels the lower counts. Ids and labels are joined
+    without texts; the ids of the sample, a bounded list, then fetch its texts.
+    """
+    marked = labels.select(F.col(key).cast("string").alias("k"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").groupBy("k").agg(F.min("y").alias("y"))
+    pairs = docs.select(F.col(key).cast("string").alias("k")).distinct().join(marked, "k")
+    sizes = {r["y"]: r["n"] for r in pairs.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return float(next(iter(sizes), 0.5))
     share = F.when(F.col("y") == 1, min(1_000_000, sample // 2 * 1_000_000 // sizes[1] + 1)).otherwise(min(1_000_000, sample // 2 * 1_000_000 // sizes[0] + 1))
-    chosen = rows.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < share).repartition(8, "k").persist()
+    taken = pairs.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < share).orderBy("k").collect()
+    spark = docs.sparkSession
+    keys = F.broadcast(spark.createDataFrame([(r["k"], r["y"]) for r in taken], "k string, y int"))
+    chosen = docs.select(F.col(key).cast("string").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(keys, "k").repartition(8).persist()
     counted = chosen.select(F.explode(F.array_distinct(words_of(F.col("t")))).alias("w")).where(F.octet_length("w") <= 64).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
     vocabulary = [r["w"].encode() for r in counted.orderBy(F.col("n").desc(), "w").limit(VOCABULARY).collect()]
     contexts = _contexts(chosen, vocabulary)
-    spark = labelled.sparkSession
     shared = spark.sparkContext.broadcast(contexts)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,5 +217,4 @@ def score(docs: DataFrame, model: Classifier | float, keep: list[str], text: str
 
 def train_and_score(docs: DataFrame, labels: DataFrame, learn: Column, keep: list[str], text: str = "text", key: str = "doc_id", label: str = "quality") -> DataFrame:
     """Learns from the labelled rows of ``docs`` for which ``learn`` holds; scores every row."""
-    marked = labels.select(F.col(key), F.col(label).alias("label")).dropDuplicates([key])
-    return score(docs, train(docs.where(learn).select(key, text).join(marked, key), text, "label", key), keep, text)
+    return score(docs, train(docs.where(learn), labels, text, label, key), keep, text)
