@@ -108,6 +108,13 @@ class ChunkTokens:
 _tokens: dict[str, ChunkTokens] = {}
 
 
+def _chunk_tokens(tokenizer_file: str) -> ChunkTokens:
+    """This worker's tokenizer and what it has tokenised, kept from task to task."""
+    if tokenizer_file not in _tokens:
+        _tokens[tokenizer_file] = ChunkTokens(tokenizer_file)
+    return _tokens[tokenizer_file]
+
+
 def pieces(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, if asked for): each document's ids, then ``end``, cut into pieces.
 
@@ -117,9 +124,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str =
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_file not in _tokens:
-            _tokens[tokenizer_file] = ChunkTokens(tokenizer_file)
-        tokens, last = _tokens[tokenizer_file], np.array([end], np.uint32)
+        tokens, last = _chunk_tokens(tokenizer_file), np.array([end], np.uint32)
         for batch in batches:
             owners, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
             for a, b in slices(len(texts), texts):
