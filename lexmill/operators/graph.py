@@ -7,7 +7,7 @@ one multiplies.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.plans.shared import written
@@ -91,3 +91,66 @@ def islands(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int =
         if now.where("island <> was").isEmpty():
             return labels
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
+
+
+def _aligned(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Full join of two tables of paths by their last node, the first path of a node with the first of the other side, and so on."""
+
+    def ranked(paths: DataFrame, name: str) -> DataFrame:
+        ends = paths.withColumn("__end", F.element_at("path", -1))
+        rank = F.row_number().over(Window.partitionBy(*by, "__end").orderBy("path"))
+        return ends.withColumn("__rank", rank).withColumnRenamed("path", name)
+
+    return ranked(left, "left").join(ranked(right, "right"), [*by, "__end", "__rank"], "full")
+
+
+def path_overlap(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """by, left, right: paths of both sides that end in the same node, paired by rank."""
+    return _aligned(left, right, by).where("left is not null and right is not null").select(*by, "left", "right")
+
+
+def meeting_paths(edges: DataFrame, pairs: DataFrame, half: int) -> DataFrame:
+    """a, b, left, right: pairs of paths from both ends of a pair that meet, each at most ``half`` hops long.
+
+    Both sides grow a hop a level. New paths are paired with the other side's
+    new and older ones; only paths that met nothing new grow further.
+    """
+    step = edges.select(F.col("src").alias("__at"), "dst")
+
+    def grown(paths: DataFrame) -> DataFrame:
+        return paths.join(step, F.element_at("path", -1) == F.col("__at")).select("a", "b", F.concat("path", F.array("dst")).alias("path"))
+
+    def unmatched(found: DataFrame, side: str, other: str) -> DataFrame:
+        return found.where(F.col(side).isNotNull() & F.col(other).isNull()).select("a", "b", F.col(side).alias("path"))
+
+    def ends(paths: DataFrame) -> DataFrame:
+        return paths.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.element_at("path", -1).alias("__e")).distinct()
+
+    def narrowed(first: DataFrame, second: DataFrame, how: str) -> DataFrame:
+        """Rows of the second whose end is (``left_semi``) or isn't (``left_anti``) an end of the first."""
+        known = ends(first)
+        return second.join(known, (second["a"] == known["__a"]) & (second["b"] == known["__b"]) & (F.element_at(second["path"], -1) == known["__e"]), how)
+
+    left, right = (pairs.select("a", "b", F.array(c).alias("path")) for c in ("a", "b"))
+    old_left, old_right = left, right  # all paths that later ones may meet, frontier included
+    met = None
+    for _ in range(half):
+        new_left, new_right = written(grown(left), "paths"), written(grown(right), "paths")
+        both, late_right, late_left = (written(_aligned(x, y, ["a", "b"]), "aligned") for x, y in ((new_left, new_right), (old_left, new_right), (new_left, old_right)))
+        for found in (both, late_right, late_left):
+            pairs_met = found.where("left is not null and right is not null").select("a", "b", "left", "right")
+            met = pairs_met if met is None else met.unionByName(pairs_met)
+        l1, l3 = unmatched(both, "left", "right"), unmatched(late_left, "left", "right")
+        r1, r2 = unmatched(both, "right", "left"), unmatched(late_right, "right", "left")
+        old_left = old_left.unionByName(l1).unionByName(narrowed(l1, l3, "left_anti"))
+        old_right = old_right.unionByName(r1).unionByName(narrowed(r1, r2, "left_anti"))
+        left, right = narrowed(l1, l3, "left_semi"), narrowed(r1, r2, "left_semi")
+    if met is None:
+        return pairs.limit(0).select("a", "b", F.array("a").alias("left"), F.array("b").alias("right"))
+    return met
+
+
+def largest_island(labels: DataFrame) -> DataFrame:
+    """The number of islands and the size of the largest."""
+    sizes = labels.groupBy("island").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("islands"), F.max("n").alias("largest"))

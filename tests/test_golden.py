@@ -224,3 +224,19 @@ def test_meaning_graph_tables(spark):
     assert [r[0] for r in scores.collect()] == [158.0, 0.0]
     matches = spark.createDataFrame([(1, "p", 2, 5), (1, "q", 2, 7), (1, "r", 1, 9)], "v int, pattern string, roles int, n int")
     assert rows_of(meaning.best_pattern(matches, ["v"]), "pattern") == [("q",)]
+
+MEETING = [(1, 9), (9, 10), (2, 11), (1, 3), (2, 3), (3, 12), (1, 4), (4, 5), (2, 5), (1, 5), (1, 6), (6, 7), (8, 7), (2, 8), (1, 13), (13, 14), (2, 14), (2, 13)]
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "half", "wanted"),
+    [
+        (1, 2, 1, [([1, 3], [2, 3]), ([1, 5], [2, 5]), ([1, 13], [2, 13])]),
+        (1, 2, 3, [([1, 3], [2, 3]), ([1, 4, 5], [2, 5]), ([1, 5], [2, 5]), ([1, 6, 7], [2, 8, 7]), ([1, 13], [2, 13])]),
+        (1, 7, 3, [([1, 6, 7], [7])]),
+        (1, 2, 0, []),
+    ],
+)
+def test_meeting_paths(spark, a, b, half, wanted):
+    pairs = spark.createDataFrame([(a, b)], "a long, b long")
+    assert rows_of(graph.meeting_paths(edges(spark, MEETING), pairs, half), "left", "right") == wanted
