@@ -29,6 +29,8 @@ from lexmill.llm.common import WordCache, slices, split_slice, sum_by_text, text
 ORDER = 4
 DOCS_PER_LANG = 1000
 UNKNOWN = "und"
+#: Distinct words of the sample that are counted at a time.
+CHUNK = 40_000
 
 
 def _stream(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,21 +56,42 @@ class Level:
     excluded: np.ndarray  # count, one context shorter, of the symbols seen here
 
 
-class ContextTrees:
-    """The trees of all languages over one union of contexts."""
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    counts = np.zeros((len(keys), parts[0][1].shape[1]))
+    np.add.at(counts, inverse, np.concatenate([p[1] for p in parts]))
+    return keys, counts
 
-    def __init__(self, words: list[bytes], lang: np.ndarray, weight: np.ndarray, langs: list[str], order: int = ORDER) -> None:
-        self.langs, self.order, self.levels = langs, order, []
-        flat, age = _stream(words)
+
+def _gram_counts(words: list[bytes] | pa.ChunkedArray, lang: np.ndarray, weight: np.ndarray, n_langs: int, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For k = 0..order, the grams of k + 1 bytes and their counts in each language; so many words at a time, to bound memory."""
+    levels: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order + 1)]
+    for a in range(0, max(len(words), 1), CHUNK):
+        part = words[a : a + CHUNK]
+        part = part if isinstance(part, list) else texts_of(part)
+        own_lang, own_weight = lang[a : a + CHUNK], weight[a : a + CHUNK]
+        flat, age = _stream(part)
         owner = np.cumsum(np.concatenate([[0], (flat[:-1] == 32).astype(np.int64)])) - 1
         grams = flat.copy()
         for k in range(order + 1):
             if k:  # each byte with the k bytes before it, oldest in the highest bits
                 grams[k:] |= flat[:-k] << np.uint64(8 * k)
-            at = np.flatnonzero((age >= max(k, 1)) & (owner < len(words)))
+            at = np.flatnonzero((age >= max(k, 1)) & (owner < len(part)))
             keys, inverse = np.unique(grams[at], return_inverse=True)
             which = owner[at]
-            counts = np.bincount(inverse * len(langs) + lang[which], weights=weight[which], minlength=len(keys) * len(langs)).reshape(len(keys), len(langs))
+            counts = np.bincount(inverse * n_langs + own_lang[which], weights=own_weight[which], minlength=len(keys) * n_langs).reshape(len(keys), n_langs)
+            levels[k].append((keys, counts))
+            if len(levels[k]) >= 8:
+                levels[k] = [_merged(levels[k])]
+    return [_merged(parts) for parts in levels]
+
+
+class ContextTrees:
+    """The trees of all languages over one union of contexts."""
+
+    def __init__(self, words: list[bytes] | pa.ChunkedArray, lang: np.ndarray, weight: np.ndarray, langs: list[str], order: int = ORDER) -> None:
+        self.langs, self.order, self.levels = langs, order, []
+        for k, (keys, counts) in enumerate(_gram_counts(words, lang, weight, len(langs), order)):
             contexts, node = np.unique(keys >> np.uint64(8), return_inverse=True)
             total = np.zeros((len(contexts), len(langs)))
             distinct, excluded = total.copy(), total.copy()
@@ -156,9 +179,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         share = F.when(F.col("l") == name, F.lit(min(1_000_000, docs_per_lang * 1_000_000 // sizes[name] + 1))).otherwise(share)
     chosen = rows.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < share)
     counted = chosen.select("l", F.explode(words_of(F.lower("t"))).alias("w")).groupBy("l", "w").agg(F.count(F.lit(1)).alias("n")).toArrow()
-    number = {name: i for i, name in enumerate(langs)}
-    codes = np.array([number[x] for x in counted["l"].to_pylist()], np.int64)
-    return ContextTrees(texts_of(counted["w"]), codes, counted["n"].to_numpy().astype(np.float64), langs, order)
+    names = counted["l"].combine_chunks().dictionary_encode()
+    number = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int64)
+    codes = number[names.indices.to_numpy()] if len(number) else np.zeros(0, np.int64)
+    return ContextTrees(counted["w"], codes, counted["n"].to_numpy().astype(np.float64), langs, order)
 
 
 def identify(docs: DataFrame, trees: ContextTrees, text: str = "text", keep: list[str] | None = None) -> DataFrame:
