@@ -337,8 +337,7 @@ _TRADE_RECURSIVE = _TRADE.replace("WITH trade", "WITH RECURSIVE trade", 1)
 
 
 def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read(spark, sf_dir, "orders").where("o_orderkey % 97 = 0")
-    customers, suppliers, lines = (read(spark, sf_dir, t) for t in ("customer", "supplier", "lineitem"))
+    orders, customers, suppliers, lines = (read(spark, sf_dir, t) for t in ("orders", "customer", "supplier", "lineitem"))
     bought = orders.join(customers, F.col("c_custkey") == F.col("o_custkey")).join(lines, F.col("l_orderkey") == F.col("o_orderkey")).join(suppliers, F.col("s_suppkey") == F.col("l_suppkey"))
     from lexmill.plans.shared import written
 
