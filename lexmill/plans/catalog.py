@@ -299,7 +299,7 @@ def alias_multimap(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c_nationkey, arg_min(cls, prio) AS cls FROM customer JOIN p ON cls = c_mktsegment WHERE c_acctbal > 9000 GROUP BY 1""")
 def class_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = spark.createDataFrame([(c, i) for i, c in enumerate(("MACHINERY", "BUILDING", "AUTOMOBILE", "HOUSEHOLD", "FURNITURE"))], "cls string, prio int")
-    return joins.by_priority(read(spark, sf_dir, "customer").where("c_acctbal > 9000").select("c_nationkey", F.col("c_mktsegment").alias("cls")), "c_nationkey", "cls", order)
+    return joins.by_priority(read(spark, sf_dir, "customer").select("c_nationkey", F.col("c_mktsegment").alias("cls")), "c_nationkey", "cls", order)
 
 
 @query("""WITH a AS (SELECT l_orderkey AS k, l_partkey AS pa, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) AS rank FROM lineitem WHERE l_returnflag = 'A'),
@@ -490,7 +490,7 @@ SELECT nat::BIGINT AS doc_id, ne, CASE WHEN n = 0 THEN 'unresolved_uid' WHEN n =
 def resolve_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     segment = F.col("c_mktsegment")
     cls = F.when(segment == "BUILDING", "Building").when(segment == "MACHINERY", "Organization").when(segment == "HOUSEHOLD", "Person").when(segment == "AUTOMOBILE", "Brand").otherwise("Location")
-    items = read(spark, sf_dir, "customer").where("c_acctbal > 9500").select(F.col("c_custkey").alias("qid"), cls.alias("cls"), F.col("c_nationkey").alias("nat"))
+    items = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("qid"), cls.alias("cls"), F.col("c_nationkey").alias("nat"))
     region = F.col("n_regionkey")
     ne = F.when(region == 0, "Org").when(region == 1, "Person").when(region == 2, "Loc").when(region == 3, "Percent").otherwise("Other")
     lists = items.groupBy("nat").agg(F.array_sort(F.collect_list("qid")).alias("uids"))

@@ -7,7 +7,7 @@ from tests.conftest import SF
 from tests.test_catalog import plain
 
 #: Conditions that choose a subset of the rows. Where the SQL has none of them, it is compared as it is.
-SUBSETS = (" WHERE o_orderkey % 97 = 0",)
+SUBSETS = (" WHERE o_orderkey % 97 = 0", " WHERE c_acctbal > 9000", " WHERE c_acctbal > 9500")
 
 
 def same_as_whole_sql(spark, duck, name):
@@ -25,3 +25,8 @@ def same_as_whole_sql(spark, duck, name):
 @pytest.mark.parametrize("name", ["hub_nodes", "khop_reachable", "all_paths_upto", "meeting_paths", "without_hubs"])
 def test_graph_of_all_orders(spark, duck, name):
     same_as_whole_sql(spark, duck, name)
+
+
+@pytest.mark.parametrize("name", ["class_priority", "resolve_class"])
+def test_classes_of_all_customers(spark, duck, name):
+    same_as_whole_sql(spark, duck, name)
