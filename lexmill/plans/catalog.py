@@ -259,7 +259,7 @@ def maximal_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_TURNS + " p AS (SELECT conv_id, turn, i, word, b, b + length(word) AS ce FROM s) SELECT f.conv_id, f.turn, f.i::INTEGER AS b, (f.i + 3)::INTEGER AS e, f.b::BIGINT AS cb, l.ce::BIGINT AS ce FROM p f JOIN p l ON l.conv_id = f.conv_id AND l.turn = f.turn AND l.i = f.i + 2 WHERE f.i % 5 = 0")
 def token_char_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = _turn_tokens(spark, sf_dir).select("conv_id", "turn", F.col("i").alias("idx"), F.col("b").alias("cb"), F.col("e").alias("ce"))
-    asked = tokens.where("idx % 5 = 0").select("conv_id", "turn", F.col("idx").alias("b"), (F.col("idx") + 3).alias("e"))
+    asked = tokens.select("conv_id", "turn", F.col("idx").alias("b"), (F.col("idx") + 3).alias("e"))
     return spans.token_to_character_spans(asked, tokens, ["conv_id", "turn"])
 
 
@@ -353,14 +353,14 @@ def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_TRADE_RECURSIVE + """, w AS (SELECT n_nationkey AS start, n_nationkey AS node, 0 AS distance FROM nation WHERE n_nationkey % 5 = 0 UNION SELECT start, dst, distance + 1 FROM w JOIN trade ON src = node WHERE distance < 3)
 SELECT start, node, min(distance)::INTEGER AS distance FROM w GROUP BY ALL""")
 def khop_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = read(spark, sf_dir, "nation").where("n_nationkey % 5 = 0").select(F.col("n_nationkey").alias("node"))
+    starts = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
     return graph.reachable(_trade(spark, sf_dir), starts, 3)
 
 
 @query(_TRADE_RECURSIVE + """, w AS (SELECT n_nationkey AS start, [n_nationkey] AS path FROM nation WHERE n_nationkey < 3 UNION ALL SELECT start, list_append(path, dst) FROM w JOIN trade ON src = path[-1] WHERE len(path) < 3)
 SELECT start, array_to_string(path, '>') AS path FROM w""")
 def all_paths_upto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = read(spark, sf_dir, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").alias("node"))
+    starts = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
     return graph.walks(_trade(spark, sf_dir), starts, 2).select("start", F.array_join("path", ">").alias("path"))
 
 

@@ -7,7 +7,7 @@ from tests.conftest import SF
 from tests.test_catalog import plain
 
 #: Conditions that choose a subset of the rows. Where the SQL has none of them, it is compared as it is.
-SUBSETS = (" WHERE o_orderkey % 97 = 0", " WHERE c_acctbal > 9000", " WHERE c_acctbal > 9500")
+SUBSETS = (" WHERE o_orderkey % 97 = 0", " WHERE c_acctbal > 9000", " WHERE c_acctbal > 9500", " WHERE f.i % 5 = 0", " WHERE n_nationkey % 5 = 0", " WHERE n_nationkey < 3")
 
 
 def same_as_whole_sql(spark, duck, name):
@@ -30,3 +30,13 @@ def test_graph_of_all_orders(spark, duck, name):
 @pytest.mark.parametrize("name", ["class_priority", "resolve_class"])
 def test_classes_of_all_customers(spark, duck, name):
     same_as_whole_sql(spark, duck, name)
+
+
+def test_spans_of_all_tokens(spark, duck):
+    same_as_whole_sql(spark, duck, "token_char_spans")
+
+
+@pytest.mark.parametrize("name", ["khop_reachable", "all_paths_upto"])
+def test_starts_in_all_nations(spark, name):
+    nations = {r["n_nationkey"] for r in catalog.read(spark, SF, "nation").collect()}
+    assert {r["start"] for r in catalog.QUERIES[name](spark, SF).collect()} == nations
