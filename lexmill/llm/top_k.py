@@ -14,12 +14,15 @@ aggregate of k rows per query and task.
 
 Vectors that are null or hold a null, NaN or infinite component take no part,
 nor do candidates of another dimension than the query's. Rows with a query's own
-id are not its candidates; repeated rows of other ids count each. Components
-are clipped to +-2^25 after scaling, so that products are exact.
+id are not its candidates; repeated rows of other ids count each. Pairs in which
+a vector is too large for sums that 53 bits hold exactly are scored one by one
+in Python's integers; a score among the k best that 64 bits don't hold is an
+error.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,7 @@ SCALE = 1024
 BLOCK = 4096
 STEP = 8  # dimensions in a block
 CHUNK = 16_384  # candidates in a column
-_LIMIT = 1 << 25
+_EXACT = 1 << 18  # components held as Python integers at a time
 
 
 def _valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -42,8 +45,34 @@ def _valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.where(F.coalesce(fine, F.lit(False)) & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("id"), value.alias("v"))
 
 
+def plain(vectors: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """Rows whose inner products with each other stay below 2^53, so that bounds and sums are exact."""
+    with np.errstate(over="ignore"):
+        whole = np.floor(vectors * float(scale))
+    return (np.abs(whole) <= math.isqrt((1 << 53) // max(vectors.shape[1], 1))).all(axis=1)
+
+
 def integers(vectors: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    return np.clip(np.floor(vectors * float(scale)), -_LIMIT, _LIMIT).astype(np.int64)
+    return np.floor(vectors * float(scale)).astype(np.int64)
+
+
+def exact_integers(vectors: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """The same in Python's integers, for components of any size."""
+
+    def whole(x: float) -> int:
+        return math.floor(y) if math.isfinite(y := x * float(scale)) else int(x) * scale
+
+    return np.array([whole(x) for x in vectors.ravel().tolist()], object).reshape(vectors.shape)
+
+
+def exact_search(own_id: int, query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, scale: int) -> list[tuple[int, int]]:
+    """(-score, id) of the k best candidates, each scored in Python's integers."""
+    best: list[tuple[int, int]] = []
+    step = max(1, _EXACT // max(vectors.shape[1], 1))
+    for a in range(0, len(ids), step):
+        scores = exact_integers(vectors[a : a + step], scale) @ query
+        best = sorted([*best, *((-s, i) for s, i in zip(scores.tolist(), ids[a : a + step].tolist(), strict=True) if i != own_id)])[:k]
+    return best
 
 
 class Columns:
@@ -87,20 +116,31 @@ class Columns:
 
 
 def _search_block(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, scale: int) -> DataFrame:
-    order = np.argsort(-(queries.astype(np.float64) ** 2).sum(axis=0), kind="stable")
-    turned = queries[:, order]
+    small = plain(queries, scale)
+    turned = integers(np.where(small[:, None], queries, 0), scale)
+    order = np.argsort(-(turned.astype(np.float64) ** 2).sum(axis=0), kind="stable")
+    turned = turned[:, order]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id)
         width = turned.shape[1]
 
         def look(own: list[np.ndarray], vectors: list[np.ndarray]) -> None:
-            columns = Columns(np.concatenate(own), integers(np.concatenate(vectors), scale), order)
+            own_ids, values = np.concatenate(own), np.concatenate(vectors)
+            fine = plain(values, scale)
+            columns = Columns(own_ids[fine], integers(values[fine], scale), order) if fine.any() else None
             for q in range(len(ids)):
-                floor = -best[q][k - 1][0] if len(best[q]) >= k else None
-                scores, found = columns.search(int(ids[q]), turned[q], k, floor)
-                if len(found):
-                    best[q] = sorted([*best[q], *zip((-scores).tolist(), found.tolist(), strict=True)])[:k]
+                if small[q] and columns is not None:
+                    floor = -best[q][k - 1][0] if len(best[q]) >= k else None
+                    if floor is not None and abs(floor) > 1 << 53:  # an exact score
+                        floor = None
+                    scores, found = columns.search(int(ids[q]), turned[q], k, floor)
+                    if len(found):
+                        best[q] = sorted([*best[q], *zip((-scores).tolist(), found.tolist(), strict=True)])[:k]
+                rest = ~fine if small[q] else np.ones(len(fine), bool)
+                if rest.any():
+                    more = exact_search(int(ids[q]), exact_integers(queries[q], scale), own_ids[rest], values[rest], k, scale)
+                    best[q] = sorted([*best[q], *more])[:k]
 
         held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
         n = 0
@@ -120,6 +160,8 @@ def _search_block(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, k
             look(*held)
         rows = [(int(ids[q]), i, -s) for q in range(len(ids)) for s, i in best[q]]
         if rows:
+            if any(not -(1 << 63) <= r[2] < 1 << 63 for r in rows):
+                raise OverflowError("the score of a query's best candidates exceeds 64 bits")
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["query_id", "vec_id", "score"])
 
     return candidates.mapInArrow(search, "query_id long, vec_id long, score long")
@@ -137,7 +179,7 @@ def search(vectors: DataFrame, queries: Column, k: int = K, scale: int = SCALE,
             part = own if n_blocks == 1 else own.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b)
             rows = part.orderBy("id").collect()
             if rows:
-                one = _search_block(candidates, np.array([r["id"] for r in rows]), integers(np.array([r["v"] for r in rows], np.float64), scale), k, scale)
+                one = _search_block(candidates, np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows], np.float64), k, scale)
                 found = one if found is None else found.unionByName(one)
     if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
