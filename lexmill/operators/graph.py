@@ -7,6 +7,8 @@ one multiplies.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,17 +22,19 @@ def neighbours(edges: DataFrame, nodes: DataFrame | None = None, backward: bool
     return pairs if nodes is None else pairs.join(nodes.select("node"), "node", "left_semi")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, cutoff: int, backward: bool = False) -> DataFrame:
-    """start, node, distance: every node within ``cutoff`` hops of a start (column ``node``), with its least distance."""
+def reachable(edges: DataFrame, starts: DataFrame, cutoff: int | None, backward: bool = False) -> DataFrame:
+    """start, node, distance: every node within ``cutoff`` hops of a start (column ``node``; any number, if None), with its least distance."""
     step = neighbours(edges, backward=backward)
     seen = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("distance")).distinct()
     frontier = seen
-    for hop in range(1, cutoff + 1):
+    for hop in count(1) if cutoff is None else range(1, cutoff + 1):
         found = frontier.select("start", "node").join(step, "node").select("start", F.col("neighbour").alias("node")).distinct()
         frontier = written(found.join(seen, ["start", "node"], "left_anti").withColumn("distance", F.lit(hop)), "frontier")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if hop % 16 == 0:  # else the plan grows with every level
+            seen = written(seen, "seen")
     return seen
 
 
@@ -70,7 +74,7 @@ def without_hubs(edges: DataFrame, hubs: DataFrame) -> DataFrame:
     return edges.join(hubs.select(F.col("node").alias("dst")), "dst", "left_anti")
 
 
-def ancestors(links: DataFrame, most_levels: int = 64) -> DataFrame:
+def ancestors(links: DataFrame, most_levels: int | None = None) -> DataFrame:
     """sub, super: the reflexive transitive closure of links(sub, super); cycles end where nothing new comes."""
     edges = links.select(F.col("sub").alias("src"), F.col("super").alias("dst")).where("src is not null and dst is not null")
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()

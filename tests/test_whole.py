@@ -2,8 +2,9 @@
 
 import pytest
 
+from lexmill.operators import graph
 from lexmill.plans import catalog
-from tests.conftest import SF
+from tests.conftest import SF, rows_of
 from tests.test_catalog import plain
 
 #: Conditions that choose a subset of the rows. Where the SQL has none of them, it is compared as it is.
@@ -40,3 +41,8 @@ def test_spans_of_all_tokens(spark, duck):
 def test_starts_in_all_nations(spark, name):
     nations = {r["n_nationkey"] for r in catalog.read(spark, SF, "nation").collect()}
     assert {r["start"] for r in catalog.QUERIES[name](spark, SF).collect()} == nations
+
+
+def test_ancestors_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(68)] + [(0, 0)], "sub long, super long")
+    assert rows_of(graph.ancestors(links), "sub", "super") == [(a, b) for a in range(69) for b in range(a, 69)]
