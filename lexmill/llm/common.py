@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,43 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP, -1), "")
 
 
+class Finder:
+    """Row numbers of distinct 64-bit keys by open addressing, a quarter full at most; -1 for other keys."""
+
+    _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray) -> None:
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.rows = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = np.flatnonzero(self.rows[slot] < 0)
+            place, first = np.unique(slot[free], return_index=True)
+            taken = free[first]
+            self.keys[place], self.rows[place] = keys[left[taken]], left[taken]
+            rest = np.ones(len(left), bool)
+            rest[taken] = False
+            left, slot = left[rest], (slot[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * self._FACTOR) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        out = self.rows[slot]
+        wrong = np.flatnonzero((self.keys[slot] != keys) & (out >= 0))
+        slot = slot[wrong]
+        while len(wrong):
+            slot = (slot + 1) & self.mask
+            row = self.rows[slot]
+            out[wrong] = row
+            still = (self.keys[slot] != keys[wrong]) & (row >= 0)
+            wrong, slot = wrong[still], slot[still]
+        return out
+
+
 class WordIndex(dict):
     """Numbers distinct words in order of their first use."""
 
@@ -74,7 +112,7 @@ class WordCache:
         known = len(self.index)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         if len(self.index) > known:
-            new = list(self.index)[known:] if known < len(self.index) // 2 else list(_last(self.index, len(self.index) - known))
+            new = list(self.index)[known:] if known < len(self.index) // 2 else list(last_keys(self.index, len(self.index) - known))
             made = self.make(new)
             if self.table is None:
                 self.table = made
@@ -87,7 +125,7 @@ class WordCache:
         return at, self.table if self.table is not None else self.make([])
 
 
-def _last(index: dict, n: int) -> list:
+def last_keys(index: dict, n: int) -> list:
     """The n keys added last."""
     keys = reversed(index)
     return [next(keys) for _ in range(n)][::-1]
@@ -100,16 +138,15 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(n: int, texts: list[bytes], bytes_each: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Runs of rows of at most SLICE documents and about so many bytes of text."""
+def text_slices(column: pa.Array, bytes_each: int = 4_000_000) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first row, last row, UTF-8 bytes) for runs of at most SLICE rows and about so many bytes; only one run is held at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).tolist()
     begin = size = 0
-    for i in range(n):
-        size += len(texts[i])
-        if i + 1 - begin >= SLICE or size >= bytes_each:
-            yield begin, i + 1
+    for i, own in enumerate(sizes):
+        size += own
+        if i + 1 - begin >= SLICE or size >= bytes_each or i + 1 == len(sizes):
+            yield begin, i + 1, texts_of(column.slice(begin, i + 1 - begin))
             begin, size = i + 1, 0
-    if begin < n:
-        yield begin, n
 
 
 def split_slice(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:

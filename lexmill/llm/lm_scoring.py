@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import WordCache, WordIndex, checkpointed, slices, split_slice, sum_by_text, texts_of
+from lexmill.llm.common import WordCache, WordIndex, checkpointed, last_keys, split_slice, sum_by_text, text_slices, texts_of
 from lexmill.llm.piece_lattice import Lattice, Vocabulary
 
 SHARE = 1_000_000
@@ -59,9 +59,8 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([_strings(keys[a : a + 50_000]), pa.array(sums[a : min(a + 50_000, len(keys))])], names=["word", "n"])
 
         for batch in batches:
-            texts = texts_of(batch.column(0))
-            for a, b in slices(len(texts), texts):
-                words, _ = split_slice([t.lower() for t in texts[a:b]])
+            for _, _, texts in text_slices(batch.column(0)):
+                words, _ = split_slice([t.lower() for t in texts])
                 at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
                 own = np.bincount(at, minlength=len(index))
                 own[: len(sums)] += sums
@@ -172,11 +171,11 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
             return out
 
         cache = WordCache(of, 150_000)
+        seen, names = cache.index, []
         end_base, end_score = np.log10((ends + 0.5) / base_whole), np.log10(end_share)
         for batch in batches:
-            texts = texts_of(batch.column(len(kept) + 1))
-            for a, b in slices(len(texts), texts):
-                found, sizes = split_slice([t.lower() for t in texts[a:b]])
+            for a, b, texts in text_slices(batch.column(len(kept) + 1)):
+                found, sizes = split_slice([t.lower() for t in texts])
                 at, table = cache.look_up(found)
                 known = table[at, 0] >= 0
                 owner = np.repeat(np.arange(b - a), sizes)
@@ -189,14 +188,17 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
                 leads = np.zeros(len(own), bool)
                 leads[np.unique(own, return_index=True)[1]] = True  # carries what is known of the document
                 numbers = batch.column(0).to_numpy()[a:b]
-                names = list(cache.index)
+                if seen is not cache.index:  # the cache has begun anew
+                    seen, names = cache.index, []
+                names += last_keys(cache.index, len(cache.index) - len(names))
                 # A name with a blank in it is no word: it finds no count, and no two documents share it.
-                column = [names[w] if w >= 0 else b" %d" % numbers[o] for o, w in zip(own.tolist(), word.tolist(), strict=True)]
+                new, at_name = np.unique(word[word >= 0], return_inverse=True)
+                labels = pa.array([names[w] for w in new.tolist()] + [b" %d" % numbers[o] for o in lacking.tolist()], pa.binary())
                 take = pa.array(own + a)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[batch.column(i).take(take) for i in range(len(kept) + 1)],
-                        _strings(column),
+                        labels.take(pa.array(np.concatenate([at_name, len(new) + np.arange(len(lacking))]))).cast(pa.string()),
                         pa.array(times),
                         pa.array(np.where(word >= 0, table[np.maximum(word, 0), 1] if len(table) else 0.0, 0.0)),
                         pa.array(np.where(leads, sizes[own] + 1, 0)),
