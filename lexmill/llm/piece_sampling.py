@@ -1,7 +1,8 @@
 """Sampled SentencePiece segmentations: forward filtering, backward sampling.
 
-A text gets a blank in front and is taken apart before each blank and around
-other white space, where no piece of the vocabulary crosses. For a chunk, the
+A text gets a blank in front and is taken apart before each run of blanks, after
+each run of carriage returns and around other white space, where no piece of the
+vocabulary crosses (``Sampler`` checks this). For a chunk, the
 forward sums over its lattice give, at each byte, the chance of each piece that
 may end there; a segmentation is drawn from the end backwards. The random
 numbers are a counter's hash: of the row's key, the seed, the chunk's number in
@@ -17,6 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from lexmill.llm.common import WordIndex, mix64, slices, texts_of
+from lexmill.llm.common import WordIndex, last_keys, mix64, text_slices
 from lexmill.llm.piece_lattice import Lattice, Vocabulary
 
-_CHUNK = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]")
+_CHUNK = re.compile(rb" *[^ \t-\r]+\r*| +\r*|\r+|[\t\n\x0b\x0c]")
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -37,8 +39,15 @@ class Sampler:
 
     def __init__(self, model_file: str, sharpness: float = 1.0, limit: int = 150_000) -> None:
         self.vocabulary = Vocabulary.load(model_file)
+        if any(len(_CHUNK.findall(p)) != 1 for p in self.vocabulary.pieces):
+            raise ValueError(f"a piece of {model_file} has white space inside that no chunk holds")
         self.lattice, self.logs, self.limit = Lattice(self.vocabulary), self.vocabulary.logs * sharpness, limit
-        self.bytes_of = {int(i): p for p, i in zip(self.vocabulary.pieces, self.vocabulary.ids, strict=True)}
+        sizes = np.fromiter(map(len, self.vocabulary.pieces), np.int64, len(self.vocabulary.pieces))
+        n_ids = int(self.vocabulary.ids.max()) + 1
+        #: Bytes of each id: where they begin in ``letters``, and how many there are.
+        self.letters = np.frombuffer(b"".join(self.vocabulary.pieces), np.uint8)
+        self.begin, self.width = np.zeros(n_ids, np.int64), np.zeros(n_ids, np.int64)
+        self.begin[self.vocabulary.ids], self.width[self.vocabulary.ids] = np.cumsum(sizes) - sizes, sizes
         self.forget()
 
     def forget(self) -> None:
@@ -51,29 +60,36 @@ class Sampler:
         self.flat: tuple | None = None
 
     def _add(self, chunks: list[bytes]) -> None:
-        order = np.argsort(np.fromiter(map(len, chunks), np.int64, len(chunks)), kind="stable")
         ends, sizes = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
-        a = 0
-        while a < len(order):
-            longest = len(chunks[order[min(a + 4000, len(order)) - 1]])
-            step = max(1, min(4000, 60_000 // longest))
-            numbers = order[a : a + step]
-            a += step
-            alpha, own, arcs, _ = self.lattice._forward([chunks[i] for i in numbers.tolist()], self.logs)
-            most = alpha.shape[1] - 1
-            weights, kinds = np.append(self.logs, -np.inf), sorted(arcs)
-            chance = np.zeros((len(numbers), most, len(kinds)))
-            for k, size in enumerate(kinds):
-                chance[:, size - 1 :, k] = np.exp(alpha[:, : most - size + 1] + weights[arcs[size][:, size - 1 :]] - alpha[:, size:])
-            inside = np.arange(most)[None, :] < own[:, None]
-            chance = chance[inside]  # cells of bytes that exist, chunk by chunk
+        for numbers in self.lattice.batches(chunks):
+            alpha, own, arcs = self.lattice.forward([chunks[i] for i in numbers.tolist()], self.logs)
+            most, n = len(alpha) - 1, len(numbers)
+            cell_of = np.cumsum(own) - own  # first cell of each chunk
+            cell, kind, chance, piece = [], [], [], []
+            for size in sorted(arcs):
+                place, column = np.nonzero(arcs[size] >= 0) if size > 1 else (np.repeat(np.arange(most), n), np.tile(np.arange(n), most))
+                end = place + size - 1
+                inside = end < own[column] if int(own.min()) < most else slice(None)
+                place, column, end = place[inside], column[inside], end[inside]
+                found = arcs[size][place, column]
+                cell.append(cell_of[column] + end)
+                kind.append(np.full(len(end), size, np.int32))
+                chance.append(np.exp(alpha[place, column] + self.logs[found] - alpha[end + 1, column]))
+                piece.append(self.vocabulary.ids[found])
+            cell, kind, chance, piece = (np.concatenate(x) for x in (cell, kind, chance, piece))
             some = chance > 0
-            cell, kind = np.nonzero(some)
-            pieces = np.stack([arcs[size] for size in kinds], axis=2)[inside][some]
-            self.arcs.append((np.cumsum(chance, axis=1)[some], np.array(kinds)[kind], self.vocabulary.ids[pieces]))
-            self.cells.append(self.n_arcs + np.cumsum(some.sum(axis=1)))
-            ends[numbers], sizes[numbers] = self.n_cells + np.cumsum(own) - 1, own
-            self.n_cells += len(chance)
+            order = np.flatnonzero(some)[np.argsort(cell[some], kind="stable")]  # by cell, then size
+            cell, chance = cell[order], chance[order]
+            counts = np.bincount(cell, minlength=int(own.sum()))
+            stop = np.cumsum(counts)
+            rank = np.arange(len(cell)) - np.repeat(stop - counts, counts)
+            for r in range(1, int(counts.max())):  # sums within a cell alone: its neighbours must not change a bit of them
+                at = np.flatnonzero(rank == r)
+                chance[at] += chance[at - 1]
+            self.arcs.append((chance, kind[order], piece[order]))
+            self.cells.append(self.n_arcs + stop)
+            ends[numbers], sizes[numbers] = self.n_cells + cell_of + own - 1, own
+            self.n_cells += len(counts)
             self.n_arcs += len(cell)
         self.end.append(ends)
         self.size.append(sizes)
@@ -93,10 +109,9 @@ class Sampler:
             self.forget()
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
         known = len(self.index)
-        at = np.fromiter((self.index[c] for p in parts for c in p), np.int64, int(counts.sum()))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
         if len(self.index) > known:
-            names = reversed(self.index)
-            self._add([next(names) for _ in range(len(self.index) - known)][::-1])
+            self._add(last_keys(self.index, len(self.index) - known))
         end, size, cells, chance, length, piece = self._tables()
         with np.errstate(over="ignore"):
             rows = np.fromiter((xxhash.xxh3_64_intdigest(k, seed) for k in keys), np.uint64, len(keys))
@@ -131,7 +146,16 @@ class Sampler:
         return np.split(ids, cut[:-1])
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))[1:]
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, rows: list[np.ndarray]) -> list[bytes]:
+        """The text of each row of ids."""
+        ids = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64, copy=False)
+        width = self.width[ids]
+        stop = np.cumsum(width)
+        letters = self.letters[np.repeat(self.begin[ids] - (stop - width), width) + np.arange(int(stop[-1]) if len(stop) else 0)].tobytes()
+        cut = np.concatenate([[0], stop])[np.cumsum([0, *map(len, rows)])].tolist()
+        return [letters[a + 1 : b] for a, b in zip(cut, cut[1:], strict=False)]
 
 
 _samplers: dict[tuple[str, float], Sampler] = {}
@@ -155,21 +179,21 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", key: str = "doc
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler(model_file, sharpness)
         for batch in batches:
-            keys, texts = batch.column(1).to_pylist(), texts_of(batch.column(2))
-            for a, b in slices(len(texts), texts):
-                found = sampler.encode([k or "" for k in keys[a:b]], texts[a:b], seed)
+            keys = batch.column(1).to_pylist()
+            for a, b, texts in text_slices(batch.column(2)):
+                found = sampler.encode([k or "" for k in keys[a:b]], texts, seed)
                 own = batch.column(0).slice(a, b - a)
                 if not digest:
                     yield pa.RecordBatch.from_arrays([own, pa.array(found, pa.list_(pa.int32()))], names=[key, "ids"])
                     continue
-                decoded = [sampler.decode(ids) for ids in found]
+                decoded = sampler.decode_all(found)
                 yield pa.RecordBatch.from_arrays(
                     [
                         own,
                         pa.array([len(ids) for ids in found], pa.int64()),
                         pa.array([zlib.crc32(ids.astype("<u4").tobytes()) for ids in found], pa.int64()),
                         pa.array([sha256(d).hexdigest() for d in decoded]),
-                        pa.array([d == t for d, t in zip(decoded, texts[a:b], strict=True)]),
+                        pa.array([d == t for d, t in zip(decoded, texts, strict=True)]),
                     ],
                     names=schema.names,
                 )
