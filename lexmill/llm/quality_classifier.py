@@ -2,8 +2,9 @@
 
 A word's index vector is sparse and ternary, drawn from a hash of the word; its
 context vector is the sum of the index vectors of the words around it in the
-training sample (random indexing). Words outside the vocabulary of the sample
-use the vector of their form: letter case, length, symbols, digits. A document is
+training sample (random indexing). Words outside the vocabulary, which is the
+``VOCABULARY`` most frequent words of the sample that ``LEAST`` of its documents
+have, use the vector of their form: letter case, length, symbols, digits. A document is
 the mean of its words' index and context vectors, with the lengths of these means
 (large if few words make up the text) and the log of its word count. A network
 with one hidden layer is trained in numpy; a temperature, fitted on rows held out
@@ -24,10 +25,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import WordCache, slices, split_slice, sum_by_text, texts_of, words_of
+from lexmill.llm.common import WordCache, WordIndex, split_slice, text_slices, words_of
 
 SAMPLE = 6000
-VOCABULARY = 20_000
+VOCABULARY, LEAST = 20_000, 3
 DIMENSIONS, ONES = 32, 4
 NEAR = 2  # words on either side that count as context
 HIDDEN, EPOCHS, RATE, DECAY = 32, 300, 0.01, 1e-4
@@ -45,19 +46,52 @@ def index_vectors(words: list[bytes]) -> np.ndarray:
     return out
 
 
-def form(word: bytes) -> bytes:
-    """What a word looks like; a blank in front sets it apart from words."""
-    letters = word.strip(b".,;:!?\"'()")
-    kind = b"U" if len(letters) > 1 and letters.isupper() else b"T" if letters[:1].isupper() else b"l"
-    digits = b"d" if any(48 <= c < 58 for c in word) else b""
-    symbols = b"s%d" % min(sum(c in b"#*$%&|<>{}[]=_~^\\/@" for c in word), 4)
-    ends = b"!" if word[-1:] in b"!?" else b""
-    return b" %s%s%s%s%d" % (kind, digits, symbols, ends, min(len(word) // 4, 6))
+_PUNCTUATION = np.isin(np.arange(256), np.frombuffer(b".,;:!?\"'()", np.uint8))
+_SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>{}[]=_~^\\/@", np.uint8))
+_MOST_SYMBOLS, _MOST_SIZE = 4, 6
+#: Numbers of forms: letter case, digits, end, symbols, length.
+FORMS = 3 * 2 * 2 * (_MOST_SYMBOLS + 1) * (_MOST_SIZE + 1)
+
+
+def forms(words: list[bytes]) -> np.ndarray:
+    """What words look like, as a number below FORMS: letter case, digits, marks at the end, symbols, length."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.frombuffer(b"".join(words), np.uint8)
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(len(flat)) - np.repeat(begin, sizes)
+
+    def some(flags: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(flags.astype(np.int64), begin)
+
+    upper, lower = (flat >= 65) & (flat <= 90), (flat >= 97) & (flat <= 122)
+    inner = ~_PUNCTUATION[flat]
+    first = np.minimum.reduceat(np.where(inner, place, len(flat)), begin)
+    last = np.maximum.reduceat(np.where(inner, place, -1), begin)
+    led = (last >= 0) & upper[begin + np.minimum(first, sizes - 1)]
+    whole = (some(upper) > 0) & (some(lower) == 0) & (last > first)
+    kind = np.where(whole, 2, np.where(led, 1, 0))
+    digits = some((flat >= 48) & (flat < 58)) > 0
+    end = np.isin(flat[begin + sizes - 1], np.frombuffer(b"!?", np.uint8))
+    symbols = np.minimum(some(_SYMBOL[flat]), _MOST_SYMBOLS)
+    return (((kind * 2 + digits) * 2 + end) * (_MOST_SYMBOLS + 1) + symbols) * (_MOST_SIZE + 1) + np.minimum(sizes // 4, _MOST_SIZE)
+
+
+@dataclass
+class Contexts:
+    """Context vectors of words, and of forms (a row each) for words that have none."""
+
+    words: dict[bytes, int]
+    vectors: np.ndarray
+    forms: np.ndarray
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        at = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
+        return np.where(at[:, None] >= 0, self.vectors[at], self.forms[forms(words)])
 
 
 @dataclass
 class Classifier:
-    contexts: dict[bytes, np.ndarray]
+    contexts: Contexts
     mean: np.ndarray
     scale: np.ndarray
     first: np.ndarray
@@ -75,10 +109,10 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
-def word_vectors(words: list[bytes], contexts: dict[bytes, np.ndarray]) -> np.ndarray:
-    none = np.zeros(DIMENSIONS, np.float32)
-    known = np.array([contexts[w] if w in contexts else contexts.get(form(w), none) for w in words], np.float32).reshape(len(words), DIMENSIONS)
-    return np.concatenate([index_vectors(words), known], axis=1)
+def word_vectors(words: list[bytes], contexts: Contexts) -> np.ndarray:
+    if not words:
+        return np.zeros((0, 2 * DIMENSIONS), np.float32)
+    return np.concatenate([index_vectors(words), contexts.of(words)], axis=1)
 
 
 def pooled(texts: list[bytes], cache: WordCache) -> np.ndarray:
@@ -87,48 +121,51 @@ def pooled(texts: list[bytes], cache: WordCache) -> np.ndarray:
     if not words:
         return np.zeros((len(texts), FEATURES))
     at, table = cache.look_up(words)
-    mean = sum_by_text(table[at], counts) / np.maximum(counts, 1)[:, None]
+    mean = np.zeros((len(texts), 2 * DIMENSIONS))
+    some = np.flatnonzero(counts)
+    begin = (np.cumsum(counts) - counts)[some]
+    mean[some] = np.add.reduceat(table[at], begin, axis=0, dtype=np.float64) / counts[some, None]
     sizes = [np.log(1e-4 + (mean[:, d : d + DIMENSIONS] ** 2).sum(axis=1)) for d in (0, DIMENSIONS)]
     return np.where(counts[:, None] > 0, np.column_stack([mean, *sizes, np.log1p(counts)]), 0)
 
 
-def _contexts(sample: DataFrame, vocabulary: list[bytes]) -> dict[bytes, np.ndarray]:
-    """Context vectors of the vocabulary and of forms, of unit length."""
+def _contexts(sample: DataFrame, vocabulary: list[bytes]) -> Contexts:
+    """Context vectors of the vocabulary and of forms, of unit length; a form that was never seen has none."""
+    n_words = len(vocabulary)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = {w: i for i, w in enumerate(vocabulary)}
-        sums: dict[bytes, np.ndarray] = {}
+        sums = np.zeros((n_words + FORMS, DIMENSIONS))
         for batch in batches:
-            texts = texts_of(batch.column(0))
-            for a, b in slices(len(texts), texts):
-                words, counts = split_slice(texts[a:b])
-                index = {w: i for i, w in enumerate(dict.fromkeys(words))}
+            for a, b, texts in text_slices(batch.column(0)):
+                words, counts = split_slice(texts)
+                if not words:
+                    continue
+                index = WordIndex()
                 at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-                own, owner = index_vectors(list(index))[at], np.repeat(np.arange(b - a), counts)
+                distinct = list(index)
+                own, owner = index_vectors(distinct)[at], np.repeat(np.arange(b - a), counts)
                 around = np.zeros_like(own)
                 for step in range(1, NEAR + 1):
                     same = (owner[step:] == owner[:-step])[:, None]
                     around[step:] += own[:-step] * same
                     around[:-step] += own[step:] * same
-                totals = np.zeros((len(index), DIMENSIONS))
-                np.add.at(totals, at, around)
-                for w, total in zip(index, totals, strict=True):
-                    for key in (w,) * (w in names) + (form(w),):
-                        if key in sums:
-                            sums[key] += total
-                        else:
-                            sums[key] = total.copy()
-        keys = list(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([sums[k].astype("<f8").tobytes() for k in keys], pa.binary())], names=["w", "v"])
-
-    found: dict[bytes, np.ndarray] = {}
-    table = sample.select("t").mapInArrow(gather, "w binary, v binary").toArrow()
-    for w, v in zip(table["w"].to_pylist(), table["v"].to_pylist(), strict=True):
-        found[w] = found.get(w, 0) + np.frombuffer(v, "<f8")
-    return {w: (v / (np.linalg.norm(v) + 1e-9)).astype(np.float32) for w, v in sorted(found.items())}
-
-
-def _fit(features: np.ndarray, labels: np.ndarray, contexts: dict[bytes, np.ndarray]) -> Classifier:
+                order = np.argsort(at, kind="stable")
+                totals = np.add.reduceat(around[order], np.searchsorted(at[order], np.arange(len(distinct))), axis=0, dtype=np.float64)
+                known = np.fromiter((names.get(w, -1) for w in distinct), np.int64, len(distinct))
+                sums[known[known >= 0]] += totals[known >= 0]
+                np.add.at(sums, n_words + forms(distinct), totals)
+        some = np.flatnonzero(sums.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([v.astype("<f8").tobytes() for v in sums[some]], pa.binary())], names=["at", "v"])
+
+    table = sample.select("t").mapInArrow(gather, "at long, v binary").toArrow().sort_by([("at", "ascending"), ("v", "ascending")])
+    sums = np.zeros((n_words + FORMS, DIMENSIONS))
+    np.add.at(sums, table["at"].to_numpy(), np.frombuffer(b"".join(table["v"].to_pylist()), "<f8").reshape(-1, DIMENSIONS))
+    unit = (sums / (np.linalg.norm(sums, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
+    return Contexts({w: i for i, w in enumerate(vocabulary)}, unit[: max(n_words, 1)], unit[n_words:])
+
+
+def _fit(features: np.ndarray, labels: np.ndarray, contexts: Contexts) -> Classifier:
     """Adam over all rows but every fifth, on which the temperature is fitted."""
     mean, scale = features.mean(axis=0), features.std(axis=0) + 1e-6
     x, y = (features - mean) / scale, labels.astype(np.float64)
@@ -174,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     spark = docs.sparkSession
     keys = F.broadcast(spark.createDataFrame([(r["k"], r["y"]) for r in taken], "k string, y int"))
     chosen = docs.select(F.col(key).cast("string").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(keys, "k").repartition(8).persist()
-    counted = chosen.select(F.explode(F.array_distinct(words_of(F.col("t")))).alias("w")).where(F.octet_length("w") <= 64).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    counted = chosen.select(F.explode(F.array_distinct(words_of(F.col("t")))).alias("w")).where(F.octet_length("w") <= 64).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
     vocabulary = [r["w"].encode() for r in counted.orderBy(F.col("n").desc(), "w").limit(VOCABULARY).collect()]
     contexts = _contexts(chosen, vocabulary)
     shared = spark.sparkContext.broadcast(contexts)
@@ -182,9 +219,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache(lambda words: word_vectors(words, shared.value), 100_000)
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for a, b in slices(len(texts), texts):
-                rows = pooled(texts[a:b], cache)
+            for a, b, texts in text_slices(batch.column(1)):
+                rows = pooled(texts, cache)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([r.astype("<f8").tobytes() for r in rows], pa.binary()), batch.column(2).slice(a, b - a)], names=["k", "v", "y"])
 
     table = chosen.mapInArrow(pool, "k string, v binary, y int").toArrow().sort_by([("k", "ascending"), ("v", "ascending")])
@@ -206,10 +242,9 @@ def score(docs: DataFrame, model: Classifier | float, keep: list[str], text: str
         model = shared.value
         cache = None if isinstance(model, float) else WordCache(model.vectors, 100_000)
         for batch in batches:
-            texts = texts_of(batch.column(len(keep)))
-            out = np.full(len(texts), model if isinstance(model, float) else 0.5)
-            for a, b in slices(len(texts), texts) if cache else ():
-                out[a:b] = model.probability(pooled(texts[a:b], cache))
+            out = np.full(batch.num_rows, model if isinstance(model, float) else 0.5)
+            for a, b, texts in text_slices(batch.column(len(keep))) if cache else ():
+                out[a:b] = model.probability(pooled(texts, cache))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text")).mapInArrow(judge, schema)
