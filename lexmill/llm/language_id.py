@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import WordCache, slices, split_slice, sum_by_text, texts_of, words_of
+from lexmill.llm.common import WordCache, split_slice, sum_by_text, text_slices, texts_of, words_of
 
 ORDER = 4
 DOCS_PER_LANG = 1000
 UNKNOWN = "und"
-#: Distinct words of the sample that are counted at a time.
+#: Distinct words of the sample that are counted at a time, and symbols that are coded at a time.
 CHUNK = 40_000
+#: Bytes of the code lengths that a task remembers.
+MEMORY = 24_000_000
 
 
 def _stream(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +51,6 @@ class Level:
 
     grams: np.ndarray
     counts: np.ndarray
-    node: np.ndarray  # row of each gram's context
     contexts: np.ndarray
     total: np.ndarray
     distinct: np.ndarray
@@ -86,6 +87,53 @@ def _gram_counts(words: list[bytes] | pa.ChunkedArray, lang: np.ndarray, weight:
     return [_merged(parts) for parts in levels]
 
 
+class _Memo:
+    """Code lengths of symbols by open addressing, at most half full."""
+
+    _FACTOR, _NONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFFFFFFFFFF)
+
+    def __init__(self, n_langs: int) -> None:
+        bits = max(10, (MEMORY // (8 * n_langs + 8)).bit_length() - 1)
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.cost = np.full(1 << bits, self._NONE), np.zeros((1 << bits, n_langs))
+        self.n = 0
+
+    def room(self, n: int) -> bool:
+        return 2 * (self.n + n) <= len(self.keys)
+
+    def clear(self) -> None:
+        self.keys[:], self.n = self._NONE, 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * self._FACTOR) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, or -1."""
+        at = self._slot(keys)
+        left = np.flatnonzero(self.keys[at] != keys)
+        while len(left):
+            none = self.keys[at[left]] == self._NONE
+            at[left[none]] = -1
+            left = left[~none]
+            at[left] = (at[left] + 1) & self.mask
+            left = left[self.keys[at[left]] != keys[left]]
+        return at
+
+    def add(self, keys: np.ndarray, cost: np.ndarray) -> None:
+        """Takes in distinct keys that are not there yet."""
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] == self._NONE)
+            place, first = np.unique(slot[free], return_index=True)
+            taken = free[first]
+            self.keys[place], self.cost[place] = keys[left[taken]], cost[left[taken]]
+            rest = np.ones(len(left), bool)
+            rest[taken] = False
+            left, slot = left[rest], (slot[rest] + 1) & self.mask
+        self.n += len(keys)
+
+
 class ContextTrees:
     """The trees of all languages over one union of contexts."""
 
@@ -101,7 +149,9 @@ class ContextTrees:
                 shorter = self.levels[-1]
                 row = np.searchsorted(shorter.grams, keys & np.uint64((1 << (8 * k)) - 1))
                 np.add.at(excluded, node, np.where(counts > 0, shorter.counts[row], 0))
-            self.levels.append(Level(keys, counts, node, contexts, total, distinct, excluded))
+            self.levels.append(Level(keys, counts, contexts, total, distinct, excluded))
+        for level in self.levels:  # counts are whole numbers
+            level.counts, level.total, level.distinct, level.excluded = (x.astype(np.uint32) for x in (level.counts, level.total, level.distinct, level.excluded))
 
     def bits(self, words: list[bytes]) -> np.ndarray:
         """Code length of each word, with the blank after it, in each language."""
@@ -111,23 +161,32 @@ class ContextTrees:
         keys = flat.copy()
         for k in range(1, self.order + 1):
             keys[k:] |= np.where(age[k:] >= k, flat[:-k], np.uint64(0)) << np.uint64(8 * k)
-        at = self._known(keys[1:])
         ends = np.flatnonzero(flat == 32)
-        return np.add.reduceat(self.memo[1][at], ends[:-1], axis=0)
-
-    def _known(self, keys: np.ndarray) -> np.ndarray:
-        """Rows of the memo for symbols with their contexts; what is new is added."""
-        known, cost = getattr(self, "memo", (np.zeros(0, np.uint64), np.zeros((0, len(self.langs)))))
-        at = np.searchsorted(known, keys)
-        missing = np.ones(len(keys), bool) if not len(known) else known[np.minimum(at, len(known) - 1)] != keys
-        if not missing.any():
-            return at
-        new = np.unique(keys[missing])
-        if len(known) > 500_000:  # bounds memory; what is forgotten is computed again
-            known, cost, new = known[:0], cost[:0], np.unique(keys)
-        place = np.searchsorted(known, new)
-        self.memo = np.insert(known, place, new), np.insert(cost, place, self._cost(new), axis=0)
-        return np.searchsorted(self.memo[0], keys)
+        at, cost = self._known(keys[1:])
+        return np.add.reduceat(cost[at], ends[:-1], axis=0)
+
+    def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of each symbol with its context, table of code lengths); what is new is remembered as far as MEMORY goes."""
+        memo = self.__dict__.setdefault("memo", _Memo(len(self.langs)))
+        at = memo.find(keys)
+        missing = at < 0
+        if missing.any():
+            new = np.unique(keys[missing])
+            if not memo.room(len(new)):
+                memo.clear()
+                new = np.unique(keys)
+                if not memo.room(len(new)):
+                    return np.searchsorted(new, keys), self._costs(new)
+                missing[:] = True
+            memo.add(new, self._costs(new))
+            at[missing] = memo.find(keys[missing])
+        return at, memo.cost
+
+    def _costs(self, keys: np.ndarray) -> np.ndarray:
+        return np.concatenate([self._cost(keys[a : a + CHUNK]) for a in range(0, max(len(keys), 1), CHUNK)])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "memo"}
 
     def _cost(self, keys: np.ndarray) -> np.ndarray:
         """Bits of symbols (lowest byte) after contexts (the bytes above it, up to the first zero)."""
@@ -153,7 +212,7 @@ class ContextTrees:
             context = grams >> np.uint64(8)
             node = np.minimum(np.searchsorted(level.contexts, context), len(level.contexts) - 1)
             there = use & (level.contexts[node] == context)
-            total, distinct = level.total[node], level.distinct[node]
+            total, distinct = level.total[node].astype(np.float64), level.distinct[node].astype(np.float64)
             known = there[:, None] & (total > 0) & ~done
             room = np.where(begun, distinct - n_banned, distinct)  # escapes: symbols not excluded
             whole = np.where(begun, total - banned, total) + room
@@ -189,39 +248,45 @@ def identify(docs: DataFrame, trees: ContextTrees, text: str = "text", keep: lis
     """Columns ``keep`` (all, if none are named) of every row, then lang_pred, score and bits_per_byte.
 
     Null texts and texts without a letter: ``und``, score 0, null bits_per_byte.
-    Input columns of these three names are dropped.
+    Of languages with equal code lengths the first by name is taken. Input
+    columns of these three names are dropped. Only the text goes to Python, in
+    slices; the other columns stay where they are.
     """
     added = ("lang_pred", "score", "bits_per_byte")
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in added]
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(trees)
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.lower(F.col(text)).alias("__text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    model = docs.sparkSession.sparkContext.broadcast(trees)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trees = model.value
         names = np.array([*trees.langs, UNKNOWN], object)
-        cache = WordCache(trees.bits)
-        for batch in batches:
-            texts = texts_of(batch.column(len(kept)))
-            lettered = np.array(batch.column(len(kept) + 1).to_pylist(), bool)
-            best, post, rate = np.full(len(texts), len(trees.langs)), np.zeros(len(texts)), np.full(len(texts), np.nan)
-            for a, b in slices(len(texts), texts):
-                words, counts = split_slice(texts[a:b])
+        cache = WordCache(trees.bits, max(10_000, min(200_000, MEMORY // (8 * len(trees.langs) + 8))))
+        for column in columns:
+            best, post, rate = np.full(len(column), len(trees.langs)), np.zeros(len(column)), np.full(len(column), np.nan)
+            for a, b, texts in text_slices(column):
+                texts = [t if t.isascii() and t.islower() else t.decode().lower().encode() for t in texts]
+                words, counts = split_slice(texts)
                 if not words or not trees.langs:
                     continue
                 at, table = cache.look_up(words)
                 bits = sum_by_text(table[at], counts)
                 low = bits.min(axis=1)
-                sizes = np.fromiter((len(t) + 1 for t in texts[a:b]), np.float64, b - a)
-                here = lettered[a:b] & (counts > 0)
+                sizes = np.fromiter((len(t) + 1 for t in texts), np.float64, b - a)
+                here = counts > 0
                 best[a:b] = np.where(here, bits.argmin(axis=1), best[a:b])
                 post[a:b] = np.where(here, 1 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(axis=1), 0)
                 rate[a:b] = np.where(here, low / sizes, np.nan)
-            columns = [*batch.columns[: len(kept)], pa.array(names[best], pa.string()), pa.array(post), pa.array(rate, from_pandas=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *added])
-
-    return rows.mapInArrow(score, schema)
+            yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(post), pa.array(rate, from_pandas=True)], names=list(added))
+
+    judged = F.arrow_udf(judge, "lang_pred string, score double, bits_per_byte double")
+    lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter")
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(kept)], lettered, judged(F.col(text)).alias("__judged"))
+    found = F.col("__judged")
+    values = (
+        F.when(F.col("__letter"), found["lang_pred"]).otherwise(F.lit(UNKNOWN)),
+        F.when(F.col("__letter"), found["score"]).otherwise(F.lit(0.0)),
+        F.when(F.col("__letter"), found["bits_per_byte"]),
+    )
+    return rows.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(kept)], *[v.alias(n) for n, v in zip(added, values, strict=True)])
 
 
 def train_and_identify(docs: DataFrame, learn: Column | None = None, keep: list[str] | None = None, **options: object) -> DataFrame:
