@@ -2,18 +2,21 @@
 
 A document is its set of ``n`` consecutive words (one n-gram of all words, if it
 has fewer); documents with equal sets collapse into one representative with a
-count. A representative's signature gives one label per tree, ``DEEPEST``
-MinHash values long, and the forest is the sorted labels of each tree: documents
-under one trie node share a prefix. Prefixes are shortened from the whole label
-until the chance that a pair at the threshold shares one in some tree reaches
-``RECALL`` (``prefix_depth``); only nodes of that depth are looked at.
+count. A representative's signature gives one label per tree, ``DEEPEST`` MinHash
+values long; a tree's sorted labels are its prefix trie. Trie nodes are walked
+from the whole label upwards: a prefix is shortened value by value, and at each
+length only those members are compared that no longer prefix has connected. A
+node is shortened until all below it are connected, or until the length at which
+a pair at the threshold shares a prefix in some tree with a chance of ``RECALL``
+(``prefix_depth``).
 
 Members of a node are compared by their whole signatures; pairs whose agreement
 is not below ``threshold - SLACK`` connect them. Each connected candidate group
 is then verified exactly, all its pairs by their n-grams, also those that shared
-no prefix. Nodes and groups of more than a block of members are dealt as pairs
-of blocks, so no task holds a large group, and a task returns link counts and
-spanning edges, never all pairs. Links and classes count every copy.
+no prefix. Nodes and groups of more than a block, by members or by bytes of text,
+are dealt as pairs of blocks, so no task holds a large group and a text is sent
+once a block of its group; a task returns link counts and spanning edges, never
+all pairs. Links and classes count every copy.
 """
 
 from __future__ import annotations
@@ -28,22 +31,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexmill.llm.common import WordCache, checkpointed, mix64, slices, split_slice, texts_of
+from lexmill.llm.common import WordCache, checkpointed, mix64, split_slice, text_slices
 from lexmill.llm.components import components
 from lexmill.llm.substring_dedup import window_hashes, word_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
 TREES = 20
-DEEPEST = 4
+DEEPEST = 8
 RECALL = 0.9999
 SLACK = 0.22
 NODE_BLOCK = 1024
-GROUP_BLOCK = 256
+GROUP_BLOCK = 768
+GROUP_BYTES = 6_000_000
 
 
 def prefix_depth(trees: int = TREES, deepest: int = DEEPEST, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair at the threshold is met with at least this chance."""
+    """The length to which prefixes are shortened at most: the longest at which a pair at the threshold is met with this chance."""
     for depth in range(deepest, 1, -1):
         if 1 - (1 - threshold**depth) ** trees >= recall:
             return depth
@@ -81,24 +85,24 @@ def gram_sets(texts: list[bytes], cache: WordCache, n: int) -> list[np.ndarray]:
 
 
 def _signed(docs: DataFrame, text: str, key: str, n: int) -> DataFrame:
-    """id, mark (a hash of the text), f1 and f2 (a fingerprint of the n-gram set), sig; without documents that have no word."""
+    """id, mark (a hash of the text), bytes, f1 and f2 (a fingerprint of the n-gram set), sig; without documents that have no word."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache(word_hashes)
         for batch in batches:
-            ids, marks, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))
-            for a, b in slices(len(texts), texts):
+            ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b, texts in text_slices(batch.column(2)):
                 rows = []
-                for own, mark, grams in zip(ids[a:b], marks[a:b], gram_sets(texts[a:b], cache, n), strict=True):
+                for own, mark, value, grams in zip(ids[a:b], marks[a:b], texts, gram_sets(texts, cache, n), strict=True):
                     if len(grams):
                         digest = xxhash.xxh3_128_digest(grams.tobytes())
-                        rows.append((own, mark, *np.frombuffer(digest, "<i8").tolist(), signature(grams).tobytes()))
+                        rows.append((own, mark, len(value), *np.frombuffer(digest, "<i8").tolist(), signature(grams).tobytes()))
                 if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "mark", "f1", "f2", "sig"])
+                    kinds = (*[pa.int64()] * 5, pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "mark", "bytes", "f1", "f2", "sig"])
 
     known = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long"), F.xxhash64(F.col(text)), F.col(text))
-    return known.mapInArrow(sign, "id long, mark long, f1 long, f2 long, sig binary")
+    return known.mapInArrow(sign, "id long, mark long, bytes long, f1 long, f2 long, sig binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -141,11 +145,39 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _blocks(rows: DataFrame, group: str, size: str, member: str, block: int) -> DataFrame:
-    """Adds part (a key of the task's rows) and own (the row's block of two, or 0 within one): large groups as pairs of blocks."""
-    parts = F.greatest(F.lit(1), F.ceil(F.col(size) / block)).cast("int")
+def walk(labels: np.ndarray, sigs: np.ndarray, own: np.ndarray, depth: int, least: int) -> list[tuple[int, int]]:
+    """Spanning edges of one trie node: rows that share ``depth`` values of their labels.
+
+    Longer prefixes first; rows of one block (``own`` is not negative) are not
+    compared with each other.
+    """
+    n, most = labels.shape
+    order = np.lexsort(labels.T[::-1])
+    labels, sigs, own = labels[order], sigs[order], own[order]
+    differs = labels[1:] != labels[:-1]
+    shared = np.where(differs.any(axis=1), differs.argmax(axis=1), most)  # values that a row shares with the one before
+    root, below, edges = np.arange(n), np.arange(n), []
+    for length in range(most, depth - 1, -1):
+        node = np.concatenate([[0], np.cumsum(shared < length)])
+        for a, b in zip(begins := np.flatnonzero(np.diff(node, prepend=-1)), np.append(begins[1:], n), strict=True):
+            if b - a < 2 or (root[a:b] == root[a]).all():
+                continue
+            for i in range(a, b - 1):
+                # Rows below one longer prefix have met before.
+                others = i + 1 + np.flatnonzero((root[i + 1 : b] != root[i]) & (below[i + 1 : b] != below[i]) & ((own[i] < 0) | (own[i + 1 : b] != own[i])))
+                if len(others):
+                    for j in others[(sigs[others] == sigs[i]).sum(axis=1) >= least].tolist():
+                        if root[j] != root[i]:
+                            edges.append((int(order[i]), int(order[j])))
+                            root[root == root[j]] = root[i]
+        below = node
+    return edges
+
+
+def _blocks(rows: DataFrame, group: str, parts: Column, member: str) -> DataFrame:
+    """Adds part (a key of the task's rows) and own (the row's block of two, or -1 within one): groups of several parts as pairs of blocks."""
     own = F.pmod(F.xxhash64(member), F.col("__parts")).cast("int")
-    dealt = rows.withColumn("__parts", parts).withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    dealt = rows.withColumn("__parts", F.greatest(F.lit(1), parts).cast("int")).withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
     low, high = F.least("__own", "__other"), F.greatest("__own", "__other")
     return dealt.withColumn("part", F.xxhash64(F.col(group), low, high)).withColumn("own", F.when(low == high, F.lit(-1)).otherwise(F.when(F.col("__own") == low, F.lit(0)).otherwise(F.lit(1)))).drop("__parts", "__own", "__other")
 
@@ -162,15 +194,15 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
     def label(tree: Column) -> Column:
         return F.xxhash64(tree, F.substr("sig", tree * F.lit(2 * DEEPEST) + F.lit(1), F.lit(2 * depth)))
 
-    leaves = reps.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("rep", label(F.col("tree")).alias("node"))
+    leaves = reps.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("rep", "tree", label(F.col("tree")).alias("node"))
     nodes = leaves.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = leaves.join(nodes, "node").join(reps.select("rep", "sig"), "rep")
-    dealt = _blocks(shared, "node", "size", "rep", NODE_BLOCK)
+    dealt = _blocks(shared, "node", F.ceil(F.col("size") / NODE_BLOCK), "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, begins in _runs(batches):
-            reps, own = table.column(1).to_numpy(), table.column(2).to_numpy()
-            sigs = np.frombuffer(b"".join(table.column(3).to_pylist()), "<u2").reshape(len(reps), -1)
+            reps, own, tree = (table.column(i).to_numpy() for i in (1, 2, 3))
+            sigs = np.frombuffer(b"".join(table.column(4).to_pylist()), "<u2").reshape(len(reps), -1)
             ends = np.append(begins[1:], len(reps))
             edges = []
             two = np.flatnonzero(ends - begins == 2)
@@ -179,15 +211,14 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
             edges.append(np.column_stack([reps[fine], reps[fine + 1]]))
             for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
                 if b - a > 2:
-                    near = np.stack([(sigs[a:b] == sigs[i]).sum(axis=1) >= least for i in range(a, b)])
-                    near &= (own[a:b, None] < 0) | (own[a:b, None] != own[None, a:b])
-                    edges.append(reps[a + np.array(_forest(near), np.int64).reshape(-1, 2)])
+                    labels = sigs[a:b, DEEPEST * tree[a] : DEEPEST * (tree[a] + 1)]
+                    edges.append(reps[a + np.array(walk(labels, sigs[a:b], own[a:b], depth, least), np.int64).reshape(-1, 2)])
             found = np.concatenate(edges)
             if len(found):
                 found = np.unique(np.column_stack([found.max(axis=1), found.min(axis=1)]), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    return _by_part(dealt, ["part", "rep", "own", "sig"], compare, "a long, b long").distinct()
+    return _by_part(dealt, ["part", "rep", "own", "tree", "sig"], compare, "a long, b long").distinct()
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -217,13 +248,13 @@ def _verify(groups: DataFrame, threshold: float, n: int) -> DataFrame:
         cache = WordCache(word_hashes)
         for table, begins in _runs(batches):
             reps, own, copies, marks = (table.column(i).to_numpy() for i in (1, 2, 3, 4))
-            texts = texts_of(table.column(5))
+            texts = table.column(5).combine_chunks()
             ends = np.append(begins[1:], len(reps))
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
             for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
                 sets: list[np.ndarray] = []
-                for c, d in slices(b - a, texts[a:b]):
-                    sets += gram_sets(texts[a + c : a + d], cache, n)
+                for _, _, own_texts in text_slices(texts.slice(a, b - a)):
+                    sets += gram_sets(own_texts, cache, n)
                 sizes = np.array([len(s) for s in sets])
                 both = overlaps(sets)
                 near = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
@@ -249,14 +280,15 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key:
     """
     signed = checkpointed(_signed(docs, text, key, n), "signatures")
     # Of equal sets the row with the smallest id speaks; all have the same signature.
-    reps = signed.groupBy("f1", "f2").agg(F.min(F.struct("id", "mark")).alias("m"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
-    reps = checkpointed(reps.select("f1", "f2", F.col("m.id").alias("rep"), F.col("m.mark").alias("mark"), "copies", "sig"), "representatives")
+    reps = signed.groupBy("f1", "f2").agg(F.min(F.struct("id", "mark", "bytes")).alias("m"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    reps = checkpointed(reps.select("f1", "f2", F.col("m.id").alias("rep"), F.col("m.mark").alias("mark"), F.col("m.bytes").alias("bytes"), "copies", "sig"), "representatives")
     candidates = components(candidate_edges(reps, threshold))
-    sizes = candidates.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    members = candidates.join(sizes, "label").join(reps.select("rep", "mark", "copies"), F.col("node") == F.col("rep")).select("rep", "mark", "label", "size", "copies")
+    members = candidates.join(reps.select("rep", "mark", "bytes", "copies"), F.col("node") == F.col("rep")).select("rep", "mark", "label", "bytes", "copies")
+    sizes = members.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK), F.ceil(F.sum("bytes") / GROUP_BYTES)).alias("parts"))
+    members = members.join(sizes, "label").drop("bytes")
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
     asked = texts.join(members, ["rep", "mark"]).dropDuplicates(["rep", "mark"])  # repeated rows: copies has counted them
-    found = checkpointed(_verify(_blocks(asked, "label", "size", "rep", GROUP_BLOCK), threshold, n), "links")
+    found = checkpointed(_verify(_blocks(asked, "label", F.col("parts"), "rep"), threshold, n), "links")
     classes = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("rep", "mark").agg(F.sum("links").alias("links"))
     known = reps.select("f1", "f2", "rep", "mark", "copies").join(links, ["rep", "mark"], "left").join(classes.select(F.col("node").alias("rep"), "label"), "rep", "left")
