@@ -10,14 +10,18 @@ earliest window of all blocks, and returns the others' places by document.
 Finally each document's repeated windows merge into maximal intervals of words,
 which are cut out. The number of buckets follows the size of the texts.
 
-Two windows count as equal if their hashes are: 56 bits and the bucket's own,
-64 bits from 400 million windows on. Rows with the same id and text are one
-document; rows with the same id and other texts are told apart by a text hash.
+Two windows count as equal if their hashes are. A hash has ``hash_bytes`` bytes,
+by the size of the corpus: so many that all pairs of windows together have a
+chance of at most one in a hundred to share one by accident (61 bits at 10^8
+windows, 93 bits at 10^13). Rows with the same id and text are
+one document; rows with the same id and other texts are told apart by a text
+hash. A null id is the smallest number; null and empty texts have no window.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,21 +30,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import WordCache, mix64, slices, split_slice, texts_of
+from lexmill.llm.common import WordCache, mix64, split_slice, text_slices, texts_of
 
 WINDOW = 20
 BLOCK = 1_000_000
 BUCKET = 3_000_000
 #: Bytes of text for each word, at least, for the number of buckets.
 BYTES_EACH = 6
-_BASE = 0x9E3779B97F4A7C15
+_BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+
+def hash_bytes(n_windows: int, bits: int) -> tuple[int, int]:
+    """(bytes stored of a window's hash, bytes of a second hash), where the top ``bits`` of the hash are the bucket's number."""
+    need = math.ceil(2 * math.log2(max(n_windows, 2)) + 5.7)
+    if 56 + min(bits, 8) >= need:
+        return 7, 0
+    return 7 if bits >= 8 else 8, min(8, max(0, -(-(need - 64) // 8)))
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def window_hashes(hashes: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_hashes(hashes: np.ndarray, counts: np.ndarray, window: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text number, start) of every window of texts with ``counts`` words each, by text and start."""
     n_windows = np.maximum(counts - window + 1, 0)
     owner = np.repeat(np.arange(len(counts)), n_windows)
@@ -52,11 +64,11 @@ def window_hashes(hashes: np.ndarray, counts: np.ndarray, window: int) -> tuple[
         parts = [(hashes, 1)]  # hashes of runs of 1, 2, 4, ... words
         while parts[-1][1] * 2 <= window:
             last, n = parts[-1]
-            factor = np.uint64(pow(_BASE, n, 1 << 64))
+            factor = np.uint64(pow(base, n, 1 << 64))
             parts.append((last[: max(len(last) - n, 0)] * factor + last[n:], 2 * n))
         for run, n in reversed(parts):
             if done + n <= window:
-                factor = np.uint64(pow(_BASE, n, 1 << 64))
+                factor = np.uint64(pow(base, n, 1 << 64))
                 rolled = rolled * factor + run[done : done + len(rolled)]
                 done += n
     return mix64(rolled[at]), owner, start
@@ -73,41 +85,42 @@ def _unplanes(data: memoryview, n: int, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _encode(ids: np.ndarray, marks: np.ndarray, start: np.ndarray, hashes: np.ndarray | None, width: int) -> bytes:
-    """Windows in order of their documents: ids and text hashes once a document, then starts and hashes."""
+def _encode(ids: np.ndarray, marks: np.ndarray, start: np.ndarray, hashes: np.ndarray | None, width: int, more: np.ndarray | None = None, extra: int = 0) -> bytes:
+    """Windows in order of their documents: ids and text hashes once a document, then starts, hashes and their further bytes."""
     new = np.ones(len(ids), bool)
     new[1:] = (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])
     first = np.flatnonzero(new)
     sizes = np.diff(np.append(first, len(ids)))
     head = np.array([len(first), len(ids)], "<u4").tobytes()
     body = _planes(ids[first].view(np.uint64), 8) + _planes(marks[first], 4) + _planes(sizes, 4) + _planes(start, 4)
-    return head + body + (_planes(hashes, width) if hashes is not None else b"")
+    return head + body + (_planes(hashes, width) + _planes(more, extra) if hashes is not None else b"")
 
 
-def _decode(payload: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, text hashes, starts and hashes (none: empty) of each window."""
+def _decode(payload: bytes, width: int, extra: int = 0) -> tuple[np.ndarray, ...]:
+    """ids, text hashes, starts, hashes (none: empty) and their further bytes of each window."""
     data = memoryview(payload)
     n_docs, n = (int(x) for x in np.frombuffer(data[:8], "<u4"))
     at, found = 8, []
-    for size, w in ((n_docs, 8), (n_docs, 4), (n_docs, 4), (n, 4), (n if len(payload) > 8 + 16 * n_docs + 4 * n else 0, width)):
+    hashed = n if len(payload) > 8 + 16 * n_docs + 4 * n else 0
+    for size, w in ((n_docs, 8), (n_docs, 4), (n_docs, 4), (n, 4), (hashed, width), (hashed, extra)):
         found.append(_unplanes(data[at:], size, w))
         at += size * w
     sizes = found[2].astype(np.int64)
-    return np.repeat(found[0].view(np.int64), sizes), np.repeat(found[1], sizes), found[3].astype(np.int64), found[4]
+    return np.repeat(found[0].view(np.int64), sizes), np.repeat(found[1], sizes), found[3].astype(np.int64), found[4], found[5]
 
 
 class _Block:
     """Windows gathered by a task until there are enough of them."""
 
-    def __init__(self, bits: int, width: int) -> None:
-        self.bits, self.width = bits, width
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def __init__(self, bits: int, width: int, extra: int) -> None:
+        self.bits, self.width, self.extra = bits, width, extra
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.ids: list[int] = []
         self.marks: list[int] = []
         self.n = 0
 
-    def add(self, ids: list[int], marks: list[int], hashes: np.ndarray, owner: np.ndarray, start: np.ndarray) -> None:
-        self.parts.append((hashes, owner + len(self.ids), start))
+    def add(self, ids: list[int], marks: list[int], hashes: np.ndarray, more: np.ndarray, owner: np.ndarray, start: np.ndarray) -> None:
+        self.parts.append((hashes, more, owner + len(self.ids), start))
         self.ids += ids
         self.marks += marks
         self.n += len(hashes)
@@ -123,14 +136,12 @@ class _Block:
         same[0] = False
         rank[order] = np.cumsum(~same) - 1  # equal rows are one document
         ids, marks = ids[order][~same], marks[order][~same]
-        hashes, owner, start = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        hashes, more, owner, start = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         owner = rank[owner]
         by_place = np.lexsort((start, owner))
-        hashes, owner, start = hashes[by_place], owner[by_place], start[by_place]
-        by_hash = np.argsort(hashes, kind="stable")
-        sorted_hashes = hashes[by_hash]
-        leads = np.ones(len(hashes), bool)
-        leads[1:] = sorted_hashes[1:] != sorted_hashes[:-1]
+        hashes, more, owner, start = hashes[by_place], more[by_place], owner[by_place], start[by_place]
+        by_hash = np.lexsort((more, hashes)) if self.extra else np.argsort(hashes, kind="stable")
+        leads = _new(hashes[by_hash], more[by_hash])
         lead = by_hash[np.maximum.accumulate(np.where(leads, np.arange(len(leads)), 0))]  # earliest of the same hash
         repeat = np.zeros(len(hashes), bool)
         repeat[by_hash] = ~leads & ((owner[by_hash] != owner[lead]) | (start[by_hash] != start[lead]))
@@ -138,12 +149,21 @@ class _Block:
         first[by_hash] = leads
         bucket = (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
         if repeat.any():
-            yield int(bucket[np.argmax(repeat)]), 1, _encode(ids[owner[repeat]], marks[owner[repeat]], start[repeat], None, self.width)
+            # These need no comparison; blocks deal them to any bucket, each to another.
+            own = int(mix64(np.array([ids[0] ^ len(hashes)]).view(np.uint64))[0])
+            yield own >> (64 - self.bits), 1, _encode(ids[owner[repeat]], marks[owner[repeat]], start[repeat], None, self.width)
         kept = np.flatnonzero(first)
         kept = kept[np.argsort(bucket[kept].astype(np.uint32), kind="stable")]
         numbers, begins = np.unique(bucket[kept], return_index=True)
         for number, own in zip(numbers.tolist(), np.split(kept, begins[1:]), strict=True):
-            yield number, 0, _encode(ids[owner[own]], marks[owner[own]], start[own], hashes[own], self.width)
+            yield number, 0, _encode(ids[owner[own]], marks[owner[own]], start[own], hashes[own], self.width, more[own], self.extra)
+
+
+def _new(hashes: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Where, in sorted hashes, another one begins."""
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (more[1:] != more[:-1])
+    return new
 
 
 def _by_document(ids: np.ndarray, marks: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
@@ -167,41 +187,41 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "text",
     """__id, __mark, starts (packed): the windows of each document whose words also start earlier."""
     size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     bits = max(0, (int(size) // BYTES_EACH // BUCKET).bit_length())
-    width = 7 if bits <= 8 else 8
-    # With few buckets, what is stored of a hash leaves out its top byte: the bucket has the top bits.
+    width, extra = hash_bytes(int(size) // BYTES_EACH, bits)
+    mask = np.uint64((1 << 8 * extra) - 1 if extra < 8 else 0xFFFFFFFFFFFFFFFF)
     keyed = _keyed(docs, key, text).where(F.col(text).isNotNull()).select("__id", "__mark", F.col(text))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, block = WordCache(word_hashes), _Block(bits, width)
+        cache, block = WordCache(word_hashes), _Block(bits, width, extra)
 
         def flushed() -> Iterator[pa.RecordBatch]:
             for number, kind, payload in block.rows():
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([kind], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "kind", "payload"])
 
         for batch in batches:
-            ids, marks, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))
-            for a, b in slices(len(texts), texts):
-                words, counts = split_slice(texts[a:b])
+            ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b, texts in text_slices(batch.column(2)):
+                words, counts = split_slice(texts)
                 if len(words) < window:
                     continue
                 at, table = cache.look_up(words)
-                block.add(ids[a:b], marks[a:b], *window_hashes(table[at], counts, window))
+                hashes, owner, start = window_hashes(table[at], counts, window)
+                more = window_hashes(mix64(table[at]), counts, window, _BASE2)[0] & mask if extra else np.zeros(len(hashes), np.uint64)
+                block.add(ids[a:b], marks[a:b], hashes, more, owner, start)
                 if block.n >= BLOCK:
                     yield from flushed()
-                    block = _Block(bits, width)
+                    block = _Block(bits, width, extra)
         yield from flushed()
 
     def compare(table: pa.Table) -> pa.Table:
         kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
-        found = [_decode(p, width) for k, p in zip(kinds, payloads, strict=True) if k == 1]
-        parts = [_decode(p, width) for k, p in zip(kinds, payloads, strict=True) if k == 0]
-        out = [(i, m, s) for i, m, s, _ in found]
+        parts = [_decode(p, width, extra) for k, p in zip(kinds, payloads, strict=True) if k == 0]
+        out = [_decode(p, width)[:3] for k, p in zip(kinds, payloads, strict=True) if k == 1]
         if parts:
-            ids, marks, start, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((start, marks, ids, hashes))
-            ids, marks, start, hashes = ids[order], marks[order], start[order], hashes[order]
-            new = np.ones(len(ids), bool)
-            new[1:] = hashes[1:] != hashes[:-1]
+            ids, marks, start, hashes, more = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((start, marks, ids, more, hashes) if extra else (start, marks, ids, hashes))
+            ids, marks, start, hashes, more = ids[order], marks[order], start[order], hashes[order], more[order]
+            new = _new(hashes, more)
             lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             later = (ids != ids[lead]) | (marks != marks[lead]) | (start != start[lead])
             out.append((ids[later], marks[later], start[later]))
