@@ -7,6 +7,7 @@ Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``: exactly what
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,9 +26,11 @@ SLICE = 256
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is configured (tests), a local one."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
         root = os.path.join(tempfile.gettempdir(), "lexmill-checkpoints")
     return root.rstrip("/")
 
@@ -36,7 +39,17 @@ def checkpointed(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table into the shared folder and read again: lineage ends there, and lost executors lose nothing."""
     path = f"{checkpoint_root(df.sparkSession)}/lexmill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``checkpointed`` from which all that is needed has been written elsewhere."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:

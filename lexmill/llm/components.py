@@ -2,7 +2,8 @@
 
 Edges stay in Spark; every round is written to the shared folder. A node's
 smallest neighbour comes from an aggregate with partial minima, and the joins
-are plain equi-joins, so a node with very many edges is one more skewed key.
+are plain equi-joins with one row a node on one side, whose skewed partitions
+adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import checkpointed
+from lexmill.llm.common import checkpointed, discard
 
 MOST_ROUNDS = 60
 
@@ -30,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = checkpointed(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        last, now = now, checkpointed(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        discard(last)
         after = _digest(now)
         if after == before:
             break

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexmill.llm.common import WordCache, checkpointed, mix64, split_slice, text_slices
+from lexmill.llm.common import WordCache, checkpointed, discard, mix64, split_slice, text_slices
 from lexmill.llm.components import components
 from lexmill.llm.substring_dedup import window_hashes, word_hashes
 
@@ -282,7 +282,11 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key:
     # Of equal sets the row with the smallest id speaks; all have the same signature.
     reps = signed.groupBy("f1", "f2").agg(F.min(F.struct("id", "mark", "bytes")).alias("m"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
     reps = checkpointed(reps.select("f1", "f2", F.col("m.id").alias("rep"), F.col("m.mark").alias("mark"), F.col("m.bytes").alias("bytes"), "copies", "sig"), "representatives")
+    ids = checkpointed(signed.select("id", "f1", "f2"), "members")
+    discard(signed)
     candidates = components(candidate_edges(reps, threshold))
+    whole, reps = reps, checkpointed(reps.drop("sig"), "representatives")
+    discard(whole)
     members = candidates.join(reps.select("rep", "mark", "bytes", "copies"), F.col("node") == F.col("rep")).select("rep", "mark", "label", "bytes", "copies")
     sizes = members.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK), F.ceil(F.sum("bytes") / GROUP_BYTES)).alias("parts"))
     members = members.join(sizes, "label").drop("bytes")
@@ -293,7 +297,7 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key:
     links = found.groupBy("rep", "mark").agg(F.sum("links").alias("links"))
     known = reps.select("f1", "f2", "rep", "mark", "copies").join(links, ["rep", "mark"], "left").join(classes.select(F.col("node").alias("rep"), "label"), "rep", "left")
     known = known.select("f1", "f2", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    worded = signed.select("id", "f1", "f2").join(known, ["f1", "f2"]).select(F.col("id").alias(key), "class_id", "n_links")
+    worded = ids.join(known, ["f1", "f2"]).select(F.col("id").alias(key), "class_id", "n_links")
     wordless = docs.where(F.col(key).isNull() | F.coalesce(~F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
     return worded.unionByName(wordless.select(F.col(key).cast("long").alias(key), F.col(key).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import WORD, checkpointed, words_of
+from lexmill.llm.common import WORD, checkpointed, discard, words_of
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -188,7 +188,8 @@ def estimates(rows: DataFrame, few: bool = True) -> DataFrame:
     """For each __group the centre, the factor and the log determinant of the scatter, the median of the squared distances and the size."""
     fit = checkpointed(_starts(rows), "mcd")
     for _ in range(2):
-        fit = checkpointed(_concentrated(rows, fit, few), "mcd")
+        last, fit = fit, checkpointed(_concentrated(rows, fit, few), "mcd")
+        discard(last)
     best = F.min_by(F.struct("__start", *_CENTRE, *_LOWER, "logdet"), F.struct("logdet", "__start")).alias("best")
     fit = checkpointed(fit.groupBy("__group").agg(best).select("__group", "best.*"), "mcd")
     moving = fit.select("__group")  # the groups whose determinant still falls
