@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = r"[ \t\n\r]+"
+#: Bytes of terms that are looked for in one pass over the texts.
+TERM_BYTES = 32_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -100,3 +105,39 @@ def vector_norm(vector: Column) -> Column:
 
 def contains_term(text: Column, term: Column) -> Column:
     return F.contains(text, term)
+
+
+def containing(docs: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
+    """key, term: every text with every one of the terms (column ``term``) that it contains.
+
+    The terms become an automaton, so a text is read once, however many there
+    are. Their size is checked: beyond ``TERM_BYTES`` they are dealt by hash, and
+    each share takes another pass.
+    """
+    import ahocorasick
+
+    known = terms.where(F.length("term") > 0).select("term").distinct()
+    size = known.agg(F.sum(F.octet_length("term")).alias("n")).first()["n"] or 0
+    schema = docs.select(F.col(f"`{key}`")).schema.add("term", "string")
+    passes = int(size) // TERM_BYTES + 1
+    found = None
+    for share in range(passes):
+        own = [r["term"] for r in known.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == share).collect()]
+        shared = docs.sparkSession.sparkContext.broadcast(own)
+
+        def look(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for term in shared.value:
+                automaton.add_word(term, term)
+            automaton.make_automaton()
+            for batch in batches:
+                at, hits = [], []
+                for i, value in enumerate(batch.column(1)):
+                    for term in sorted({t for _, t in automaton.iter(value.as_py() or "")}) if shared.value else ():
+                        at.append(i)
+                        hits.append(term)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(hits, pa.string())], names=[key, "term"])
+
+        part = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(look, schema)
+        found = part if found is None else found.unionByName(part)
+    return found

@@ -4,14 +4,18 @@ At each start the longest prefix that any name shares is walked; the start
 matches only if that whole prefix is itself a name (there is no way back to a
 shorter one). Matches are taken from the left and don't overlap.
 
-Only tokens that begin some name leave a document: a start joins the table of
-first words (with the longest name each begins), then the prefixes it may have
-join the table of prefixes. Both are equi-joins on text; the overlap rule is a
-fold over a document's few hits.
+Only tokens that begin some name are tried: words meet the table of first words
+(with the longest name that each begins), a document gets its starts back, and a
+start carries as many words as its own longest name has. Prefixes meet the table
+of prefixes in an equi-join on text; the overlap rule is one sweep over a
+document's hits in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +31,10 @@ def hits(docs: DataFrame, names: DataFrame) -> DataFrame:
     known = names.select("name").distinct().where(F.size("name") > 0)
     prefixes = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("name")), lambda i: F.struct(_text(F.col("name"), i).alias("prefix"), i.alias("n")))).alias("p")).select("p.prefix", "p.n").distinct()
     firsts = known.groupBy(F.col("name")[0].alias("first")).agg(F.max(F.size("name")).alias("longest"))
-    # A start carries only as many words as the longest name has: never its whole document.
-    most = known.agg(F.max(F.size("name")).alias("n")).first()["n"] or 1
-    places = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.struct((i - 1).alias("b"), F.slice("words", i, most).alias("ahead")))
-    starts = docs.where(F.size("words") > 0).select("doc_id", F.explode(places).alias("s")).select("doc_id", "s.b", "s.ahead", F.col("s.ahead")[0].alias("first"))
-    tried = starts.join(firsts, "first").select("doc_id", "b", F.slice("ahead", 1, F.col("longest")).alias("ahead"))
+    placed = docs.select("doc_id", F.posexplode("words").alias("b", "first")).join(firsts, "first")
+    starts = placed.groupBy("doc_id").agg(F.collect_list(F.struct("b", "longest")).alias("starts"))
+    tried = docs.join(starts, "doc_id").select("doc_id", "words", F.explode("starts").alias("s"))
+    tried = tried.select("doc_id", "s.b", F.slice("words", F.col("s.b") + 1, F.col("s.longest")).alias("ahead"))
     tried = tried.select("doc_id", "b", F.explode(F.transform(F.sequence(F.lit(1), F.size("ahead")), lambda i: F.struct(_text(F.col("ahead"), i).alias("prefix"), i.alias("n")))).alias("p")).select("doc_id", "b", "p.prefix", "p.n")
     walked = tried.join(prefixes, ["prefix", "n"]).groupBy("doc_id", "b").agg(F.max(F.struct("n", "prefix")).alias("w")).select("doc_id", "b", "w.n", "w.prefix")
     whole = known.select(_text(F.col("name"), F.size("name")).alias("prefix"), F.col("name"))
@@ -40,11 +43,27 @@ def hits(docs: DataFrame, names: DataFrame) -> DataFrame:
 
 def leftmost(found: DataFrame) -> DataFrame:
     """doc_id, b, e, name: of the hits, from the left, those that start where the last one taken has ended."""
-    ordered = F.array_sort(F.collect_list(F.struct("b", (F.col("b") + F.col("n")).alias("e"), "name")))
-    lists = found.groupBy("doc_id").agg(ordered.alias("all"))
-    empty = F.slice(F.col("all"), 1, 0)
-    taken = F.aggregate("all", empty, lambda acc, h: F.when((F.size(acc) == 0) | (F.coalesce(F.try_element_at(acc, F.lit(-1))["e"], F.lit(0)) <= h["b"]), F.concat(acc, F.array(h))).otherwise(acc))
-    return lists.select("doc_id", F.explode(taken).alias("h")).select("doc_id", "h.b", "h.e", "h.name")
+    schema = found.select("doc_id", "b", (F.col("b") + F.col("n")).alias("e"), "name").schema
+    lists = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("b", (F.col("b") + F.col("n")).alias("e"), "name"))).alias("hits"))
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = batch.column(1)
+            rows = hits.flatten()
+            b, e = (rows.field(n).to_pylist() for n in ("b", "e"))
+            owners, taken, at = [], [], 0
+            for owner, size in enumerate(hits.value_lengths().to_pylist()):
+                end = 0
+                for i in range(at, at + size):
+                    if b[i] >= end:
+                        owners.append(owner)
+                        taken.append(i)
+                        end = e[i]
+                at += size
+            rows = rows.take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), *(rows.field(n) for n in ("b", "e", "name"))], names=["doc_id", "b", "e", "name"])
+
+    return lists.mapInArrow(sweep, schema)
 
 
 def annotate(docs: DataFrame, names: DataFrame) -> DataFrame:

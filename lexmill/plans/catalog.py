@@ -131,10 +131,7 @@ SELECT doc_id, t AS term FROM documents JOIN term ON contains(text, t)""")
 def term_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = read(spark, sf_dir, "benchmark").select(F.explode(F.slice(F.split("text", text.BLANKS, -1), 1, 2)).alias("w"))
     terms = words.where(F.length("w") > 1).select(F.concat("w", F.lit(" ")).alias("term")).distinct()
-    # A list of terms is short by its nature; one array of them meets each text once.
-    lists = terms.agg(F.collect_list("term").alias("terms"))
-    found = read(spark, sf_dir, "documents").join(F.broadcast(lists)).select("doc_id", F.explode(F.filter("terms", lambda t: F.contains("text", t))).alias("term"))
-    return found
+    return text.containing(read(spark, sf_dir, "documents"), terms, "doc_id", "text")
 
 
 # Sequences.
@@ -256,7 +253,7 @@ def maximal_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.maximal_spans(_wide_spans(spark, sf_dir), ["user_id"])
 
 
-@query(_TURNS + " p AS (SELECT conv_id, turn, i, word, b, b + length(word) AS ce FROM s) SELECT f.conv_id, f.turn, f.i::INTEGER AS b, (f.i + 3)::INTEGER AS e, f.b::BIGINT AS cb, l.ce::BIGINT AS ce FROM p f JOIN p l ON l.conv_id = f.conv_id AND l.turn = f.turn AND l.i = f.i + 2 WHERE f.i % 5 = 0")
+@query(_TURNS + " p AS (SELECT conv_id, turn, i, word, b, b + length(word) AS ce FROM s) SELECT f.conv_id, f.turn, f.i::INTEGER AS b, (f.i + 3)::INTEGER AS e, f.b::BIGINT AS cb, l.ce::BIGINT AS ce FROM p f JOIN p l ON l.conv_id = f.conv_id AND l.turn = f.turn AND l.i = f.i + 2")
 def token_char_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = _turn_tokens(spark, sf_dir).select("conv_id", "turn", F.col("i").alias("idx"), F.col("b").alias("cb"), F.col("e").alias("ce"))
     asked = tokens.select("conv_id", "turn", F.col("idx").alias("b"), (F.col("idx") + 3).alias("e"))
@@ -296,10 +293,11 @@ def alias_multimap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p(cls, prio) AS (VALUES ('MACHINERY', 0), ('BUILDING', 1), ('AUTOMOBILE', 2), ('HOUSEHOLD', 3), ('FURNITURE', 4))
-SELECT c_nationkey, arg_min(cls, prio) AS cls FROM customer JOIN p ON cls = c_mktsegment WHERE c_acctbal > 9000 GROUP BY 1""")
+SELECT c_nationkey * 10000 + floor(c_acctbal / 10)::BIGINT AS k, arg_min(cls, prio) AS cls FROM customer JOIN p ON cls = c_mktsegment GROUP BY 1""")
 def class_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = spark.createDataFrame([(c, i) for i, c in enumerate(("MACHINERY", "BUILDING", "AUTOMOBILE", "HOUSEHOLD", "FURNITURE"))], "cls string, prio int")
-    return joins.by_priority(read(spark, sf_dir, "customer").select("c_nationkey", F.col("c_mktsegment").alias("cls")), "c_nationkey", "cls", order)
+    key = (F.col("c_nationkey") * 10000 + F.floor(F.col("c_acctbal") / 10)).cast("long").alias("k")
+    return joins.by_priority(read(spark, sf_dir, "customer").select(key, F.col("c_mktsegment").alias("cls")), "k", "cls", order)
 
 
 @query("""WITH a AS (SELECT l_orderkey AS k, l_partkey AS pa, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) AS rank FROM lineitem WHERE l_returnflag = 'A'),
@@ -331,7 +329,7 @@ def tag_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Graphs: customers buy from suppliers; nations sell to nations; documents form a binary tree.
 
-_TRADE = """WITH trade AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderkey % 97 = 0)
+_TRADE = """WITH trade AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey)
 """
 _TRADE_RECURSIVE = _TRADE.replace("WITH trade", "WITH RECURSIVE trade", 1)
 
@@ -350,26 +348,64 @@ def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbours(edges)
 
 
-@query(_TRADE_RECURSIVE + """, w AS (SELECT n_nationkey AS start, n_nationkey AS node, 0 AS distance FROM nation WHERE n_nationkey % 5 = 0 UNION SELECT start, dst, distance + 1 FROM w JOIN trade ON src = node WHERE distance < 3)
+@query(_TRADE_RECURSIVE + """, w AS (SELECT n_nationkey AS start, n_nationkey AS node, 0 AS distance FROM nation UNION SELECT start, dst, distance + 1 FROM w JOIN trade ON src = node WHERE distance < 3)
 SELECT start, node, min(distance)::INTEGER AS distance FROM w GROUP BY ALL""")
 def khop_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
     return graph.reachable(_trade(spark, sf_dir), starts, 3)
 
 
-@query(_TRADE_RECURSIVE + """, w AS (SELECT n_nationkey AS start, [n_nationkey] AS path FROM nation WHERE n_nationkey < 3 UNION ALL SELECT start, list_append(path, dst) FROM w JOIN trade ON src = path[-1] WHERE len(path) < 3)
+@query(_TRADE_RECURSIVE + """, w AS (SELECT n_nationkey AS start, [n_nationkey] AS path FROM nation UNION ALL SELECT start, list_append(path, dst) FROM w JOIN trade ON src = path[-1] WHERE len(path) < 3)
 SELECT start, array_to_string(path, '>') AS path FROM w""")
 def all_paths_upto(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
     return graph.walks(_trade(spark, sf_dir), starts, 2).select("start", F.array_join("path", ">").alias("path"))
 
 
-@query(_TRADE + """, near AS (SELECT n_nationkey AS start, n_nationkey AS node, 0 AS d FROM nation UNION SELECT src, dst, 1 FROM trade WHERE src <> dst)
-SELECT x.start AS a, y.start AS b, count(*) AS n FROM near x JOIN near y ON x.node = y.node WHERE x.start < y.start GROUP BY ALL""")
+@query(_TRADE + """, near AS (SELECT n_nationkey AS start, n_nationkey AS node FROM nation UNION SELECT src, dst FROM trade),
+pair AS (SELECT n_nationkey AS a, n_nationkey + 1 AS b FROM nation WHERE n_nationkey + 1 IN (SELECT n_nationkey FROM nation))
+SELECT a, b, count(*) AS n FROM pair JOIN near x ON x.start = a JOIN near y ON y.start = b AND x.node = y.node GROUP BY ALL""")
+def meeting_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.meeting_nodes(_trade(spark, sf_dir), _next_nations(spark, sf_dir), 1).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _next_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation with the next one by number."""
+    nations = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"))
+    return nations.join(nations.select((F.col("a") - 1).alias("a"), F.col("a").alias("b")), "a")
+
+
+@query(_TRADE + """, pair AS (SELECT n_nationkey AS a, n_nationkey + 1 AS b FROM nation WHERE n_nationkey + 1 IN (SELECT n_nationkey FROM nation)),
+l AS (SELECT a, b, dst AS e FROM pair JOIN trade ON src = a), r AS (SELECT a, b, dst AS e FROM pair JOIN trade ON src = b),
+met AS (SELECT a, b, a || '>' || l.e AS "left", b || '>' || l.e AS "right" FROM l JOIN r USING (a, b, e) UNION ALL SELECT a, b, a::VARCHAR, b || '>' || e FROM r WHERE e = a UNION ALL SELECT a, b, a || '>' || e, b::VARCHAR FROM l WHERE e = b)
+SELECT * FROM met""")
 def meeting_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = read(spark, sf_dir, "nation")
-    pairs = nations.select(F.col("n_nationkey").alias("a")).join(nations.select(F.col("n_nationkey").alias("b")), F.col("a") < F.col("b"))
-    return graph.meeting_nodes(_trade(spark, sf_dir), pairs, 1).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    met = graph.meeting_paths(_trade(spark, sf_dir), _next_nations(spark, sf_dir), 1)
+    return met.select("a", "b", F.array_join("left", ">").alias("left"), F.array_join("right", ">").alias("right"))
+
+
+@query(_TRADE_RECURSIVE + """, w AS (SELECT n_nationkey AS start, n_nationkey AS node, 0 AS distance FROM nation UNION SELECT start, src, distance + 1 FROM w JOIN trade ON dst = node WHERE distance < 2)
+SELECT start, node, min(distance)::INTEGER AS distance FROM w GROUP BY ALL""")
+def reachable_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    starts = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
+    return graph.reachable(_trade(spark, sf_dir), starts, 2, backward=True)
+
+
+@query(_TRADE + "SELECT dst AS node, src AS neighbour FROM trade")
+def nodes_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.neighbours(_trade(spark, sf_dir), backward=True)
+
+
+@query("""WITH l AS (SELECT user_id, floor(event_id / 7)::BIGINT AS f, event_id % 5 AS e FROM events WHERE event_type = 'click'), r AS (SELECT user_id, floor(event_id / 3)::BIGINT AS f, event_id % 5 AS e FROM events WHERE event_type = 'error'),
+lr AS (SELECT *, row_number() OVER (PARTITION BY user_id, e ORDER BY f) AS n FROM l), rr AS (SELECT *, row_number() OVER (PARTITION BY user_id, e ORDER BY f) AS n FROM r)
+SELECT user_id, lr.f || '>' || e AS "left", rr.f || '>' || e AS "right" FROM lr JOIN rr USING (user_id, e, n)""")
+def path_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def paths(kind: str, step: int) -> DataFrame:
+        rows = read(spark, sf_dir, "events").where(F.col("event_type") == kind)
+        return rows.select("user_id", F.array(F.floor(F.col("event_id") / step).cast("long"), (F.col("event_id") % 5).cast("long")).alias("path"))
+
+    met = graph.path_overlap(paths("click", 7), paths("error", 3), ["user_id"])
+    return met.select("user_id", F.array_join("left", ">").alias("left"), F.array_join("right", ">").alias("right"))
 
 
 @query("""WITH s AS (SELECT o_custkey, o_orderkey AS ref, l_partkey AS candidate, (l_quantity * 10)::BIGINT AS score FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
@@ -483,7 +519,7 @@ def numbered_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLASSES = "CASE c_mktsegment WHEN 'BUILDING' THEN 'Building' WHEN 'MACHINERY' THEN 'Organization' WHEN 'HOUSEHOLD' THEN 'Person' WHEN 'AUTOMOBILE' THEN 'Brand' ELSE 'Location' END"
 
 
-@query(f"""WITH item AS (SELECT c_custkey AS qid, {_CLASSES} AS cls, c_nationkey AS nat FROM customer WHERE c_acctbal > 9500),
+@query(f"""WITH item AS (SELECT c_custkey AS qid, {_CLASSES} AS cls, c_nationkey AS nat FROM customer),
 m AS (SELECT n_nationkey AS nat, CASE n_regionkey WHEN 0 THEN 'Org' WHEN 1 THEN 'Person' WHEN 2 THEN 'Loc' WHEN 3 THEN 'Percent' ELSE 'Other' END AS ne FROM nation),
 fit AS (SELECT m.nat, m.ne, count(qid) FILTER (ne = 'Other' OR (ne = 'Org' AND cls = 'Organization') OR (ne = 'Person' AND cls = 'Person') OR (ne = 'Loc' AND cls = 'Location')) AS n FROM m LEFT JOIN item USING (nat) GROUP BY ALL)
 SELECT nat::BIGINT AS doc_id, ne, CASE WHEN n = 0 THEN 'unresolved_uid' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS state, n::INTEGER AS candidates FROM fit""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where none is configured (tests), a local folder."""
+    """``spark.checkpoint.dir``; a temporary folder only where none is set and driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or os.path.join(tempfile.gettempdir(), "lexmill-checkpoints")).rstrip("/")
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
+        found = os.path.join(tempfile.gettempdir(), "lexmill-checkpoints")
+    return found.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
