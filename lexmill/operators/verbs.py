@@ -1,14 +1,19 @@
 """Tense, aspect, voice, auxiliaries and negation of the verbs of parsed sentences.
 
-One sentence is one unit: its node rows (see ``sources.penn``) with lemmas go to
-a grouped function, which returns one row for each verb.
+Grammar is a table: what stands before a verb is written as a chain, for example
+``VBN be.VBN have.VBD``, and the first rule whose pattern fits the chain gives
+tense, aspect, voice and the number of words. Modals, ``to`` and their compounds
+are rules over the heads of the verb phrases above, from the inside out.
+Sentences are kept whole: rows are dealt and sorted by sentence, and an Arrow
+batch holds many of them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lexmill.functions.tags import VERBS
@@ -18,152 +23,149 @@ RESULT = "sent_id long, verb_idx int, lemma string, tense string, aspect string,
 # Heads that a first pass leaves to later passes, as they may be auxiliaries.
 LATER = ({"be", "have", "do", "go", "use"}, {"be", "have"}, set())
 
-
-@dataclass(eq=False)
-class Node:
-    tag: str
-    idx: int = -1  # of a leaf
-    lemma: str = ""
-    parent: Node | None = None
-    ord: int = 0
-    children: list[Node] = field(default_factory=list)
-
-    def sibling(self, step: int) -> Node | None:
-        at = self.ord + step
-        return self.parent.children[at] if self.parent and 0 <= at < len(self.parent.children) else None
-
-    def first_sibling(self, step: int, fits: object) -> Node | None:
-        at = self.sibling(step)
-        while at is not None and not fits(at):
-            at = at.sibling(step)
-        return at
-
-
-def build(rows: pd.DataFrame) -> list[Node]:
-    """Nodes in pre-order from rows with node_id, parent_id, ord, tag, is_leaf, b, lemma."""
-    by_id: dict[int, Node] = {}
-    for r in rows.sort_values("node_id").itertuples():
-        node = Node(r.tag, int(r.b) if r.is_leaf else -1, (r.lemma or "") if r.is_leaf else "")
-        by_id[r.node_id] = node
-        if not pd.isna(r.parent_id):
-            node.parent = by_id[int(r.parent_id)]
-            node.ord = len(node.parent.children)
-            node.parent.children.append(node)
-    return list(by_id.values())
-
-
-def _is_verb(node: Node) -> bool:
-    return node.idx >= 0 and node.tag in VERBS
-
-
-def verb_before(node: Node) -> Node | None:
-    """The nearest verb before the phrase of ``node``, there or one verb phrase higher."""
-    phrase = node.parent
-    if phrase is None:
-        return None
-    found = phrase.first_sibling(-1, _is_verb)
-    if found is None and phrase.parent is not None and phrase.parent.tag == "VP":
-        found = phrase.parent.first_sibling(-1, _is_verb)
-    return found
-
-
-def _have_tense(node: Node | None) -> str | None:
-    if node is None or node.lemma != "have":
-        return None
-    return "Past" if node.tag == "VBD" else "Present"
-
-
-def group_of(verb: Node) -> tuple[str, str, str, list[Node]] | None:
-    """(tense, aspect, voice, verb group from its first word); None if the chain before the verb fits nothing."""
-    if verb.tag not in ("VBN", "VBG", "VBD"):
-        return "Present", "Simple", "Active", [verb]
-    one = verb_before(verb)
-    if one is None:
-        return {"VBN": ("Present", "Simple", "Passive", [verb]), "VBG": ("Present", "Progressive", "Active", [verb]), "VBD": ("Past", "Simple", "Active", [verb])}[verb.tag]
-    two = verb_before(one)
-    if verb.tag == "VBG":
-        if one.lemma != "be" or one.tag == "VBG":
-            return None
-        if one.tag == "VBN":
-            tense = _have_tense(two)
-            return (tense, "PerfectProgressive", "Active", [two, one, verb]) if tense else None
-        return ("Past" if one.tag == "VBD" else "Present"), "Progressive", "Active", [one, verb]
-    if one.lemma == "have":
-        return _have_tense(one), "Perfect", "Active", [one, verb]
-    if one.lemma != "be":
-        return None
-    if one.tag == "VBN":
-        tense = _have_tense(two)
-        return (tense, "Perfect", "Passive", [two, one, verb]) if tense else None
-    if one.tag != "VBG":
-        return ("Past" if one.tag == "VBD" else "Present"), "Simple", "Passive", [one, verb]
-    if two is None or two.lemma != "be" or two.tag == "VBG":
-        return None
-    if two.tag == "VBN":
-        three = verb_before(two)
-        tense = _have_tense(three)
-        return (tense, "PerfectProgressive", "Passive", [three, two, one, verb]) if tense else None
-    return ("Past" if two.tag == "VBD" else "Present"), "Progressive", "Passive", [two, one, verb]
-
-
-def _compound(to: Node) -> list[Node]:
-    """have to, ought to, used to, be going to: the words before and with ``to``; none if it is plain."""
-    phrase = to.parent
-    clause = phrase.parent if phrase and phrase.tag == "VP" and phrase.sibling(-1) is None else None
-    upper = clause.parent if clause and clause.tag == "S" else None
-    if upper is None or upper.tag != "VP" or clause.ord > 1 or not upper.children:
+#: Chain of a verb and the verbs before it, nearest first -> tense, aspect, voice, words. ``?`` takes the tense of the last word: VBD is past.
+RULES = [
+    (re.compile(pattern), *result)
+    for pattern, *result in (
+        (r"VB[PZ]?( |$)", "Present", "Simple", "Active", 1),
+        (r"VBN$", "Present", "Simple", "Passive", 1),
+        (r"VBG$", "Present", "Progressive", "Active", 1),
+        (r"VBD$", "Past", "Simple", "Active", 1),
+        (r"VBG be\.VBN have\.", "?", "PerfectProgressive", "Active", 3),
+        (r"VBG be\.(?!VBN|VBG)", "?", "Progressive", "Active", 2),
+        (r"VB[ND] have\.", "?", "Perfect", "Active", 2),
+        (r"VB[ND] be\.VBN have\.", "?", "Perfect", "Passive", 3),
+        (r"VB[ND] be\.(?!VBN|VBG)", "?", "Simple", "Passive", 2),
+        (r"VB[ND] be\.VBG be\.VBN have\.", "?", "PerfectProgressive", "Passive", 4),
+        (r"VB[ND] be\.VBG be\.(?!VBN|VBG)", "?", "Progressive", "Passive", 3),
+    )
+]
+LONGEST = 4
+
+#: Heads of the verb phrases above ``to``, inside out -> how many of them belong to the auxiliary.
+COMPOUNDS = [(re.compile(p), n) for p, n in ((r"(have|ought)\.\w+", 1), (r"use\.VBD", 1), (r"go\.VBG be\.", 2))]
+
+
+class Sentence:
+    """A parse as columns: tag, lemma, word index (-1 inside the tree), parent row, place among its siblings, children."""
+
+    def __init__(self, rows: list[dict]) -> None:
+        rows = sorted(rows, key=lambda r: r["node_id"])
+        place = {r["node_id"]: i for i, r in enumerate(rows)}
+        self.tag = [r["tag"] for r in rows]
+        self.word = [int(r["b"]) if r["is_leaf"] else -1 for r in rows]
+        self.lemma = [(r["lemma"] or "") if r["is_leaf"] else "" for r in rows]
+        self.up = [-1 if r["parent_id"] is None else place[r["parent_id"]] for r in rows]
+        self.below: list[list[int]] = [[] for _ in rows]
+        self.nth = [0] * len(rows)
+        for i, parent in enumerate(self.up):
+            if parent >= 0:
+                self.nth[i] = len(self.below[parent])
+                self.below[parent].append(i)
+
+    def is_verb(self, i: int) -> bool:
+        return self.word[i] >= 0 and self.tag[i] in VERBS
+
+    def mates(self, i: int) -> tuple[list[int], list[int]]:
+        """Siblings before, nearest first, and after."""
+        around = self.below[self.up[i]] if self.up[i] >= 0 else [i]
+        return around[: self.nth[i]][::-1], around[self.nth[i] + 1 :]
+
+    def code(self, i: int) -> str:
+        return f"{self.lemma[i]}.{self.tag[i]}"
+
+    def chain(self, verb: int) -> list[int]:
+        """The verb and, one by one, the nearest verb before it: beside it, else beside its phrase if that lies in a verb phrase."""
+        found = [verb]
+        while len(found) < LONGEST:
+            phrase = self.up[found[-1]]
+            levels = [] if phrase < 0 else [found[-1], phrase] if self.up[phrase] >= 0 and self.tag[self.up[phrase]] == "VP" else [found[-1]]
+            before = next((v for level in levels for v in self.mates(level)[0] if self.is_verb(v)), None)
+            if before is None:
+                break
+            found.append(before)
+        return found
+
+    def heads(self, i: int) -> list[int]:
+        """First children of the verb phrases around ``i``, inside out."""
+        out, at = [], self.up[i]
+        while at >= 0 and self.tag[at] == "VP":
+            out.append(self.below[at][0])
+            at = self.up[at]
+        return out
+
+    def auxiliary(self, lemma: str, first: int) -> list[int]:
+        """The nearest modal, ``do`` or ``to`` above the first word of a verb group; ``to`` with what it is part of."""
+        for head in self.heads(first):
+            if self.tag[head] == "MD" or (self.lemma[head] == "do" and lemma != "do"):
+                return [head]
+            if self.tag[head] == "TO":
+                return [*self.compound(head), head]
         return []
-    head = upper.children[0]
-    if head.lemma in ("have", "ought") or (head.lemma == "use" and head.tag == "VBD"):
-        return [head, to]
-    if head.lemma == "go" and head.tag == "VBG" and upper.parent is not None and upper.parent.children[0].lemma == "be":
-        return [upper.parent.children[0], head, to]
-    return []
-
-
-def auxiliaries(lemma: str, first: Node) -> list[Node]:
-    """Modal, ``to`` or ``do`` above the first word of a verb group."""
-    at = first
-    while at.parent is not None and at.parent.tag == "VP":
-        head = at.parent.children[0]
-        if head.tag == "MD" or (head.lemma == "do" and lemma != "do"):
-            return [head]
-        if head.tag == "TO":
-            return _compound(head) or [head]
-        at = at.parent
-    return []
-
-
-def negation(node: Node) -> Node | None:
-    fits = lambda x: x.tag == "RB" and x.lemma in ("not", "n't")
-    return node.first_sibling(-1, fits) or node.first_sibling(1, fits)
-
-
-def properties(nodes: list[Node]) -> list[tuple]:
-    """One row for each verb: index, lemma, tense, aspect, voice, auxiliaries, negation, word indexes."""
-    found, used = [], set()
-    for later in LATER:
-        taken = []
-        for verb in nodes:
-            if not _is_verb(verb) or verb.lemma in later or verb.idx in used:
-                continue
-            group = group_of(verb)
-            if group is None:
-                continue
-            tense, aspect, voice, words = group
-            aux = auxiliaries(verb.lemma, words[0])
-            neg = negation(aux[0] if aux else words[0])
-            own = sorted({n.idx for n in [*aux, *words, *([neg] if neg else [])]})
-            taken.append((verb.idx, verb.lemma, tense, aspect, voice, [a.lemma for a in aux], neg.lemma if neg else None, own))
-        found += taken
-        used |= {i for row in taken for i in row[-1]}
-    return found
+
+    def compound(self, to: int) -> list[int]:
+        """Words before ``to`` that make one auxiliary with it, if its phrase opens a clause that is the first or second part of a verb phrase."""
+        clause = self.up[self.up[to]] if self.tag[self.up[to]] == "VP" and self.nth[self.up[to]] == 0 else -1
+        if clause < 0 or self.tag[clause] != "S" or self.nth[clause] > 1 or self.up[clause] < 0 or self.tag[self.up[clause]] != "VP":
+            return []
+        outer = self.up[clause]
+        over = [self.below[outer][0], *([self.below[self.up[outer]][0]] if self.up[outer] >= 0 else [])]
+        codes = " ".join(map(self.code, over))
+        return next((over[:n][::-1] for pattern, n in COMPOUNDS if pattern.match(codes)), [])
+
+    def negation(self, i: int) -> int | None:
+        """The nearest ``not`` beside a word: before it, else after it."""
+        before, after = self.mates(i)
+        return next((k for k in [*before, *after] if self.tag[k] == "RB" and self.lemma[k] in ("not", "n't")), None)
+
+    def verbs(self) -> list[tuple]:
+        """For each verb: index, lemma, tense, aspect, voice, auxiliaries, negation, word indexes. Words of a group are no verbs of their own."""
+        found: list[tuple] = []
+        for later in LATER:
+            used = {w for row in found for w in row[-1]}
+            for verb in range(len(self.tag)):
+                if not self.is_verb(verb) or self.lemma[verb] in later or self.word[verb] in used:
+                    continue
+                chain = self.chain(verb)
+                codes = " ".join([self.tag[verb], *map(self.code, chain[1:])])
+                rule = next((r for r in RULES if r[0].match(codes)), None)
+                if rule is None:
+                    continue
+                _, tense, aspect, voice, size = rule
+                words = chain[:size][::-1]
+                if tense == "?":
+                    tense = "Past" if self.tag[words[0]] == "VBD" else "Present"
+                aux = self.auxiliary(self.lemma[verb], words[0])
+                neg = self.negation((aux or words)[0])
+                own = sorted({self.word[i] for i in [*aux, *words, *([] if neg is None else [neg])]})
+                found.append((self.word[verb], self.lemma[verb], tense, aspect, voice, [self.lemma[i] for i in aux], None if neg is None else self.lemma[neg], own))
+        return found
 
 
 def verb_properties(nodes: DataFrame) -> DataFrame:
-    """A row for each verb of each sentence. nodes: node rows with ``lemma``; one sentence is one group."""
+    """A row for each verb of each sentence. nodes: node rows (see ``sources.penn``) with ``lemma``."""
+    columns = ["sent_id", "node_id", "parent_id", "tag", "is_leaf", "b", "lemma"]
+    kinds = [pa.int64(), pa.int32(), *[pa.string()] * 4, pa.list_(pa.string()), pa.string(), pa.list_(pa.int32())]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def done(rows: list[dict]) -> list[tuple]:
+            return [(rows[0]["sent_id"], *v) for v in Sentence(rows).verbs()] if rows else []
+
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                if held and held[0]["sent_id"] != row["sent_id"]:
+                    out += done(held)
+                    held = []
+                held.append(row)
+            yield _table(out, kinds)
+        yield _table(done(held), kinds)
+
+    return nodes.select(*columns).repartition("sent_id").sortWithinPartitions("sent_id", "node_id").mapInArrow(judge, RESULT)
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *r) for r in properties(build(rows))], columns=[c.split()[0] for c in RESULT.split(", ")])
 
-    return nodes.groupBy("sent_id").applyInPandas(one, RESULT)
+def _table(rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in RESULT.split(", ")])
