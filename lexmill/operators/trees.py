@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import link_ids
+from lexmill.functions.text import link_ids, plain_tag
 
 
 def root(nodes: DataFrame) -> DataFrame:
@@ -90,6 +90,30 @@ def excluded_leaves(nodes: DataFrame) -> DataFrame:
     return words.withColumn("__out", (F.col("tag") == "-NONE-") | joined).where("__out").select("sent_id", "idx")
 
 
+def hyphen_groups(nodes: DataFrame) -> DataFrame:
+    """sent_id, idx, group: leaves in runs that hyphens join; a run is named by its first leaf."""
+    order = Window.partitionBy("sent_id").orderBy("b")
+    before = F.lag("tag").over(order)
+    joined = F.coalesce((F.col("tag") == "HYPH") | (before == "HYPH"), F.lit(False))
+    marked = nodes.where("is_leaf").withColumn("__first", F.when(~joined | before.isNull(), F.col("b")))
+    return marked.select("sent_id", F.col("b").alias("idx"), F.last("__first", True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("group"))
+
+
+def term_ranges(nodes: DataFrame) -> DataFrame:
+    """sent_id, node_id, first, last: the first and last word of each node, both included."""
+    return nodes.where("e > b").select("sent_id", "node_id", F.col("b").alias("first"), (F.col("e") - 1).alias("last"))
+
+
+def with_tag(nodes: DataFrame, tag: str, leaf: bool) -> DataFrame:
+    """Leaves of a part of speech, or phrases of a kind (function marks aside)."""
+    own = F.col("tag") if leaf else plain_tag(F.col("tag"))
+    return nodes.where(F.col("is_leaf") == leaf).where(own == tag)
+
+
+def with_lemma(nodes: DataFrame, lemma: str) -> DataFrame:
+    return nodes.where("is_leaf").where(F.col("lemma") == lemma)
+
+
 def adjusted_leaves(nodes: DataFrame) -> DataFrame:
     """sent_id, idx, kept, adjusted: each leaf's ordinal without the excluded leaves before it."""
     words = nodes.where("is_leaf").select("sent_id", F.col("b").alias("idx"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions import hashes, tags, text
+from lexmill.functions import hashes, labels, tags, text
 from lexmill.operators import meaning, mentions, trees
 from lexmill.plans.catalog import query, read
 
@@ -132,6 +132,26 @@ def tree_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.with_lemmas(nodes, lemmas).select("sent_id", "node_id", "lemma")
 
 
+@query(_LINES + """, leaf AS (SELECT *, lag(tag) OVER (PARTITION BY sent_id ORDER BY b) AS was FROM node WHERE is_leaf)
+SELECT sent_id, b AS idx, (max(CASE WHEN was IS NULL OR NOT (tag = 'HYPH' OR was = 'HYPH') THEN b END) OVER (PARTITION BY sent_id ORDER BY b ROWS UNBOUNDED PRECEDING))::INTEGER AS "group" FROM leaf""")
+def hyphen_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.hyphen_groups(_nodes(spark, sf_dir))
+
+
+@query(_LINES + "SELECT sent_id, node_id, b AS first, e - 1 AS last FROM node")
+def term_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.term_ranges(_nodes(spark, sf_dir))
+
+
+@query(_LINES + "SELECT sent_id, node_id, CASE WHEN is_leaf THEN 'pos' ELSE 'chunk' END AS kind FROM node WHERE (is_leaf AND tag = 'NN') OR (NOT is_leaf AND tag LIKE 'NP-SBJ-%') UNION ALL SELECT sent_id, node_id, 'lemma' FROM node WHERE is_leaf AND tag = 'PRP' AND b = 1")
+def nodes_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _nodes(spark, sf_dir)
+    lemmas = trees.leaves(nodes).select("sent_id", "idx", F.when((F.col("tag") == "PRP") & (F.col("idx") == 1), "it").otherwise("x").alias("lemma"))
+    found = [trees.with_tag(nodes, "NN", True), trees.with_tag(nodes, "NP", False), trees.with_lemma(trees.with_lemmas(nodes, lemmas), "it")]
+    parts = [f.select("sent_id", "node_id", F.lit(k).alias("kind")) for f, k in zip(found, ("pos", "chunk", "lemma"), strict=True)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # Meaning graphs: an order is a sentence, its lines are vertices, each linked to the line before it.
 
 _GRAPH = """WITH line AS (SELECT l_orderkey AS sent_id, (row_number() OVER w)::INTEGER AS id, l_partkey AS p, l_suppkey AS s FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
@@ -312,3 +332,53 @@ def xxh_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """32-bit and 64-bit hashes of all words of conversations; DuckDB has no such function."""
     words = read(spark, sf_dir, "conversations").select(F.explode(text.tokens(F.col("text"))).alias("word")).distinct()
     return words.select("word", hashes.xxh32(F.col("word")).alias("h32"), hashes.xxh64(F.col("word")).alias("h64"))
+
+
+_WORDS = ("I", "mine", "yours", "him", "her", "its", "theirs", "the", "an", "this", "Me")
+
+
+@query(f"""WITH w AS (SELECT p_partkey, {list(_WORDS)}[p_partkey % {len(_WORDS)} + 1] AS word FROM part)
+SELECT p_partkey, CASE word WHEN 'I' THEN 'I' WHEN 'mine' THEN 'I' WHEN 'yours' THEN 'You' WHEN 'him' THEN 'He' WHEN 'her' THEN 'She' WHEN 'its' THEN 'It' WHEN 'theirs' THEN 'They' END AS person, CASE word WHEN 'the' THEN 'Definite' WHEN 'an' THEN 'Indefinite' END AS article FROM w""")
+def pronouns_and_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = _pick(_WORDS, F.col("p_partkey"))
+    return read(spark, sf_dir, "part").select("p_partkey", labels.pronoun_person(word).alias("person"), labels.article(word).alias("article"))
+
+
+_LABELS = ("rel", "ARG0", "ARG12-x", "ARGM-TMP", "ARGM-XXX", "LINK-PRO", "LINK-X", "ARGA", "arg1")
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, l_linenumber, {list(_LABELS)}[l_partkey % {len(_LABELS)} + 1] AS label FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE label WHEN 'rel' THEN 'rel' WHEN 'ARG0' THEN 'ARG0' WHEN 'ARG12-x' THEN 'ARG12' WHEN 'ARGM-TMP' THEN 'ARGM-TMP' WHEN 'LINK-PRO' THEN 'LINK-PRO' WHEN 'ARGA' THEN 'ARG0' END AS text,
+CASE label WHEN 'rel' THEN 'relation' WHEN 'ARG0' THEN 'argument' WHEN 'ARG12-x' THEN 'argument' WHEN 'ARGM-TMP' THEN 'modifier' WHEN 'LINK-PRO' THEN 'link' WHEN 'ARGA' THEN 'argument' END AS kind FROM l""")
+def argument_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = labels.argument_label(_pick(_LABELS, F.col("l_partkey")))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", labels.label_text(label).alias("text"), label["kind"].alias("kind"))
+
+
+@query("SELECT p_partkey, p_type AS lemma, p_size || '.b' AS sense, CASE p_partkey % 3 WHEN 0 THEN 'ExtraThematic' WHEN 1 THEN 'Core' END AS core, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS flag, CASE p_partkey % 3 WHEN 0 THEN 'noun' WHEN 1 THEN 'adverb' END AS word, CASE p_partkey % 3 WHEN 0 THEN 'noun' WHEN 1 THEN 'adverb' ELSE 'adjective satellite' END AS synset FROM part")
+def lexicon_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    found = labels.roleset(F.concat("p_type", F.lit("."), _text("p_size"), F.lit(".b x")))
+    letter = _pick(("n", "r", "s"), key)
+    return read(spark, sf_dir, "part").select(
+        "p_partkey",
+        found["lemma"].alias("lemma"),
+        found["sense"].alias("sense"),
+        labels.core_type(_pick(("Extra-Thematic", "Core", "core"), key)).alias("core"),
+        labels.boolean(_pick(("true", "false", "True"), key)).alias("flag"),
+        labels.word_class(letter).alias("word"),
+        labels.synset_class(letter).alias("synset"),
+    )
+
+
+@query("""SELECT conv_id, turn, substr(text, 3, 5) AS piece, turn % 4 = 2 AND turn % 2 = 0 AS is_time FROM conversations""")
+def span_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = F.col("turn") % 4
+    mark = F.when(F.col("turn") % 2 == 0, "MarkTime").otherwise("MarkEntity")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", labels.span_text(F.col("text"), F.lit(3), F.lit(7)).alias("piece"), labels.is_time_at(b, b + 3, mark, F.lit(2), F.lit(4)).alias("is_time"))
+
+
+@query("SELECT lower(p_type) AS lemma, count(DISTINCT p_size) AS senses, count(DISTINCT p_brand) AS phrase_types, count(*) AS n FROM part GROUP BY 1")
+def lexicon_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Senses, kinds of phrases and units of each lemma."""
+    return read(spark, sf_dir, "part").groupBy(F.lower("p_type").alias("lemma")).agg(F.count_distinct("p_size").alias("senses"), F.count_distinct("p_brand").alias("phrase_types"), F.count(F.lit(1)).alias("n"))
