@@ -27,6 +27,12 @@ WORD_CLASSES = {"n": "noun", "v": "verb", "a": "adjective", "r": "adverb"}
 SYNSET_CLASSES = WORD_CLASSES | {"s": "adjective satellite"}
 CORE_TYPES = {"Core": "Core", "Peripheral": "Peripheral", "Extra-Thematic": "ExtraThematic", "Core-Unexpressed": "CoreUnexpressed"}
 
+# Dependency relations.
+RELATIONS = (
+    "acl advcl advmod amod appos aux auxpass case cc ccomp clf compound conj cop csubj csubjpass dep det discourse dislocated dobj expl fixed flat goeswith "
+    "iobj list mark mwe neg nmod nsubj nsubjpass nummod obj obl orphan parataxis punct reparandum root vocative xcomp"
+)
+
 
 def looked_up(value: Column, table: Mapping[str, str]) -> Column:
     """The entry of ``value`` in a fixed table; null for all others."""
@@ -95,3 +101,8 @@ def span_text(text: Column, b: Column, e: Column) -> Column:
 def is_time_at(b: Column, e: Column, mark: Column, first: Column, last: Column) -> Column:
     """Whether a tagged span ``[b, e)`` is a time and covers exactly the words ``first`` to ``last``."""
     return (mark == "MarkTime") & (b == first) & (e - 1 == last)
+
+
+def dependency_relation(value: Column) -> Column:
+    """A relation of the fixed list; null for any other, subtypes included."""
+    return F.when(value.isin(*RELATIONS.split()), value)

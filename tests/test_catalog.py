@@ -2,7 +2,7 @@
 
 import pytest
 
-from lexmill.plans import catalog, catalog_more  # noqa: F401 - the second adds its queries to the first's
+from lexmill.plans import catalog, catalog_more, catalog_resources  # noqa: F401 - the others add their queries to the first's
 from tests.conftest import SF
 
 
