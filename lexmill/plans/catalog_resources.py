@@ -1,12 +1,13 @@
-"""Queries of the joins of lexical resources, with SQL that gives the same rows in DuckDB."""
+"""Queries of the joins of lexical resources and of rendered text, with SQL that gives the same rows in DuckDB."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.functions import labels
-from lexmill.operators import resources
+from lexmill.functions import labels, render
+from lexmill.functions.text import tokens as words_of
+from lexmill.operators import lexicon, resources
 from lexmill.plans.catalog import query, read
 from lexmill.plans.catalog_more import _LINES, _nodes
 
@@ -175,3 +176,74 @@ def shortest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dependency_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array(*[F.lit(w) for w in "acl case dep det:x list Root root obj".split()])
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", labels.dependency_relation(F.element_at(words, (F.col("turn") % 8 + 1).cast("int"))).alias("relation"))
+
+
+# Text.
+
+
+@query(_LINES + """, closed AS (SELECT sent_id, last_id AS node_id, count(*) AS closed FROM node WHERE NOT is_leaf GROUP BY ALL)
+SELECT sent_id, string_agg(CASE WHEN ord > 0 THEN ' ' ELSE '' END || chr(10) || repeat(' ', 2 * depth) || '(' || left(rpad(tag, 4, ' '), 4) || ' ' || CASE WHEN is_leaf THEN word || ')' ELSE '' END || repeat(')', coalesce(closed, 0)), '' ORDER BY node_id) AS text FROM node LEFT JOIN closed USING (sent_id, node_id) GROUP BY sent_id""")
+def tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.tree_text(_nodes(spark, sf_dir))
+
+
+@query(_LINES + "SELECT sent_id, string_agg(word || '-' || (b + 1), chr(9) ORDER BY b) AS text FROM node WHERE is_leaf GROUP BY sent_id")
+def numbered_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.numbered_tokens(_nodes(spark, sf_dir), 1)
+
+
+_CODES = ["NP-SBJ", "S-1", "PP-of-ing", "ADVP", "", "SBAR", "PP-in", "ADJP"]
+
+
+def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line item is a pattern: slots by supplier, part and line, voice by the return flag."""
+    code = lambda n: F.nullif(F.element_at(F.array(*[F.lit(c) for c in _CODES]), (n % 8 + 1).cast("int")), F.lit(""))
+    rows = read(spark, sf_dir, "lineitem").withColumn("voice", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")))
+    return rows.withColumns({f"arg{i}": code(n) for i, n in enumerate((F.col("l_suppkey"), F.col("l_partkey"), F.col("l_linenumber"), F.col("l_suppkey") + 3, F.col("l_partkey") + 5))})
+
+
+_SLOTS = ["arg0", "arg1", "arg2", "arg3", "arg4"]
+_PATTERNS = "WITH pattern AS (SELECT *, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS voice, " + ", ".join(f"nullif({_CODES}[{n} % 8 + 1], '') AS {s}" for s, n in zip(_SLOTS, ("l_suppkey", "l_partkey", "l_linenumber", "(l_suppkey + 3)", "(l_partkey + 5)"), strict=True)) + " FROM lineitem)"
+
+
+@query(_PATTERNS + " SELECT lpad('voice', 5, ' ') || ':' || lpad(coalesce(voice, 'unidentified'), 15, ' ') || ' arg0: ' || " + " || '   arg%s: ' || ".join(f"lpad(coalesce({s}, ''), 10, ' ')" for s in _SLOTS) % (1, 2, 3, 4) + " || '     #count: ' || rpad(count(*)::VARCHAR, 5, ' ') AS text FROM pattern GROUP BY voice, arg0, arg1, arg2, arg3, arg4")
+def counted_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _patterns(spark, sf_dir).groupBy("voice", *_SLOTS).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(render.counted_pattern(F.lit("voice"), F.col("voice"), [F.col(s) for s in _SLOTS], F.col("n")).alias("text"))
+
+
+@query(_PATTERNS + " SELECT concat_ws(chr(9), 's' || l_suppkey, l_linenumber, coalesce(voice, 'null'), " + ", ".join(f"coalesce({s}, 'null')" for s in _SLOTS) + ", count(*)) AS text FROM pattern GROUP BY l_suppkey, l_linenumber, voice, arg0, arg1, arg2, arg3, arg4")
+def pattern_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _patterns(spark, sf_dir).groupBy(F.concat(F.lit("s"), F.col("l_suppkey")).alias("sense"), F.col("l_linenumber").cast("string").alias("number"), "voice", *_SLOTS).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(render.pattern_row(F.col("sense"), F.col("number"), F.col("voice"), [F.col(s) for s in _SLOTS], F.col("n")).alias("text"))
+
+
+@query(_PATTERNS + " SELECT DISTINCT arg0 AS code, arg0 AS text FROM pattern")
+def relation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = _patterns(spark, sf_dir).select(F.col("arg0").alias("code")).distinct()
+    return codes.select("code", F.when(F.col("code").isNotNull(), render.relation_text(lexicon.relation(F.col("code")))).alias("text"))
+
+
+@query(f"SELECT c_custkey, chr(10) || '{'=' * 76}' || chr(10) || lpad(c_mktsegment || '.' || c_custkey, greatest(10, len(c_mktsegment || '.' || c_custkey))::INTEGER, ' ') || ' : ' || rpad(count(o_orderkey)::VARCHAR, 6, ' ') || ' :  ' || c_name || chr(10) || '{'=' * 76}' || chr(10) AS text FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment, c_name")
+def sense_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    rows = read(spark, sf_dir, "customer").join(counts, "c_custkey", "left")
+    return rows.select("c_custkey", render.sense_header(F.col("c_mktsegment"), F.col("c_custkey").cast("string"), F.coalesce("n", F.lit(0)), F.col("c_name")).alias("text"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, rpad(l_linenumber::VARCHAR, 3, ' ') || ' ' || lpad('w' || l_partkey, 15, ' ') || ' : ' || lpad(CASE WHEN l_linestatus = 'O' THEN 'Pres' ELSE 'Past' END || '.' || ['Smpl', 'Prog', 'Perf', 'PfPr'][l_suppkey % 4 + 1] || '.' || CASE WHEN l_returnflag = 'A' THEN 'Pass' ELSE 'Actv' END, 19, ' ')
+  || ' aux: ' || lpad(CASE WHEN l_suppkey % 3 = 0 THEN 'have to' ELSE '' END, 7, ' ') || ' neg: ' || lpad(CASE WHEN l_partkey % 2 = 0 THEN 'not' ELSE '' END, 5, ' ') || ' | ' || 'w' || l_partkey AS text FROM lineitem""")
+def verb_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.concat(F.lit("w"), F.col("l_partkey"))
+    aspect = F.element_at(F.array(*[F.lit(a) for a in render.ASPECTS]), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    tense, voice = F.when(F.col("l_linestatus") == "O", "Present").otherwise("Past"), F.when(F.col("l_returnflag") == "A", "Passive").otherwise("Active")
+    auxiliaries = F.when(F.col("l_suppkey") % 3 == 0, F.array(F.lit("have"), F.lit("to"))).otherwise(F.array().cast("array<string>"))
+    text = render.verb_text(F.col("l_linenumber"), word, tense, aspect, voice, auxiliaries, F.when(F.col("l_partkey") % 2 == 0, "not"), F.array(word))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", text.alias("text"))
+
+
+@query("""WITH word AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r]+'), lambda w: w <> '') AS words FROM conversations)
+SELECT conv_id, turn, '[' || array_to_string(list_transform(words, lambda w, i: '[' || (i - 1) || ',' || to_json(w) || ']'), ',') || ']' AS text FROM word""")
+def lemma_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", render.lemma_list(words_of(F.coalesce("text", F.lit("")))).alias("text"))

@@ -25,11 +25,6 @@ def role_map_line(lemma: Column, sense: Column, roles: Column) -> Column:
     return F.concat_ws("\t", lemma, sense, F.array_join(entries, " "))
 
 
-def pattern_line(*slots: Column, width: int = 15) -> Column:
-    """Slots in columns of a fixed width; an empty one is ``null``."""
-    return F.concat_ws(" ", *[F.rpad(F.coalesce(s, F.lit("null")), width, " ") for s in slots])
-
-
 def dot_lines(edges: DataFrame, by: list[str], src: str, dst: str, label: str) -> DataFrame:
     """A DOT graph for each group."""
     line = F.concat(F.lit('"'), F.col(src), F.lit('" -> "'), F.col(dst), F.lit('" [label="'), F.col(label), F.lit('"];'))
