@@ -121,3 +121,28 @@ def nominal_verbs(nouns: DataFrame, derivations: DataFrame) -> DataFrame:
     """noun, verb: verbs from which nouns are derived. derivations: word, pos, to_word, to_pos."""
     links = derivations.where("pos = 'n' and to_pos = 'v'").select(F.col("word").alias("noun"), F.col("to_word").alias("verb"))
     return nouns.join(links, "noun").distinct()
+
+
+def has_complementizer(complementizer: Column, words: list[str]) -> Column:
+    """Whether a clause's complementizer is one of the words; an empty one is none."""
+    return F.coalesce(complementizer.isin(words), F.lit(False))
+
+
+def is_to_infinitive(auxiliaries: Column) -> Column:
+    """Whether the first auxiliary (lemmas) is ``to``."""
+    return F.coalesce(F.get(auxiliaries, 0) == "to", F.lit(False))
+
+
+def is_empty_or_that(complementizer: Column) -> Column:
+    return F.coalesce(complementizer, F.lit("that")) == "that"
+
+
+def last_of_group(words: Column) -> Column:
+    """The head of a verb group, its last word; null for an empty one."""
+    return F.try_element_at(words, F.lit(-1))
+
+
+def tags_of_sentences(tags: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Tags that lie in a sentence, their spans counted from its first token. tags: doc_id, b, e, ...; sentences: doc_id, sent_id, sb, se."""
+    held = tags.join(sentences, "doc_id").where("sb <= b and e <= se")
+    return held.withColumns({"b": F.col("b") - F.col("sb"), "e": F.col("e") - F.col("sb")}).drop("sb", "se")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import link_ids, plain_tag
@@ -142,3 +142,11 @@ def matched_arguments(nodes: DataFrame, gold: DataFrame, arguments: DataFrame) -
     asked = spans.join(kept, "sent_id").where("idx >= b and idx < e").groupBy("sent_id", "label", "b", "e").agg(F.min("adjusted").alias("rb"), (F.max("adjusted") + 1).alias("re"))
     found = maximal_in_range(nodes, asked.select("sent_id", "rb", "re").distinct())
     return asked.select("sent_id", "label", "rb", "re").join(found, ["sent_id", "rb", "re"]).select("sent_id", "label", "b", "e", "node_id")
+
+
+def with_siblings_like(nodes: DataFrame, test: Column, backward: bool = False) -> DataFrame:
+    """Adds siblings (node ids of those after each node, or before it, that pass the test, the nearest first) and nearest."""
+    order = F.col("ord").desc() if backward else F.col("ord")
+    others = Window.partitionBy("sent_id", "parent_id").orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    found = F.collect_list(F.when(test & F.col("parent_id").isNotNull(), F.col("node_id"))).over(others)
+    return nodes.withColumn("siblings", found).withColumn("nearest", F.get("siblings", 0))

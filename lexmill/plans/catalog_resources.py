@@ -1,4 +1,4 @@
-"""Queries of the joins of lexical resources and of rendered text, with SQL that gives the same rows in DuckDB."""
+"""Queries of lexical resources, rendered text, coreference and named views, with SQL that gives the same rows in DuckDB."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import labels, render
 from lexmill.functions.text import tokens as words_of
-from lexmill.operators import lexicon, resources
+from lexmill.operators import coreference, lexicon, meaning, resources, trees
 from lexmill.plans.catalog import query, read
 from lexmill.plans.catalog_more import _LINES, _nodes
+from lexmill.sources import rdf
 
 # Predicates: a customer is a lemma, each of the customer's orders an entry, its lines the rolesets.
 
@@ -247,3 +248,76 @@ SELECT conv_id, turn, '[' || array_to_string(list_transform(words, lambda w, i:
 def lemma_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", render.lemma_list(words_of(F.coalesce("text", F.lit("")))).alias("text"))
+
+
+# Coreference: a customer's orders are clauses, the order before is the parent, the one after the topic; line items are phrases.
+
+_CLAUSES = """WITH clause AS (SELECT o_custkey AS sent_id, o_orderkey AS clause_id, lag(o_orderkey) OVER w AS parent_id, lead(o_orderkey) OVER w AS topic_id, o_orderkey % 50 AS b, CASE o_orderstatus WHEN 'O' THEN 'Person' WHEN 'F' THEN 'Org' END AS cls FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+phrase AS (SELECT DISTINCT sent_id, clause_id, clause_id * 10 + l_linenumber AS phrase_id, l_linenumber AS n, parent_id, topic_id FROM lineitem JOIN clause ON clause_id = l_orderkey),
+placed AS (SELECT p.*, o.cls AS oc, o.b AS ob, u.cls AS uc, u.b AS ub, t.cls AS tc, t.b AS tb FROM phrase p JOIN clause o USING (clause_id) LEFT JOIN clause u ON u.clause_id = p.parent_id LEFT JOIN clause t ON t.clause_id = p.topic_id)
+"""
+
+
+def _clauses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    near = "OVER (PARTITION BY o_custkey ORDER BY o_orderkey)"
+    subject = "CASE o_orderstatus WHEN 'O' THEN 'Person' WHEN 'F' THEN 'Org' END AS subject_class"
+    clauses = read(spark, sf_dir, "orders").selectExpr("o_custkey AS sent_id", "o_orderkey AS clause_id", f"lag(o_orderkey) {near} AS parent_id", f"lead(o_orderkey) {near} AS topic_id", "o_orderkey % 50 AS subject_b", "o_orderkey % 50 + 2 AS subject_e", subject)
+    lines = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS clause_id", "l_linenumber AS n").distinct()
+    return clauses, lines.join(clauses.select("sent_id", "clause_id"), "clause_id").withColumn("phrase_id", F.col("clause_id") * 10 + F.col("n"))
+
+
+@query(_CLAUSES + """, asked AS (SELECT *, ['Person', 'Org', 'Person', NULL][n % 4 + 1] AS want FROM placed)
+SELECT * FROM (SELECT sent_id, phrase_id, CASE WHEN n % 3 = 0 AND oc = want THEN ob WHEN uc = want THEN ub WHEN tc = want THEN tb END AS b FROM asked) WHERE b IS NOT NULL""")
+def pronoun_antecedents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clauses, phrases = _clauses(spark, sf_dir)
+    persons = F.array(*[F.lit(p) for p in ("He", "It", "She", "They")])
+    phrases = phrases.withColumns({"person": F.element_at(persons, F.col("n") % 4 + 1), "genitive": F.col("n") % 3 == 0})
+    return coreference.pronouns(phrases, clauses).select("sent_id", "phrase_id", "b")
+
+
+@query(_CLAUSES + "SELECT * FROM (SELECT sent_id, phrase_id, CASE WHEN uc = 'Org' THEN ub WHEN tc = 'Org' THEN tb END AS b FROM placed WHERE n % 3 = 1 AND n % 2 = 0) WHERE b IS NOT NULL")
+def definite_antecedents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clauses, phrases = _clauses(spark, sf_dir)
+    noun = F.when(F.col("n") % 2 == 0, F.array(F.lit("company"))).otherwise(F.array(F.lit("big"), F.lit("company")))
+    phrases = phrases.withColumns({"article": F.when(F.col("n") % 3 == 1, "Definite").otherwise("Indefinite"), "noun": noun})
+    return coreference.definites(phrases, clauses).select("sent_id", "phrase_id", "b")
+
+
+@query(_CLAUSES + "SELECT sent_id, phrase_id, ob AS b FROM placed WHERE n % 2 = 0 AND oc = 'Org'")
+def genitive_antecedents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clauses, phrases = _clauses(spark, sf_dir)
+    phrases = phrases.withColumn("owner", F.when(F.col("n") % 2 == 0, "the company"))
+    return coreference.definite_genitives(phrases, clauses).select("sent_id", "phrase_id", "b")
+
+
+@query(_LINES + """, other AS (SELECT sent_id, node_id, list(CASE WHEN tag = 'VP' AND parent_id IS NOT NULL THEN node_id END) OVER (PARTITION BY sent_id, parent_id ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS s FROM node)
+SELECT sent_id, node_id, array_to_string(list_filter(coalesce(s, []), lambda x: x IS NOT NULL), ' ') AS siblings, list_filter(s, lambda x: x IS NOT NULL)[1] AS nearest FROM other""")
+def siblings_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = trees.with_siblings_like(_nodes(spark, sf_dir), F.col("tag") == "VP")
+    return found.select("sent_id", "node_id", F.array_join(F.col("siblings").cast("array<string>"), " ").alias("siblings"), "nearest")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, c IS NOT NULL AND c IN ('that', 'whether') AS named, l_suppkey % 2 = 0 AS infinitive, c IS NULL OR c = 'that' AS plain, CASE WHEN l_suppkey % 2 = 0 THEN 'to' ELSE 'have' END AS head
+FROM (SELECT *, ['that', 'whether', 'if', NULL][l_partkey % 4 + 1] AS c FROM lineitem)""")
+def clause_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.nullif(F.element_at(F.array(*[F.lit(w) for w in ("that", "whether", "if", "")]), (F.col("l_partkey") % 4 + 1).cast("int")), F.lit(""))
+    auxiliaries = F.when(F.col("l_suppkey") % 2 == 0, F.array(F.lit("to"))).otherwise(F.array(F.lit("have")))
+    kinds = {"named": meaning.has_complementizer(word, ["that", "whether"]), "infinitive": meaning.is_to_infinitive(auxiliaries), "plain": meaning.is_empty_or_that(word), "head": meaning.last_of_group(auxiliaries)}
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *[c.alias(n) for n, c in kinds.items()])
+
+
+@query("""WITH triple AS (SELECT ['wordnet', 'wikicat', 'title'][l_suppkey % 3 + 1] AS sk, CASE l_suppkey % 3 WHEN 2 THEN 'S' ELSE 's' END || l_suppkey AS s, l_partkey % 3 = 0 AS sub, CASE WHEN l_partkey % 2 = 0 THEN 'wordnet' ELSE 'title' END AS ok, CASE WHEN l_partkey % 2 = 0 THEN 'p' ELSE 'P' END || l_partkey AS o FROM lineitem)
+SELECT name, s, o FROM triple JOIN (VALUES ('typedCat', 'wikicat', 'wordnet', false), ('interlink', 'title', 'title', false), ('synset', 'title', 'wordnet', false), ('taxonomy', 'wordnet', 'wordnet', true)) v(name, a, b, needs) ON sk = a AND ok = b AND (sub OR NOT needs)""")
+def triple_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    subject = "CASE l_suppkey % 3 WHEN 0 THEN concat('<wordnet_s', l_suppkey, '>') WHEN 1 THEN concat('<wikicat_s', l_suppkey, '>') ELSE concat('<S', l_suppkey, '>') END"
+    verb = "CASE l_partkey % 3 WHEN 0 THEN 'rdfs:subClassOf' WHEN 1 THEN '<subClassOf>' ELSE 'rdf:type' END"
+    found = rdf.triples(read(spark, sf_dir, "lineitem").selectExpr(f"concat_ws('\t', {subject}, {verb}, CASE WHEN l_partkey % 2 = 0 THEN concat('<wordnet_p', l_partkey, '>') ELSE concat('<P', l_partkey, '>') END) AS value"))
+    return rdf.views(found)
+
+
+@query("""SELECT conv_id, sent_id, b - sb AS b, e - sb AS e, k FROM (SELECT conv_id, turn % 3 * 10 AS b, turn % 3 * 10 + turn % 13 AS e, turn AS k FROM conversations) JOIN (SELECT conv_id, turn AS sent_id, turn * 10 AS sb, turn * 10 + 10 AS se FROM conversations) USING (conv_id) WHERE sb <= b AND e <= se""")
+def tags_of_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    tags = turns.selectExpr("conv_id AS doc_id", "turn % 3 * 10 AS b", "turn % 3 * 10 + turn % 13 AS e", "turn AS k")
+    found = meaning.tags_of_sentences(tags, turns.selectExpr("conv_id AS doc_id", "turn AS sent_id", "turn * 10 AS sb", "turn * 10 + 10 AS se"))
+    return found.withColumnRenamed("doc_id", "conv_id")

@@ -55,15 +55,13 @@ def triples(rows: DataFrame, value: str = "value") -> DataFrame:
     four = (F.size("__t") == 4) & F.get("__t", 0).rlike("^<id_[^>]+>$")
     three = F.size("__t") == 3
     first = F.when(four, 1).when(three, 0)
-    found = tokens.select(
-        *rows.columns,
-        F.when(four, F.regexp_extract(F.get("__t", 0), "^<id_([^>]+)>$", 1)).alias("id"),
-        classified(F.get("__t", first), NOUNS).alias("subject"),
-        classified(F.get("__t", first + 1), VERBS).alias("verb"),
-        classified(F.get("__t", first + 2), NOUNS).alias("object"),
-    )
-    whole = F.col("subject").isNotNull() & F.col("verb").isNotNull() & F.col("object").isNotNull()
-    return found.withColumns({c: F.when(whole, F.col(c)) for c in ("id", "subject", "verb", "object")})
+    # each token is classified inside of a lambda, which is not copied into whatever uses its kind and value
+    nouns = F.transform(F.array(F.get("__t", first), F.get("__t", first + 2)), lambda t: classified(t, NOUNS))
+    verbs = F.transform(F.array(F.get("__t", first + 1)), lambda t: classified(t, VERBS))
+    found = tokens.select(*rows.columns, F.when(four, F.regexp_extract(F.get("__t", 0), "^<id_([^>]+)>$", 1)).alias("id"), nouns.alias("__n"), verbs.alias("__v"))
+    whole = ~F.exists("__n", lambda t: t.isNull()) & F.get("__v", 0).isNotNull()
+    parts = {"id": F.col("id"), "subject": F.get("__n", 0), "verb": F.get("__v", 0), "object": F.get("__n", 1)}
+    return found.select(*rows.columns, *[F.when(whole, c).alias(n) for n, c in parts.items()])
 
 
 def links_between(found: DataFrame, subject: str, object_: str, verb: str | None = None) -> DataFrame:
@@ -73,6 +71,33 @@ def links_between(found: DataFrame, subject: str, object_: str, verb: str | None
     return rows.select(F.col("subject.value").alias("s"), F.col("object.value").alias("o"))
 
 
+#: The kinds of subject, object and verb, and the verb, of each view; null is any.
+VIEWS = {
+    "typedCat": ("wikicat", "wordnet", None, None),
+    "interlink": ("title", "title", None, None),
+    "synset": ("title", "wordnet", None, None),
+    "taxonomy": ("wordnet", "wordnet", "rdfs", "subClassOf"),
+}
+
+
+def view(found: DataFrame, name: str) -> DataFrame:
+    """s, o of a named selection of triples. Raises ValueError for an unknown name."""
+    if name not in VIEWS:
+        raise ValueError(f"unknown view: {name}")
+    return views(found, [name]).drop("name")
+
+
+def views(found: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """name, s, o: several views (all, if none are named) in one pass over the triples."""
+    fits = []
+    for name in names or VIEWS:
+        subject, object_, kind, verb = VIEWS[name]
+        own = (F.col("subject.kind") == subject) & (F.col("object.kind") == object_)
+        fits.append(F.when(own if kind is None else own & (F.col("verb.kind") == kind) & (F.col("verb.value") == verb), F.lit(name)))
+    each = found.select(F.explode(F.array_compact(F.array(*fits))).alias("name"), "subject", "object")
+    return each.select("name", F.col("subject.value").alias("s"), F.col("object.value").alias("o"))
+
+
 def turtle_lines(rows: DataFrame, value: str = "value") -> DataFrame:
     """Adds terms (tokens before the end), ending (Comma, Semicolon, End) and error (``Blank line.``, ``Wrong end of line.``)."""
     stripped = F.regexp_replace(F.col(value), r"^\s+|\s+$", "")

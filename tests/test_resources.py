@@ -1,10 +1,12 @@
 """Readers of dumps and the second try of names."""
 
-from lexmill.functions import labels
-from lexmill.operators import gazetteer, resources
-from lexmill.sources import dumps
+import pytest
 from pyspark.sql import functions as F
 
+from lexmill.functions import labels
+from lexmill.operators import coreference, gazetteer, resources
+from lexmill.sources import dumps, rdf
+
 
 def test_dump_rows(spark, tmp_path):
     text = "-- MySQL dump\nCREATE TABLE `page` (\nINSERT INTO `page` VALUES (1,0,'It\\'s (a), \"b\"',NULL,0.5),(2,-1,'café \\\\ x\\ny''z','',3);\r\n\nINSERT INTO `redirect` VALUES (7,'NULL');\n"
@@ -45,3 +47,16 @@ def test_mapped_sense_without_known_rolesets(spark):
 def test_dependency_relation_is_exact(spark):
     rows = spark.createDataFrame([("nsubj",), ("nsubj:pass",), (None,)], "v string")
     assert [r[0] for r in rows.select(labels.dependency_relation(F.col("v"))).collect()] == ["nsubj", None, None]
+
+
+def test_view_of_an_unknown_name(spark):
+    found = rdf.triples(spark.createDataFrame([("<wordnet_a>\trdfs:subClassOf\t<wordnet_b>",), ("<wordnet_a>\t<subClassOf>\t<wordnet_c>",)], "value string"))
+    assert [tuple(r) for r in rdf.view(found, "taxonomy").collect()] == [("a", "b")]
+    with pytest.raises(ValueError, match="unknown view"):
+        rdf.view(found, "other")
+
+
+def test_pronoun_without_clauses_near_it(spark):
+    clauses = spark.createDataFrame([(1, 1, None, None, 0, 1, "Person"), (1, 2, 1, None, 3, 4, None)], "sent_id int, clause_id int, parent_id int, topic_id int, subject_b int, subject_e int, subject_class string")
+    phrases = spark.createDataFrame([(1, 1, 2, "He", False), (1, 2, 2, "It", False), (1, 3, 1, "She", False), (1, 4, 1, "She", True), (1, 5, 9, "He", True)], "sent_id int, phrase_id int, clause_id int, person string, genitive boolean")
+    assert sorted(tuple(r) for r in coreference.pronouns(phrases, clauses).collect()) == [(1, 1, 0, 1), (1, 4, 0, 1)]
