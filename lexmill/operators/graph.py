@@ -63,10 +63,15 @@ def most_similar(scored: DataFrame, by: list[str], cutoff: float) -> DataFrame:
     return best.select(*by, "m.score", "m.ref", "m.candidate").where(F.col("score") > cutoff)
 
 
-def hub_nodes(paths: DataFrame, top: int) -> DataFrame:
-    """node, n: the nodes most often inside of paths (neither first nor last)."""
+def interior_counts(paths: DataFrame) -> DataFrame:
+    """node, n: how often each node is inside of a path (neither first nor last)."""
     inner = paths.select(F.explode(F.slice("path", 2, F.greatest(F.size("path") - 2, F.lit(0)))).alias("node"))
-    return inner.groupBy("node").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "node").limit(top)
+    return inner.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+
+
+def hub_nodes(paths: DataFrame, top: int) -> DataFrame:
+    """node, n: the nodes most often inside of paths."""
+    return interior_counts(paths).orderBy(F.col("n").desc(), "node").limit(top)
 
 
 def without_hubs(edges: DataFrame, hubs: DataFrame) -> DataFrame:

@@ -416,12 +416,21 @@ def most_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.most_similar(scored, ["o_custkey"], 450)
 
 
+def _two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _trade(spark, sf_dir)
+    return graph.walks(edges, edges.select(F.col("src").alias("node")).distinct(), 2).where(F.size("path") == 3)
+
+
+@query(_TRADE + """
+SELECT x.dst AS node, count(*) AS n FROM trade x JOIN trade y ON x.dst = y.src GROUP BY 1""")
+def interior_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.interior_counts(_two_hops(spark, sf_dir))
+
+
 @query(_TRADE + """
 SELECT x.dst AS node, count(*) AS n FROM trade x JOIN trade y ON x.dst = y.src GROUP BY 1 ORDER BY n DESC, node LIMIT 10""")
 def hub_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _trade(spark, sf_dir)
-    starts = edges.select(F.col("src").alias("node")).distinct()
-    return graph.hub_nodes(graph.walks(edges, starts, 2).where(F.size("path") == 3), 10)
+    return graph.hub_nodes(_two_hops(spark, sf_dir), 10)
 
 
 @query(_TRADE + ", hub AS (SELECT dst FROM trade GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 5) SELECT src, dst FROM trade WHERE dst NOT IN (SELECT dst FROM hub)")
