@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import jaccard_join, language_id, lm_scoring, packing, piece_sampling, quality_classifier, quality_rules, substring_dedup, top_k, url_filter
+from lexmill.llm import jaccard_join, language_id, lm_scoring, oracles, packing, piece_sampling, prefix_trie, quality_classifier, quality_rules, resampling, sharding, substring_dedup, top_k, url_filter
 from lexmill.llm.common import remainder
 
 
@@ -59,6 +59,20 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_read(spark, sf_dir, "conversations"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(_read(spark, sf_dir, "documents"), 40)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), seed=2024, percent=10)
+    return drawn.withColumnRenamed("id", "doc_id")
+
+
 OP8_SQL = """
 WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -92,6 +106,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_top_k": op8_exact_top_k,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_quality_rules": op10_quality_rules,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_sharding": op12_sharding,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
@@ -99,4 +116,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_substring_dedup": OP6_SQL,
         "op8_exact_top_k": OP8_SQL,
+        "op11_prefix_trie": oracles.OP11,
+        "op12_sharding": oracles.OP12,
+        "op13_importance_resampling": oracles.OP13,
     }
