@@ -2,170 +2,117 @@
 
 Grammar is a table: what stands before a verb is written as a chain, for example
 ``VBN be.VBN have.VBD``, and the first rule whose pattern fits the chain gives
-tense, aspect, voice and the number of words. Modals, ``to`` and their compounds
-are rules over the heads of the verb phrases above, from the inside out.
-Sentences are kept whole: rows are dealt and sorted by sentence, and an Arrow
-batch holds many of them.
+tense, aspect, voice and the number of words. Each verb points to the verb before
+it; chains follow these pointers, auxiliaries come from the heads of the verb
+phrases above. All of it are column expressions over a sentence's array of nodes.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from lexmill.functions.tags import VERBS
-
-RESULT = "sent_id long, verb_idx int, lemma string, tense string, aspect string, voice string, aux array<string>, neg string, words array<int>"
-
-# Heads that a first pass leaves to later passes, as they may be auxiliaries.
-LATER = ({"be", "have", "do", "go", "use"}, {"be", "have"}, set())
+from lexmill.operators.sentences import NODES, above, after, at, before, extended, first_child, first_id, has_lemma, is_phrase, is_verb, is_word, last_id, nodes_where, parent, sentences, stage
 
 #: Chain of a verb and the verbs before it, nearest first -> tense, aspect, voice, words. ``?`` takes the tense of the last word: VBD is past.
-RULES = [
-    (re.compile(pattern), *result)
-    for pattern, *result in (
-        (r"VB[PZ]?( |$)", "Present", "Simple", "Active", 1),
-        (r"VBN$", "Present", "Simple", "Passive", 1),
-        (r"VBG$", "Present", "Progressive", "Active", 1),
-        (r"VBD$", "Past", "Simple", "Active", 1),
-        (r"VBG be\.VBN have\.", "?", "PerfectProgressive", "Active", 3),
-        (r"VBG be\.(?!VBN|VBG)", "?", "Progressive", "Active", 2),
-        (r"VB[ND] have\.", "?", "Perfect", "Active", 2),
-        (r"VB[ND] be\.VBN have\.", "?", "Perfect", "Passive", 3),
-        (r"VB[ND] be\.(?!VBN|VBG)", "?", "Simple", "Passive", 2),
-        (r"VB[ND] be\.VBG be\.VBN have\.", "?", "PerfectProgressive", "Passive", 4),
-        (r"VB[ND] be\.VBG be\.(?!VBN|VBG)", "?", "Progressive", "Passive", 3),
-    )
-]
-LONGEST = 4
-
-#: Heads of the verb phrases above ``to``, inside out -> how many of them belong to the auxiliary.
-COMPOUNDS = [(re.compile(p), n) for p, n in ((r"(have|ought)\.\w+", 1), (r"use\.VBD", 1), (r"go\.VBG be\.", 2))]
-
-
-class Sentence:
-    """A parse as columns: tag, lemma, word index (-1 inside the tree), parent row, place among its siblings, children."""
-
-    def __init__(self, rows: list[dict]) -> None:
-        rows = sorted(rows, key=lambda r: r["node_id"])
-        place = {r["node_id"]: i for i, r in enumerate(rows)}
-        self.tag = [r["tag"] for r in rows]
-        self.word = [int(r["b"]) if r["is_leaf"] else -1 for r in rows]
-        self.lemma = [(r["lemma"] or "") if r["is_leaf"] else "" for r in rows]
-        self.up = [-1 if r["parent_id"] is None else place[r["parent_id"]] for r in rows]
-        self.below: list[list[int]] = [[] for _ in rows]
-        self.nth = [0] * len(rows)
-        for i, parent in enumerate(self.up):
-            if parent >= 0:
-                self.nth[i] = len(self.below[parent])
-                self.below[parent].append(i)
-
-    def is_verb(self, i: int) -> bool:
-        return self.word[i] >= 0 and self.tag[i] in VERBS
-
-    def mates(self, i: int) -> tuple[list[int], list[int]]:
-        """Siblings before, nearest first, and after."""
-        around = self.below[self.up[i]] if self.up[i] >= 0 else [i]
-        return around[: self.nth[i]][::-1], around[self.nth[i] + 1 :]
-
-    def code(self, i: int) -> str:
-        return f"{self.lemma[i]}.{self.tag[i]}"
-
-    def chain(self, verb: int) -> list[int]:
-        """The verb and, one by one, the nearest verb before it: beside it, else beside its phrase if that lies in a verb phrase."""
-        found = [verb]
-        while len(found) < LONGEST:
-            phrase = self.up[found[-1]]
-            levels = [] if phrase < 0 else [found[-1], phrase] if self.up[phrase] >= 0 and self.tag[self.up[phrase]] == "VP" else [found[-1]]
-            before = next((v for level in levels for v in self.mates(level)[0] if self.is_verb(v)), None)
-            if before is None:
-                break
-            found.append(before)
-        return found
-
-    def heads(self, i: int) -> list[int]:
-        """First children of the verb phrases around ``i``, inside out."""
-        out, at = [], self.up[i]
-        while at >= 0 and self.tag[at] == "VP":
-            out.append(self.below[at][0])
-            at = self.up[at]
-        return out
-
-    def auxiliary(self, lemma: str, first: int) -> list[int]:
-        """The nearest modal, ``do`` or ``to`` above the first word of a verb group; ``to`` with what it is part of."""
-        for head in self.heads(first):
-            if self.tag[head] == "MD" or (self.lemma[head] == "do" and lemma != "do"):
-                return [head]
-            if self.tag[head] == "TO":
-                return [*self.compound(head), head]
-        return []
-
-    def compound(self, to: int) -> list[int]:
-        """Words before ``to`` that make one auxiliary with it, if its phrase opens a clause that is the first or second part of a verb phrase."""
-        clause = self.up[self.up[to]] if self.tag[self.up[to]] == "VP" and self.nth[self.up[to]] == 0 else -1
-        if clause < 0 or self.tag[clause] != "S" or self.nth[clause] > 1 or self.up[clause] < 0 or self.tag[self.up[clause]] != "VP":
-            return []
-        outer = self.up[clause]
-        over = [self.below[outer][0], *([self.below[self.up[outer]][0]] if self.up[outer] >= 0 else [])]
-        codes = " ".join(map(self.code, over))
-        return next((over[:n][::-1] for pattern, n in COMPOUNDS if pattern.match(codes)), [])
-
-    def negation(self, i: int) -> int | None:
-        """The nearest ``not`` beside a word: before it, else after it."""
-        before, after = self.mates(i)
-        return next((k for k in [*before, *after] if self.tag[k] == "RB" and self.lemma[k] in ("not", "n't")), None)
-
-    def verbs(self) -> list[tuple]:
-        """For each verb: index, lemma, tense, aspect, voice, auxiliaries, negation, word indexes. Words of a group are no verbs of their own."""
-        found: list[tuple] = []
-        for later in LATER:
-            used = {w for row in found for w in row[-1]}
-            for verb in range(len(self.tag)):
-                if not self.is_verb(verb) or self.lemma[verb] in later or self.word[verb] in used:
-                    continue
-                chain = self.chain(verb)
-                codes = " ".join([self.tag[verb], *map(self.code, chain[1:])])
-                rule = next((r for r in RULES if r[0].match(codes)), None)
-                if rule is None:
-                    continue
-                _, tense, aspect, voice, size = rule
-                words = chain[:size][::-1]
-                if tense == "?":
-                    tense = "Past" if self.tag[words[0]] == "VBD" else "Present"
-                aux = self.auxiliary(self.lemma[verb], words[0])
-                neg = self.negation((aux or words)[0])
-                own = sorted({self.word[i] for i in [*aux, *words, *([] if neg is None else [neg])]})
-                found.append((self.word[verb], self.lemma[verb], tense, aspect, voice, [self.lemma[i] for i in aux], None if neg is None else self.lemma[neg], own))
-        return found
+RULES = (
+    (r"^VB[PZ]?( |$)", "Present", "Simple", "Active", 1),
+    (r"^VBN$", "Present", "Simple", "Passive", 1),
+    (r"^VBG$", "Present", "Progressive", "Active", 1),
+    (r"^VBD$", "Past", "Simple", "Active", 1),
+    (r"^VBG be\.VBN have\.", "?", "PerfectProgressive", "Active", 3),
+    (r"^VBG be\.(?!VBN|VBG)", "?", "Progressive", "Active", 2),
+    (r"^VB[ND] have\.", "?", "Perfect", "Active", 2),
+    (r"^VB[ND] be\.VBN have\.", "?", "Perfect", "Passive", 3),
+    (r"^VB[ND] be\.(?!VBN|VBG)", "?", "Simple", "Passive", 2),
+    (r"^VB[ND] be\.VBG be\.VBN have\.", "?", "PerfectProgressive", "Passive", 4),
+    (r"^VB[ND] be\.VBG be\.(?!VBN|VBG)", "?", "Progressive", "Passive", 3),
+)
+
+# Lemmas that a first pass leaves to later passes, as they may be auxiliaries.
+LATER = (("be", "have", "do", "go", "use"), ("be", "have"), ())
+
+
+def _previous(x: Column) -> Column:
+    """The nearest verb before the phrase of a verb, else before the verb phrase around that."""
+    phrase = parent(x)
+    around = parent(phrase)
+    verbs = lambda siblings: last_id(F.filter(siblings, is_verb))
+    return F.coalesce(verbs(before(phrase)), F.when(is_phrase(around, "VP"), verbs(before(around))))
+
+
+def _auxiliary(lemma: Column, first: Column) -> Column:
+    """Id of the nearest modal, ``to`` or ``do`` that heads one of the verb phrases right above a verb group."""
+    around = above(at(first))
+    bound = F.coalesce(last_id(F.filter(around, lambda y: ~is_phrase(y, "VP"))), F.lit(-1))
+    heads = F.transform(F.filter(around, lambda y: y["id"] > bound), lambda y: at(y["id"] + 1))
+    return last_id(F.filter(heads, lambda c: is_word(c, "MD", "TO") | (has_lemma(c, "do") & (lemma != "do"))))
+
+
+def _compound(to: Column) -> Column:
+    """Ids of the words that make one auxiliary with ``to``: have to, ought to, used to, be going to."""
+    own = parent(to)
+    clause = parent(own)
+    outer = parent(clause)
+    head = first_child(outer)
+    opener = first_child(parent(outer))
+    fits = (own["ord"] == 0) & is_phrase(clause, "S") & (clause["ord"] <= 1) & is_phrase(outer, "VP")
+    one = has_lemma(head, "have", "ought") | (has_lemma(head, "use") & is_word(head, "VBD"))
+    two = has_lemma(head, "go") & is_word(head, "VBG") & has_lemma(opener, "be")
+    return F.when(fits & one, F.array(head["id"])).when(fits & two, F.array(opener["id"], head["id"])).otherwise(_none())
+
+
+def _negation(x: Column) -> Column:
+    """Id of the nearest ``not`` before a word, else after it."""
+    none = lambda y: is_word(y, "RB") & has_lemma(y, "not", "n't")
+    return F.coalesce(last_id(F.filter(before(x), none)), first_id(F.filter(after(x), none)))
+
+
+def _none() -> Column:
+    return F.expr("cast(array() as array<int>)")
+
+
+def _rule(code: Column) -> Column:
+    value = lambda t, a, v, s: F.struct(F.lit(t).alias("tense"), F.lit(a).alias("aspect"), F.lit(v).alias("voice"), F.lit(s).alias("size"))
+    return F.coalesce(*[F.when(code.rlike(pattern), value(*result)) for pattern, *result in RULES])
+
+
+def _open(later: tuple[str, ...], used: Column) -> Callable[[Column], Column]:
+    """Whether a verb is for this pass and no part of a group found before."""
+    return lambda v: ~v["lemma"].isin(*later, "") & ~F.array_contains(used, v["id"])
+
+
+def with_verbs(rows: DataFrame) -> DataFrame:
+    """Adds verbs to rows of ``sentences``: id, lemma, tense, aspect, voice, aux, neg, words (node ids), in the order of the passes."""
+    keep = rows.columns
+    rows = stage(rows, _back=F.transform(NODES, lambda x: F.when(is_verb(x), _previous(x))))
+    hop = lambda i: F.get("_back", i)
+    code = lambda i: F.concat(at(i)["lemma"], F.lit("."), at(i)["tag"])
+    chain = lambda x: F.array(x["id"], hop(x["id"]), hop(hop(x["id"])), hop(hop(hop(x["id"]))))
+    rows = stage(rows, _chains=F.transform(nodes_where(is_verb), lambda x: F.struct(x["id"].alias("id"), x["lemma"].alias("lemma"), x["tag"].alias("tag"), chain(x).alias("chain"))))
+    words = lambda v: F.concat_ws(" ", v["tag"], *[code(v["chain"][i]) for i in (1, 2, 3)])
+    rows = stage(rows, _ruled=F.filter(extended("_chains", rule=lambda v: _rule(words(v))), lambda v: v["rule"].isNotNull()))
+    rows = stage(rows, _firsts=extended("_ruled", group=lambda v: F.slice(v["chain"], 1, v["rule"]["size"]), first=lambda v: F.get(v["chain"], v["rule"]["size"] - 1)))
+    rows = stage(rows, _heads=extended("_firsts", head=lambda v: _auxiliary(v["lemma"], v["first"])))
+    to = lambda v: F.when(is_word(at(v["head"]), "TO"), _compound(at(v["head"])))
+    rows = stage(rows, _aux=extended("_heads", aux=lambda v: F.when(v["head"].isNull(), _none()).otherwise(F.concat(F.coalesce(to(v), _none()), F.array(v["head"])))))
+    rows = stage(rows, _neg=extended("_aux", neg=lambda v: _negation(at(F.coalesce(F.get(v["aux"], 0), v["first"])))))
+    tense = lambda v: F.when(v["rule"]["tense"] != "?", v["rule"]["tense"]).otherwise(F.when(at(v["first"])["tag"] == "VBD", "Past").otherwise("Present"))
+    own = lambda v: F.array_sort(F.array_distinct(F.array_compact(F.concat(v["aux"], F.array(v["neg"]), v["group"]))))
+    verb = lambda v: F.struct(v["id"].alias("id"), v["lemma"].alias("lemma"), tense(v).alias("tense"), v["rule"]["aspect"].alias("aspect"), v["rule"]["voice"].alias("voice"), v["aux"].alias("aux"), v["neg"].alias("neg"), own(v).alias("words"))
+    rows = stage(rows, _all=F.transform("_neg", verb))
+    used, passes = _none(), []
+    for i, later in enumerate(LATER):
+        rows = stage(rows, **{f"_pass{i}": F.filter("_all", _open(later, used))})
+        used = F.concat(used, F.flatten(F.transform(f"_pass{i}", lambda v: v["words"])))
+        passes.append(f"_pass{i}")
+    return stage(rows, verbs=F.concat(*passes)).select(*keep, "verbs")
 
 
 def verb_properties(nodes: DataFrame) -> DataFrame:
     """A row for each verb of each sentence. nodes: node rows (see ``sources.penn``) with ``lemma``."""
-    columns = ["sent_id", "node_id", "parent_id", "tag", "is_leaf", "b", "lemma"]
-    kinds = [pa.int64(), pa.int32(), *[pa.string()] * 4, pa.list_(pa.string()), pa.string(), pa.list_(pa.int32())]
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-
-        def done(rows: list[dict]) -> list[tuple]:
-            return [(rows[0]["sent_id"], *v) for v in Sentence(rows).verbs()] if rows else []
-
-        for batch in batches:
-            out: list[tuple] = []
-            for row in batch.to_pylist():
-                if held and held[0]["sent_id"] != row["sent_id"]:
-                    out += done(held)
-                    held = []
-                held.append(row)
-            yield _table(out, kinds)
-        yield _table(done(held), kinds)
-
-    return nodes.select(*columns).repartition("sent_id").sortWithinPartitions("sent_id", "node_id").mapInArrow(judge, RESULT)
-
-
-def _table(rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in RESULT.split(", ")])
+    rows = with_verbs(sentences(nodes)).select("sent_id", "n", F.explode("verbs").alias("v"))
+    leaf = lambda i: at(i)["b"]
+    return rows.select("sent_id", leaf(F.col("v.id")).alias("verb_idx"), "v.lemma", "v.tense", "v.aspect", "v.voice", F.transform("v.aux", lambda i: at(i)["lemma"]).alias("aux"), at(F.col("v.neg"))["lemma"].alias("neg"), F.transform("v.words", leaf).alias("words"))

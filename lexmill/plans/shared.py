@@ -24,4 +24,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table of the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/lexmill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``written`` from which all that is needed has been written elsewhere."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
