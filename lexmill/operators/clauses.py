@@ -252,26 +252,41 @@ def clause_tree(rows: DataFrame) -> DataFrame:
 
 
 def clause_parts(rows: DataFrame) -> DataFrame:
-    """sent_id, verb_idx, role, ord, kind, trace, i, b, e, text: subject, complements and adjuncts of each clause; a trace has range and head of what it stands for."""
+    """One row for subject, complements and adjuncts of each clause; a trace has range and head of what it stands for.
+
+    sent_id, verb_idx, role, ord, kind, trace, i, b, e, free (a question word that stands
+    for nothing else), det, person, text; of a prepositional phrase prep, time,
+    gerund and the range inside (obj_b, obj_e); of a clause word (that opens it) and
+    infinitive.
+    """
     put = lambda role, parts: F.transform(parts, lambda p, k: F.struct(F.lit(role).alias("role"), k.alias("ord"), p["kind"].alias("own_kind"), p["trace"].alias("trace"), p["i"].alias("i"), p["b"].alias("own_b"), p["e"].alias("own_e")))
     c = F.col("c")
-    rows = rows.select("sent_id", "n", "dps", "pps", "tree", "resolved", F.explode("clauses").alias("c"))
-    rows = rows.select("sent_id", "n", "dps", "pps", "tree", "resolved", at(c["verb"]["id"])["b"].alias("verb_idx"), c["root_b"].alias("root_b"), c["root_e"].alias("root_e"), F.inline(F.concat(put("subject", F.array(c["subject"])), put("complement", c["comps"]), put("adjunct", c["adjuncts"]))))
+    keep = ["sent_id", "n", "dps", "pps", "tree", "resolved"]
+    heads = F.transform("clauses", lambda y: F.struct(y["b"].alias("b"), y["e"].alias("e"), y["word"].alias("word"), (at(F.get(y["verb"]["aux"], 0))["lemma"] == "to").alias("infinitive")))
+    rows = rows.select(*keep, heads.alias("heads"), F.explode("clauses").alias("c"))
+    rows = rows.select(*keep, "heads", at(c["verb"]["id"])["b"].alias("verb_idx"), c["root_b"].alias("root_b"), c["root_e"].alias("root_e"), F.inline(F.concat(put("subject", F.array(c["subject"])), put("complement", c["comps"]), put("adjunct", c["adjuncts"]))))
     whose = lambda y: (y["r"]["i"] == F.col("i")) & (y["root_b"] == F.col("root_b")) & (y["root_e"] == F.col("root_e"))
     is_trace = F.col("own_kind") == "trace"
     rows = stage(rows, meant=F.when(is_trace, found("resolved", whose)["r"]))
     m = F.col("meant")
     kind = F.when(~is_trace, F.col("own_kind")).when(m.isNull(), None).when((m["rank"] == 0) & (m["free"] == 0), "CP").otherwise("DP")
-    rows = stage(rows, kind=kind, b=F.coalesce("own_b", m["b"]), e=F.coalesce("own_e", m["e"]))
+    rows = stage(rows, kind=kind, b=F.coalesce("own_b", m["b"]), e=F.coalesce("own_e", m["e"]), free=F.coalesce(m["free"] == 1, F.lit(False)))
     own = _entry(F.col("b"), F.col("e"))
-    rows = stage(rows, noun=F.get("dps", F.when(own["kind"] == "DP", own["at"])), tail=F.get("pps", F.when(own["kind"] == "PP", own["at"])))
-    inner = _phrase(F.struct(F.col("tail.noun").alias("id")))
-    rows = stage(rows, inner=F.when(_entry(inner["b"], inner["e"])["kind"] == "DP", inner))
+    head = found("heads", lambda y: (y["b"] == F.col("b")) & (y["e"] == F.col("e")))
+    is_cp = (F.col("kind") == "CP") & (own["kind"] == "CP")
+    rows = stage(rows, noun=F.get("dps", F.when(own["kind"] == "DP", own["at"])), tail=F.get("pps", F.when((own["kind"] == "PP") & (F.col("kind") == "PP"), own["at"])), word=F.when(is_cp, head["word"]), infinitive=F.when(is_cp, F.coalesce(head["infinitive"], F.lit(False))))
+    inside = _phrase(F.struct(F.col("tail.noun").alias("id")))
+    rows = stage(rows, inside=inside)
+    inner = F.when(_entry(F.col("inside.b"), F.col("inside.e"))["kind"] == "DP", F.col("inside"))
+    rows = stage(rows, inner=inner)
+    tail = F.col("tail")
     text = (
         F.when(F.col("kind").isin("CP", "AP"), text_of(F.col("b"), F.col("e")))
         .when((F.col("kind") == "DP") & F.col("noun").isNotNull(), head_text(F.col("noun")))
-        .when((F.col("kind") == "PP") & F.col("tail.clause_b").isNotNull(), text_of(F.col("tail.clause_b"), F.col("tail.clause_e")))
+        .when((F.col("kind") == "PP") & tail["clause_b"].isNotNull(), text_of(tail["clause_b"], tail["clause_e"]))
         .when((F.col("kind") == "PP") & F.col("inner").isNotNull(), head_text(F.col("inner")))
         .when(F.col("kind").isNotNull(), "")
     )
-    return rows.select("sent_id", "verb_idx", "role", "ord", "kind", "trace", "i", "b", "e", F.when(F.col("kind") == "DP", F.col("noun.det")).alias("det"), F.when(F.col("kind") == "DP", F.col("noun.person")).alias("person"), text.alias("text"))
+    noun = lambda field: F.when(F.col("kind") == "DP", F.col(f"noun.{field}")).alias(field)
+    tails = [tail["prep"].alias("prep"), tail["time"].alias("time"), F.when(tail["id"].isNotNull(), tail["clause_b"].isNotNull()).alias("gerund"), F.coalesce(tail["clause_b"], F.col("inside.b")).alias("obj_b"), F.coalesce(tail["clause_e"], F.col("inside.e")).alias("obj_e")]
+    return rows.select("sent_id", "verb_idx", "role", "ord", "kind", "trace", "i", "b", "e", "free", noun("det"), noun("person"), text.alias("text"), *tails, "word", "infinitive")
