@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.tags import ADJECTIVES, NOUNS
 from lexmill.operators.noun_phrases import head_text, noun_phrase_at, split, with_noun_phrases
-from lexmill.operators.sentences import after, at, extended, first_child, first_id, found, is_phrase, is_word, last_id, nodes_where, parent, sentences, sibling, stage, text_of
+from lexmill.operators.sentences import after, at, extended, first_child, first_id, found, is_phrase, is_word, last_id, nodes_where, parent, record, sentences, sibling, stage, text_of
 from lexmill.operators.verbs import with_verbs
 from lexmill.plans.shared import discard, written
 
@@ -157,7 +157,7 @@ def with_bound_clauses(rows: DataFrame) -> DataFrame:
     clause_at = lambda b, e: F.get("clauses", F.when(_entry(b, e)["kind"] == "CP", _entry(b, e)["at"]))
     kinds = lambda p: F.when(p["open"], _entry(p["b"], p["e"])["kind"]).otherwise(p["kind"])
     settled = lambda p: F.when(kinds(p).isNull(), _part("trace", trace="NULL")).otherwise(p.withField("kind", kinds(p)).withField("open", F.lit(False)))
-    placed = F.transform(F.filter("tree", lambda x: x["kind"] == "CP"), lambda x: F.get("clauses", x["at"]).withField("root_b", x["root_b"]).withField("root_e", x["root_e"]).withField("up_b", F.when(x["up"]["kind"] == "CP", x["up"]["b"])).withField("up_e", F.when(x["up"]["kind"] == "CP", x["up"]["e"])))
+    placed = F.transform(F.filter("tree", lambda x: x["kind"] == "CP"), lambda x: F.get("clauses", x["at"]).withField("root_b", x["root_b"]).withField("root_e", x["root_e"]).withField("over_b", x["up"]["b"]).withField("over_e", x["up"]["e"]).withField("up_b", F.when(x["up"]["kind"] == "CP", x["up"]["b"])).withField("up_e", F.when(x["up"]["kind"] == "CP", x["up"]["e"])))
     rows = stage(rows, _b1=placed)
     rows = stage(rows, _b2=extended("_b1", comps=lambda c: F.transform(c["comps"], settled), adjuncts=lambda c: F.filter(F.transform(c["adjuncts"], settled), lambda p: p["kind"] == "CP")))
     headed = lambda p: F.coalesce((p["kind"] == "CP") & (clause_at(p["b"], p["e"])["word"] != "that"), F.lit(False))
@@ -240,15 +240,27 @@ def referents(rows: DataFrame) -> DataFrame:
     """sent_id, root_b, root_e, i, kind (DP, CP or WH), b, e, text: what each index of a tree stands for."""
     r = F.col("x.r")
     kind = F.when(r["free"] == 1, "WH").when(r["rank"] == 0, "CP").otherwise("DP")
-    return rows.select("sent_id", "n", F.explode("resolved").alias("x")).select("sent_id", "x.root_b", "x.root_e", r["i"].alias("i"), kind.alias("kind"), r["b"].alias("b"), r["e"].alias("e"), text_of(r["head_b"], r["head_e"]).alias("text"))
+    rows = rows.select("sent_id", "n", F.explode("resolved").alias("x"))
+    return written(rows.select("sent_id", "x.root_b", "x.root_e", r["i"].alias("i"), kind.alias("kind"), r["b"].alias("b"), r["e"].alias("e"), text_of(r["head_b"], r["head_e"]).alias("text")), "referents")
 
 
 def clause_tree(rows: DataFrame) -> DataFrame:
-    """sent_id, verb_idx, lemma, b, e, up_b, up_e, word (that opens it), spec, spec_i, spec_text: one row a clause, in the tree of clauses."""
+    """One row a clause, in the tree of phrases and clauses.
+
+    sent_id, verb_idx, lemma, voice, neg, b, e, up_b, up_e (the clause right above), over_b,
+    over_e (the phrase or clause right above), word (that opens it), spec, spec_i, spec_b,
+    spec_e, spec_text (what stands before it: a topic or a question word).
+    """
     c = F.col("c")
     rows = rows.select("sent_id", "n", F.explode("clauses").alias("c"))
     text = F.when(c["spec_b"].isNotNull(), text_of(c["spec_b"], c["spec_e"]))
-    return rows.select("sent_id", at(c["verb"]["id"])["b"].alias("verb_idx"), c["verb"]["lemma"].alias("lemma"), *[c[k].alias(k) for k in ("b", "e", "up_b", "up_e", "word", "spec", "spec_i")], text.alias("spec_text"))
+    verb = c["verb"]
+    return written(rows.select("sent_id", at(verb["id"])["b"].alias("verb_idx"), verb["lemma"].alias("lemma"), verb["voice"].alias("voice"), verb["neg"].isNotNull().alias("neg"), *[c[k].alias(k) for k in ("b", "e", "up_b", "up_e", "over_b", "over_e", "word", "spec", "spec_i", "spec_b", "spec_e")], text.alias("spec_text")), "clause-tree")
+
+
+def clause_heads() -> Column:
+    """b, e, word, infinitive of each clause of a row."""
+    return F.transform("clauses", lambda y: record(b=y["b"], e=y["e"], word=y["word"], infinitive=at(F.get(y["verb"]["aux"], 0))["lemma"] == "to"))
 
 
 def clause_parts(rows: DataFrame) -> DataFrame:
@@ -257,12 +269,12 @@ def clause_parts(rows: DataFrame) -> DataFrame:
     sent_id, verb_idx, role, ord, kind, trace, i, b, e, free (a question word that stands
     for nothing else), det, person, text; of a prepositional phrase prep, time,
     gerund and the range inside (obj_b, obj_e); of a clause word (that opens it) and
-    infinitive.
+    infinitive. A table, as all of its columns come from one look at a sentence.
     """
     put = lambda role, parts: F.transform(parts, lambda p, k: F.struct(F.lit(role).alias("role"), k.alias("ord"), p["kind"].alias("own_kind"), p["trace"].alias("trace"), p["i"].alias("i"), p["b"].alias("own_b"), p["e"].alias("own_e")))
     c = F.col("c")
     keep = ["sent_id", "n", "dps", "pps", "tree", "resolved"]
-    heads = F.transform("clauses", lambda y: F.struct(y["b"].alias("b"), y["e"].alias("e"), y["word"].alias("word"), (at(F.get(y["verb"]["aux"], 0))["lemma"] == "to").alias("infinitive")))
+    heads = clause_heads()
     rows = rows.select(*keep, heads.alias("heads"), F.explode("clauses").alias("c"))
     rows = rows.select(*keep, "heads", at(c["verb"]["id"])["b"].alias("verb_idx"), c["root_b"].alias("root_b"), c["root_e"].alias("root_e"), F.inline(F.concat(put("subject", F.array(c["subject"])), put("complement", c["comps"]), put("adjunct", c["adjuncts"]))))
     whose = lambda y: (y["r"]["i"] == F.col("i")) & (y["root_b"] == F.col("root_b")) & (y["root_e"] == F.col("root_e"))
@@ -289,4 +301,4 @@ def clause_parts(rows: DataFrame) -> DataFrame:
     )
     noun = lambda field: F.when(F.col("kind") == "DP", F.col(f"noun.{field}")).alias(field)
     tails = [tail["prep"].alias("prep"), tail["time"].alias("time"), F.when(tail["id"].isNotNull(), tail["clause_b"].isNotNull()).alias("gerund"), F.coalesce(tail["clause_b"], F.col("inside.b")).alias("obj_b"), F.coalesce(tail["clause_e"], F.col("inside.e")).alias("obj_e")]
-    return rows.select("sent_id", "verb_idx", "role", "ord", "kind", "trace", "i", "b", "e", "free", noun("det"), noun("person"), text.alias("text"), *tails, "word", "infinitive")
+    return written(rows.select("sent_id", "verb_idx", "role", "ord", "kind", "trace", "i", "b", "e", "free", noun("det"), noun("person"), text.alias("text"), *tails, "word", "infinitive"), "clause-parts")

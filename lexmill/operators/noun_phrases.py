@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.tags import NOUNS
 from lexmill.operators.sentences import after, at, extended, first_child, first_id, found, has_lemma, is_phrase, is_word, last_child, no_spans, nodes_where, sentences, sibling, span, stage, text_of
+from lexmill.plans.shared import written
 
 # Pronouns by person, and articles.
 PERSONS = {
@@ -253,4 +254,4 @@ def noun_phrases(nodes: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     d = F.col("d")
     texts = lambda spans: F.transform(spans, lambda s: text_of(s["b"], s["e"]))
     some = lambda b, e: F.when(b.isNotNull(), text_of(b, e))
-    return rows.select("sent_id", d["id"].alias("node_id"), d["b"].alias("b"), d["e"].alias("e"), d["det"].alias("det"), d["person"].alias("person"), some(d["det_b"], d["det_e"]).alias("determiner"), some(d["head_b"], d["head_e"]).alias("head"), d["head_class"].alias("head_class"), texts(d["specs"]).alias("specs"), some(d["comp"]["b"], d["comp"]["e"]).alias("complement"), texts(d["adjuncts"]).alias("adjuncts"), head_text(d).alias("text"))
+    return written(rows.select("sent_id", d["id"].alias("node_id"), d["b"].alias("b"), d["e"].alias("e"), d["det"].alias("det"), d["person"].alias("person"), some(d["det_b"], d["det_e"]).alias("determiner"), some(d["head_b"], d["head_e"]).alias("head"), d["head_class"].alias("head_class"), texts(d["specs"]).alias("specs"), some(d["comp"]["b"], d["comp"]["e"]).alias("complement"), texts(d["adjuncts"]).alias("adjuncts"), head_text(d).alias("text")), "noun-phrases")

@@ -129,6 +129,11 @@ def text_of(b: Column, e: Column) -> Column:
     return F.array_join(F.transform(held, lambda y: y["word"]), " ")
 
 
+def record(**fields: Column) -> Column:
+    """A struct of named values."""
+    return F.named_struct(*[x for k, v in fields.items() for x in (F.lit(k), v)])
+
+
 def extended(array: Column | str, **fields: Callable[[Column], Column]) -> Column:
     """An array of structs with more fields, each from the struct as it was."""
 

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.operators import clauses, noun_phrases, verbs
+from lexmill.operators import clauses, frames, meaning_graph, noun_phrases, verbs
 from lexmill.plans.catalog import query, read
+from lexmill.plans.shared import written
 from lexmill.sources import penn
 
 #: C, G and N are the customer's name, segment and nation.
@@ -89,7 +90,8 @@ def noun_phrase_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
   (7, 8, 'buy', 0, 12, NULL, NULL, NULL, NULL, NULL, NULL))
 SELECT sent_id, verb_idx, lemma, b, e, up_b, up_e, word, spec, spec_i, {_put('spec_text')} AS spec_text FROM said JOIN known USING (shape)""")
 def clause_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clauses.clause_tree(clauses.analysed(*sentences(spark, sf_dir)))
+    found = clauses.clause_tree(clauses.analysed(*sentences(spark, sf_dir)))
+    return found.select("sent_id", "verb_idx", "lemma", "b", "e", "up_b", "up_e", "word", "spec", "spec_i", "spec_text")
 
 
 @query(_SAID + f"""known(shape, verb_idx, role, ord, kind, trace, i, b, e, text) AS (VALUES
@@ -115,3 +117,69 @@ def clause_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT sent_id, root_b, root_e, i, kind, b, e, {_put('text')} AS text FROM said JOIN known USING (shape)""")
 def clause_referents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clauses.referents(clauses.analysed(*sentences(spark, sf_dir)))
+
+
+# Frames and meaning graphs of these sentences, by a small lexicon: lemma, frame, its roles in order, the codes of their slots.
+LEXICON = (
+    ("want", "Desiring", ("Experiencer", "Event"), ("NP-SBJ", "SBAR-1")),
+    ("ship", "Sending", ("Sender", "Theme", "Recipient"), ("NP-SBJ", "NP-1", "PP-to")),
+    ("buy", "Commerce_buy", ("Buyer", "Goods"), ("NP-SBJ", "NP-1")),
+    ("meet", "Make_acquaintance", ("Individual_1", "Individual_2"), ("NP-SBJ", "NP-1")),
+    ("leave", "Departing", ("Theme", "Source"), ("NP-SBJ", "NP-1")),
+    ("tell", "Telling", ("Speaker", "Addressee", "Message"), ("NP-SBJ", "NP-1", "SBAR-2")),
+    ("say", "Statement", ("Speaker", "Message"), ("NP-SBJ", "SBAR-1")),
+    ("sell", "Commerce_sell", ("Seller", "Goods"), ("NP-SBJ", "NP-1")),
+    ("make", "Manufacturing", ("Producer", "Product"), ("NP-SBJ", "NP-1")),
+    ("rise", "Motion_directional", ("Theme",), ("NP-SBJ",)),
+)
+
+
+def lexicon(spark: SparkSession) -> dict[str, DataFrame]:
+    senses = [(lemma, "1", frame, "single", 1) for lemma, frame, _, _ in LEXICON]
+    roles = [(lemma, "1", f"arg{i}", role) for lemma, _, named, _ in LEXICON for i, role in enumerate(named)]
+    patterns = [(lemma, "1", "p", 1, *codes, *[None] * (5 - len(codes))) for lemma, _, _, codes in LEXICON]
+    return {
+        "senses": spark.createDataFrame(senses, "lemma string, sense string, frame string, cause string, n long"),
+        "roles": spark.createDataFrame(roles, "lemma string, sense string, arg string, role string"),
+        "patterns": spark.createDataFrame(patterns, "lemma string, sense string, pattern string, n long, arg0 string, arg1 string, arg2 string, arg3 string, arg4 string"),
+        "duals": spark.createDataFrame([], "frame string, causative string, agent string"),
+        "dual_roles": spark.createDataFrame([], "frame string, role string, new_role string"),
+        "relations": spark.createDataFrame([("in", "Locative_relation", "Figure", "Ground", 0)], "prep string, frame string, role0 string, role1 string, prio int"),
+        "elements": spark.createDataFrame([("Commerce_sell", "Place"), ("Manufacturing", "Place")], "frame string, element string"),
+        "preposition_roles": spark.createDataFrame([("in", 0, "Time"), ("in", 1, "Place")], "prep string, place int, role string"),
+    }
+
+
+def graph_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = clauses.analysed(*sentences(spark, sf_dir))
+    tree, parts, words = clauses.clause_tree(rows), clauses.clause_parts(rows), lexicon(spark)
+    matched = written(frames.match_frames(tree, parts, words), "frames")
+    return meaning_graph.meaning_graph(matched, tree, meaning_graph.phrases(rows), parts, frames.linked_clauses(tree, parts), words["relations"])
+
+
+@query(_SAID + f"""known(shape, id, kind, b, e, head_b, head_e, frame, text) AS (VALUES
+  (0, 1, 'predicate', 0, 8, 1, 1, 'Desiring', 'want'), (0, 2, 'predicate', 2, 7, 3, 3, 'Sending', 'ship'), (0, 3, 'entity', 0, 0, 0, 0, NULL, '<C>'), (0, 4, 'entity', 4, 5, 4, 5, NULL, 'the <G>'), (0, 5, 'entity', 7, 7, 7, 7, NULL, '<N>'), (0, 6, 'entity', NULL, NULL, 0, 0, NULL, 'PRO_0'),
+  (1, 1, 'predicate', 0, 6, 3, 3, 'Commerce_buy', 'buy'), (1, 2, 'entity', 0, 1, 0, 1, NULL, 'The <G>'), (1, 3, 'entity', 5, 5, 5, 5, NULL, '<C>'),
+  (2, 1, 'predicate', 0, 7, 1, 1, 'Make_acquaintance', 'meet'), (2, 2, 'predicate', 4, 6, 5, 5, 'Departing', 'leave'), (2, 3, 'entity', 0, 0, 0, 0, NULL, 'He'), (2, 4, 'entity', 2, 6, 2, 3, NULL, 'the buyer'), (2, 5, 'entity', 6, 6, 6, 6, NULL, '<N>'),
+  (3, 1, 'predicate', 0, 9, 1, 1, 'Telling', 'tell'), (3, 2, 'predicate', 3, 8, 7, 7, 'Departing', 'leave'), (3, 3, 'entity', 0, 0, 0, 0, NULL, '<C>'), (3, 4, 'entity', 2, 2, 2, 2, NULL, 'them'), (3, 5, 'entity', 4, 4, 4, 4, NULL, 'it'), (3, 6, 'entity', 8, 8, 8, 8, NULL, '<N>'),
+  (4, 1, 'predicate', 0, 2, 1, 1, 'Commerce_buy', 'buy'), (4, 2, 'predicate', 0, 6, 5, 5, 'Statement', 'say'), (4, 3, 'entity', 0, 0, 0, 0, NULL, '<N>'), (4, 4, 'entity', 2, 2, 2, 2, NULL, '<G>'), (4, 5, 'entity', 4, 4, 4, 4, NULL, '<C>'),
+  (5, 1, 'predicate', 0, 7, 1, 1, 'Commerce_sell', 'sell'), (5, 2, 'predicate', 4, 6, 4, 4, 'Manufacturing', 'make'), (5, 3, 'entity', 0, 0, 0, 0, NULL, '<C>'), (5, 4, 'entity', 2, 6, 2, 3, NULL, 'a <G>'), (5, 5, 'entity', 6, 6, 6, 6, NULL, '<N>'),
+  (6, 1, 'predicate', 0, 10, 3, 3, 'Commerce_sell', 'sell'), (6, 2, 'predicate', 7, 9, 9, 9, 'Motion_directional', 'rise'), (6, 3, 'entity', 0, 0, 0, 0, NULL, '<C>'), (6, 4, 'entity', 0, 2, 2, 2, NULL, 'agent'), (6, 5, 'entity', 4, 4, 4, 4, NULL, '<G>'), (6, 6, 'entity', 6, 6, 6, 6, NULL, '<N>'), (6, 7, 'entity', 8, 8, 8, 8, NULL, 'prices'), (6, 8, 'relation', 0, 0, NULL, NULL, 'Possession', ''),
+  (7, 1, 'predicate', 0, 12, 8, 8, 'Commerce_buy', 'buy'), (7, 2, 'entity', 0, 6, 0, 0, NULL, '<C>'), (7, 3, 'entity', 2, 5, 2, 5, NULL, 'a firm of <N>'), (7, 4, 'entity', 9, 9, 9, 9, NULL, '<G>'), (7, 5, 'relation', 2, 5, NULL, NULL, 'Instance', ''))
+SELECT sent_id, id, kind, b, e, head_b, head_e, frame, {_put('text')} AS text FROM said JOIN known USING (shape)""")
+def meaning_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_tables(spark, sf_dir)[0]
+
+
+@query(_SAID + """known(shape, role, modifier, prep, src, dst) AS (VALUES
+  (0, 'Event', false, NULL, 1, 2), (0, 'Experiencer', false, NULL, 1, 3), (0, 'Recipient', false, 'to', 2, 5), (0, 'Sender', false, NULL, 2, 6), (0, 'Theme', false, NULL, 2, 4), (0, 'PRO', false, NULL, 6, 3),
+  (1, 'Buyer', false, 'by', 1, 3), (1, 'Goods', false, NULL, 1, 2),
+  (2, 'Individual_1', false, NULL, 1, 3), (2, 'Individual_2', false, NULL, 1, 4), (2, 'Source', false, NULL, 2, 5), (2, 'Theme', true, NULL, 2, 4),
+  (3, 'Addressee', false, NULL, 1, 4), (3, 'Message', false, NULL, 1, 2), (3, 'Speaker', false, NULL, 1, 3), (3, 'Source', false, NULL, 2, 6), (3, 'Theme', false, NULL, 2, 5),
+  (4, 'Buyer', false, NULL, 1, 3), (4, 'Goods', false, NULL, 1, 4), (4, 'Message', false, NULL, 2, 1), (4, 'Speaker', false, NULL, 2, 5),
+  (5, 'Goods', false, NULL, 1, 4), (5, 'Seller', false, NULL, 1, 3), (5, 'Place', false, 'in', 2, 5), (5, 'Product', true, NULL, 2, 4),
+  (6, 'Explanation', false, 'as', 1, 2), (6, 'Goods', false, NULL, 1, 5), (6, 'Place', false, 'in', 1, 6), (6, 'Seller', false, NULL, 1, 4), (6, 'Theme', false, NULL, 2, 7), (6, 'Owner', false, NULL, 8, 3), (6, 'Possession', true, NULL, 8, 4),
+  (7, 'Buyer', false, NULL, 1, 2), (7, 'Goods', false, NULL, 1, 4), (7, 'Instance', true, NULL, 5, 2), (7, 'Type', false, NULL, 5, 3))
+SELECT sent_id, role, modifier, prep, src, dst FROM said JOIN known USING (shape)""")
+def meaning_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_tables(spark, sf_dir)[1]
