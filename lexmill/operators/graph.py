@@ -163,3 +163,46 @@ def largest_island(labels: DataFrame) -> DataFrame:
     """The number of islands and the size of the largest."""
     sizes = labels.groupBy("island").agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(F.count(F.lit(1)).alias("islands"), F.max("n").alias("largest"))
+
+
+def walk_ranks(edges: DataFrame, starts: DataFrame, rounds: int = 30, damping: float = 0.85) -> DataFrame:
+    """start, node, rank: where a walk that returns to its start nodes is, for many starts at the same time.
+
+    starts: start, node, weight: the start vector of each name, weights in proportion.
+    Each round is one join on the node; a node without a way out sends all back to the
+    start nodes. The tables grow by the nodes that the rounds reach.
+    """
+    total = Window.partitionBy("start")
+    seeds = written(starts.groupBy("start", "node").agg(F.sum("weight").alias("weight")).select("start", "node", (F.col("weight") / F.sum("weight").over(total)).alias("seed")), "seeds")
+    step = edges.select(F.col("src").alias("node"), "dst").distinct()
+    step = written(step.join(step.groupBy("node").agg(F.count(F.lit(1)).alias("ways")), "node"), "steps")
+    now = seeds.select("start", "node", F.col("seed").alias("rank"))
+    for k in range(rounds):
+        moved = now.join(step, "node").groupBy("start", F.col("dst").alias("node")).agg((F.sum(F.col("rank") / F.col("ways")) * damping).alias("rank"))
+        kept = moved.groupBy("start").agg(F.sum("rank").alias("kept"))
+        back = seeds.join(kept, "start", "left").select("start", "node", (F.col("seed") * (1 - F.coalesce("kept", F.lit(0.0)))).alias("rank"))
+        last, now = now, moved.unionByName(back).groupBy("start", "node").agg(F.sum("rank").alias("rank"))
+        if k % 4 == 3:  # else the plan grows with every round
+            now = written(now, "ranks")
+    return now
+
+
+def shared_neighbour_choice(edges: DataFrame, mentions: DataFrame, allowed: DataFrame, cutoff: int = 3) -> DataFrame:
+    """doc_id, mention, chosen: for each mention that may be several things, the one that shares most of the graph with a thing known in its document.
+
+    mentions: doc_id, mention, item, resolved; allowed: mention, item (those whose class
+    may be meant). Two things share the nodes that both are or link to; the best of
+    (shared, known thing, candidate) must share more than ``cutoff`` and be allowed.
+    Candidates meet known things within a document only, over the nodes they share: a
+    pair without a common node is never made.
+    """
+    known = mentions.where("resolved").select("doc_id", F.col("item").alias("ref")).distinct()
+    asked = mentions.where("not resolved").select("doc_id", "mention", F.col("item").alias("candidate")).distinct()
+    items = known.select(F.col("ref").alias("node")).unionByName(asked.select(F.col("candidate").alias("node"))).distinct()
+    near = neighbours(edges, items).withColumnRenamed("neighbour", "shared").where("node <> shared").unionByName(items.select("node", F.col("node").alias("shared")))
+    near = written(near, "near")
+    left = known.join(near.withColumnRenamed("node", "ref"), "ref")
+    right = asked.join(near.withColumnRenamed("node", "candidate"), "candidate")
+    scored = left.join(right, ["doc_id", "shared"]).where("shared <> ref or shared <> candidate").groupBy("doc_id", "mention", "ref", "candidate").agg(F.count(F.lit(1)).alias("score"))
+    best = most_similar(scored, ["doc_id", "mention"], cutoff)
+    return best.select("doc_id", "mention", F.col("candidate").alias("chosen"), "score").join(allowed.select("mention", F.col("item").alias("chosen")).distinct(), ["mention", "chosen"]).select("doc_id", "mention", "chosen", "score")

@@ -13,7 +13,7 @@ from lexmill.plans.catalog import query, read
 
 _LINES = """WITH line AS (SELECT l_orderkey AS sent_id, (row_number() OVER w - 1)::INTEGER AS i, (count(*) OVER (PARTITION BY l_orderkey))::INTEGER AS n, l_partkey AS p, l_suppkey AS s FROM lineitem
   WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
-node AS (SELECT sent_id, 0 AS node_id, NULL::INTEGER AS parent_id, 0 AS ord, 0 AS depth, 'S' AS tag, false AS is_leaf, NULL AS word, 0 AS b, n AS e, 2 * n AS last_id FROM line WHERE i = 0
+node AS MATERIALIZED (SELECT sent_id, 0 AS node_id, NULL::INTEGER AS parent_id, 0 AS ord, 0 AS depth, 'S' AS tag, false AS is_leaf, NULL AS word, 0 AS b, n AS e, 2 * n AS last_id FROM line WHERE i = 0
   UNION ALL SELECT sent_id, 1 + 2 * i, 0, i, 1, CASE WHEN s % 2 = 0 THEN 'NP-SBJ-' || s % 4 ELSE 'VP' END, false, NULL, i, i + 1, 2 + 2 * i FROM line
   UNION ALL SELECT sent_id, 2 + 2 * i, 1 + 2 * i, 0, 2, CASE p % 5 WHEN 0 THEN '-NONE-' WHEN 1 THEN 'NN' WHEN 2 THEN 'VBD' WHEN 3 THEN 'HYPH' ELSE 'PRP' END, true, CASE WHEN p % 5 = 0 THEN '*T*-' || s % 4 ELSE 'w' || p END, i, i + 1, 2 + 2 * i FROM line)
 """
