@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.operators import clauses, frames, meaning_graph, noun_phrases, verbs
+from lexmill.operators import arguments, clauses, frames, meaning_graph, noun_phrases, verbs
 from lexmill.plans.catalog import query, read
 from lexmill.plans.shared import written
 from lexmill.sources import penn
@@ -41,6 +41,10 @@ def sentences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes, marks
 
 
+def analysed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clauses.analysed(*sentences(spark, sf_dir))
+
+
 _SAID = """WITH said AS (SELECT c_custkey AS sent_id, c_custkey % 8 AS shape, c_name, c_mktsegment, replace(n_name, ' ', '_') AS n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
 """
 
@@ -90,7 +94,7 @@ def noun_phrase_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
   (7, 8, 'buy', 0, 12, NULL, NULL, NULL, NULL, NULL, NULL))
 SELECT sent_id, verb_idx, lemma, b, e, up_b, up_e, word, spec, spec_i, {_put('spec_text')} AS spec_text FROM said JOIN known USING (shape)""")
 def clause_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = clauses.clause_tree(clauses.analysed(*sentences(spark, sf_dir)))
+    found = clauses.clause_tree(analysed_sentences(spark, sf_dir))
     return found.select("sent_id", "verb_idx", "lemma", "b", "e", "up_b", "up_e", "word", "spec", "spec_i", "spec_text")
 
 
@@ -105,7 +109,7 @@ def clause_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
   (7, 8, 'complement', 0, 'DP', NULL, NULL, 9, 9, '<G>'), (7, 8, 'complement', 1, 'PP', NULL, NULL, 10, 11, ''), (7, 8, 'subject', 0, 'DP', NULL, NULL, 0, 6, '<C>'))
 SELECT sent_id, verb_idx, role, ord, kind, trace, i, b, e, {_put('text')} AS text FROM said JOIN known USING (shape)""")
 def clause_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clauses.clause_parts(clauses.analysed(*sentences(spark, sf_dir))).select("sent_id", "verb_idx", "role", "ord", "kind", "trace", "i", "b", "e", "text")
+    return clauses.clause_parts(analysed_sentences(spark, sf_dir)).select("sent_id", "verb_idx", "role", "ord", "kind", "trace", "i", "b", "e", "text")
 
 
 @query(_SAID + f"""known(shape, root_b, root_e, i, kind, b, e, text) AS (VALUES
@@ -116,7 +120,7 @@ def clause_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
   (5, 0, 7, 0, 'DP', 2, 6, '<G>'))
 SELECT sent_id, root_b, root_e, i, kind, b, e, {_put('text')} AS text FROM said JOIN known USING (shape)""")
 def clause_referents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clauses.referents(clauses.analysed(*sentences(spark, sf_dir)))
+    return clauses.referents(analysed_sentences(spark, sf_dir))
 
 
 # Frames and meaning graphs of these sentences, by a small lexicon: lemma, frame, its roles in order, the codes of their slots.
@@ -151,7 +155,7 @@ def lexicon(spark: SparkSession) -> dict[str, DataFrame]:
 
 
 def graph_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = clauses.analysed(*sentences(spark, sf_dir))
+    rows = analysed_sentences(spark, sf_dir)
     tree, parts, words = clauses.clause_tree(rows), clauses.clause_parts(rows), lexicon(spark)
     matched = written(frames.match_frames(tree, parts, words), "frames")
     return meaning_graph.meaning_graph(matched, tree, meaning_graph.phrases(rows), parts, frames.linked_clauses(tree, parts), words["relations"])
@@ -183,3 +187,23 @@ def meaning_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT sent_id, role, modifier, prep, src, dst FROM said JOIN known USING (shape)""")
 def meaning_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_tables(spark, sf_dir)[1]
+
+
+#: shape, verb, label, word, steps above it: as annotated corpora give arguments.
+ARGUMENTS = (
+    (0, 1, "arg0", 0, 1), (0, 1, "arg1", 2, 2), (0, 3, "arg0", 0, 1), (0, 3, "arg1", 4, 1), (0, 3, "arg2", 6, 1),
+    (1, 3, "arg1", 0, 1), (1, 3, "arg0", 4, 1), (2, 1, "arg0", 0, 0), (2, 1, "arg1", 2, 2), (2, 5, "arg1", 6, 1), (3, 1, "arg0", 0, 1), (3, 1, "arg2", 2, 1), (3, 1, "arg1", 3, 1),
+    (4, 5, "arg0", 4, 1), (4, 5, "arg1", 0, 2), (5, 4, "arg2", 5, 1), (6, 3, "arg0", 2, 1), (6, 3, "arg1", 4, 1), (6, 3, "arg3", 7, 1), (7, 8, "arg0", 0, 2), (7, 8, "arg1", 9, 1), (7, 8, "arg4", 99, 1), (7, 8, "arg3", 0, 9),
+)
+
+
+@query(_SAID + """known(shape, verb_idx, voice, arg0, arg1, arg2, arg3, arg4) AS (VALUES
+  (0, 1, 'Active', 'NP-SBJ', 'S-1', NULL, NULL, NULL), (0, 3, 'Active', 'NP', 'NP-1', 'PP-to', NULL, NULL), (1, 3, 'Passive', 'PP-by', 'NP-SBJ', NULL, NULL, NULL),
+  (2, 1, 'Active', 'NP-SBJ', 'NP-1', NULL, NULL, NULL), (2, 5, 'Active', NULL, 'NP-1', NULL, NULL, NULL), (3, 1, 'Active', 'NP-SBJ', 'SBAR-2', 'NP-1', NULL, NULL),
+  (4, 5, 'Active', 'NP-SBJ', 'S', NULL, NULL, NULL), (5, 4, 'Passive', NULL, NULL, 'PP-in', NULL, NULL), (6, 3, 'Active', 'NP-SBJ', 'NP-1', NULL, 'SBAR', NULL), (7, 8, 'Active', 'NP-SBJ', 'NP-1', NULL, NULL, NULL))
+SELECT sent_id, verb_idx, voice, arg0, arg1, arg2, arg3, arg4 FROM said JOIN known USING (shape)""")
+def argument_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _ = sentences(spark, sf_dir)
+    shapes = F.broadcast(spark.createDataFrame(ARGUMENTS, "shape int, verb_idx int, label string, idx int, h int"))
+    asked = nodes.where("parent_id is null").select("sent_id", (F.col("sent_id") % len(SHAPES)).cast("int").alias("shape")).join(shapes, "shape").drop("shape")
+    return arguments.argument_patterns(arguments.argument_codes(analysed_sentences(spark, sf_dir), asked))
