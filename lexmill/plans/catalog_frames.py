@@ -1,4 +1,4 @@
-"""Queries of frame matching: an order is a clause, its lines are the parts; nations give senses, suppliers patterns."""
+"""Queries of frame matching: an order is a clause, its lines are the parts; each nation gives a sense with four patterns."""
 
 from __future__ import annotations
 
@@ -16,8 +16,8 @@ part_row AS (SELECT sent_id, verb_idx, ord, role, kind, b, e, CASE WHEN kind = '
   CASE WHEN kind = 'PP' THEN b + 1 END AS obj_b, CASE WHEN kind = 'PP' THEN e END AS obj_e, CASE WHEN kind = 'CP' THEN word END AS word, CASE WHEN kind = 'CP' THEN infinitive END AS infinitive FROM part_of),
 sense AS (SELECT 'v' || n_nationkey % 5 AS lemma, 's' || n_nationkey AS sense, 'F' || n_regionkey AS frame, CASE WHEN n_nationkey % 4 = 0 THEN 'dual' ELSE 'single' END AS cause, (1 + n_nationkey % 7)::BIGINT AS n FROM nation),
 role_of AS (SELECT lemma, sense, 'arg' || a AS arg, CASE a WHEN 0 THEN 'Agent' WHEN 1 THEN 'Theme' WHEN 2 THEN 'Goal' ELSE 'Time' END AS role FROM sense, (SELECT unnest(range(4)) AS a)),
-pattern AS (SELECT 'v' || s_nationkey % 5 AS lemma, 's' || s_nationkey AS sense, 'p' || s_suppkey AS pattern, (1 + s_suppkey % 11)::BIGINT AS n, CASE WHEN s_suppkey % 3 > 0 THEN 'NP-SBJ' END AS arg0,
-  list_value('NP-1', 'SBAR-1', 'PP-in', NULL)[1 + s_suppkey % 4] AS arg1, list_value('NP-2', 'PP-to', 'PP-by-ing', 'NP-1', 'SBAR-2')[1 + s_suppkey % 5] AS arg2, CASE WHEN s_suppkey % 2 = 0 THEN 'PP-to-ing' END AS arg3, NULL AS arg4 FROM supplier),
+pattern AS (SELECT 'v' || s_nation % 5 AS lemma, 's' || s_nation AS sense, 'p' || s_key AS pattern, (1 + s_key % 11)::BIGINT AS n, CASE WHEN s_key % 3 > 0 THEN 'NP-SBJ' END AS arg0,
+  list_value('NP-1', 'SBAR-1', 'PP-in', NULL)[1 + s_key % 4] AS arg1, list_value('NP-2', 'PP-to', 'PP-by-ing', 'NP-1', 'SBAR-2')[1 + s_key % 5] AS arg2, CASE WHEN s_key % 2 = 0 THEN 'PP-to-ing' END AS arg3, NULL AS arg4 FROM (SELECT n_nationkey AS s_nation, 4 * n_nationkey + unnest(range(1, 5)) AS s_key FROM nation)),
 """
 
 
@@ -41,14 +41,14 @@ def clauses_and_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    k, s = F.col("n_nationkey"), F.col("s_suppkey")
-    nations, suppliers = read(spark, sf_dir, "nation"), read(spark, sf_dir, "supplier")
+    k, s = F.col("n_nationkey"), F.col("s")
+    nations = read(spark, sf_dir, "nation")
+    each = nations.select("n_nationkey", F.explode(F.sequence(4 * k + 1, 4 * k + 4)).alias("s"))
     name = lambda prefix, key: F.concat(F.lit(prefix), key.cast("string"))
     senses = nations.select(name("v", k % 5).alias("lemma"), name("s", k).alias("sense"), name("F", F.col("n_regionkey")).alias("frame"), F.when(k % 4 == 0, "dual").otherwise("single").alias("cause"), (1 + k % 7).cast("long").alias("n"))
     named = F.array(*[F.struct(F.lit(f"arg{i}").alias("arg"), F.lit(r).alias("role")) for i, r in enumerate(("Agent", "Theme", "Goal", "Time"))])
-    n = F.col("s_nationkey")
-    patterns = suppliers.select(
-        name("v", n % 5).alias("lemma"), name("s", n).alias("sense"), name("p", s).alias("pattern"), (1 + s % 11).cast("long").alias("n"), F.when(s % 3 > 0, "NP-SBJ").alias("arg0"), _kind(s % 4, "NP-1", "SBAR-1", "PP-in", None).alias("arg1"),
+    patterns = each.select(
+        name("v", k % 5).alias("lemma"), name("s", k).alias("sense"), name("p", s).alias("pattern"), (1 + s % 11).cast("long").alias("n"), F.when(s % 3 > 0, "NP-SBJ").alias("arg0"), _kind(s % 4, "NP-1", "SBAR-1", "PP-in", None).alias("arg1"),
         _kind(s % 5, "NP-2", "PP-to", "PP-by-ing", "NP-1", "SBAR-2").alias("arg2"), F.when(s % 2 == 0, "PP-to-ing").alias("arg3"), F.lit(None).cast("string").alias("arg4"),
     )
     regions = read(spark, sf_dir, "region")
