@@ -7,76 +7,67 @@ item) or ``unresolved_class`` (items without a recognised name).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.tags import has_linkable, may_cite, priorities
 from lexmill.operators.joins import by_priority
+from lexmill.operators.sentences import stage
 from lexmill.operators.spans import is_strict_slice
 
-MERGED = "doc_id long, b long, e long, ne string, uids array<long>"
+NAME, HIT = "struct<b: bigint, e: bigint, ne: string>", "struct<b: bigint, e: bigint, uids: array<bigint>>"
+KEPT = "struct<b: bigint, e: bigint, ne: string, uids: array<bigint>>"
 
 
-def _relation(left: tuple[int, int], right: tuple[int, int]) -> str:
-    (lb, le), (rb, re) = left, right
-    if le <= rb:
-        return "before"
-    if re <= lb:
-        return "after"
-    if left == right:
-        return "same"
-    if lb <= rb and re <= le:
-        return "holds"
-    if rb <= lb and le <= re:
-        return "held"
-    return "left first" if lb < rb else "right first"
+def _kept(span: Column, ne: Column, uids: Column) -> Column:
+    return F.struct(span["b"].alias("b"), span["e"].alias("e"), ne.alias("ne"), uids.alias("uids")).cast(KEPT)
 
 
-def sweep(names: list[tuple[int, int, str]], found: list[tuple[int, int, list[int]]]) -> Iterator[tuple[int, int, str | None, list[int] | None]]:
-    """Merges two ordered lists of spans: equal spans join, an outer span beats an inner one, of two that overlap the earlier stays.
+def _sweep(names: Column, hits: Column) -> Column:
+    """Where a walk along two ordered lists of spans ends, and what it has kept: i, j, out."""
+    none = F.lit(None)
 
-    What a kept span beats is skipped up to the first span that lies wholly
-    after it.
-    """
-    i = j = 0
-
-    def after(rows: list, at: int, span: tuple[int, int]) -> int:
-        """The first row from ``at`` on that begins where the span has ended."""
-        while at < len(rows) and rows[at][0] < span[1]:
-            at += 1
-        return at
-
-    while i < len(names) and j < len(found):
-        left, right = names[i][:2], found[j][:2]
-        how = _relation(left, right)
-        keeps_left = how in ("same", "before", "holds", "left first")
-        yield (*left, names[i][2], found[j][2] if how == "same" else None) if keeps_left else (*right, None, found[j][2])
-        if how == "before":
-            i += 1
-        elif how == "after":
-            j += 1
-        elif how == "same":
-            i, j = i + 1, j + 1
-        elif how in ("holds", "right first"):
-            i, j = i + 1, after(found, j + 1, left)
-        else:
-            i, j = after(names, i + 1, right), j + 1
-    yield from ((b, e, ne, None) for b, e, ne in names[i:])
-    yield from ((b, e, None, uids) for b, e, uids in found[j:])
+    def past(rows: Column, at: Column, span: Column) -> Column:
+        """The first place from ``at`` on whose span begins where another has ended."""
+        return F.greatest(at, F.size(F.filter(rows, lambda r: r["b"] < span["e"])))
 
+    def step(now: Column, _: Column) -> Column:
+        i, j = now["i"], now["j"]
+        left, right = F.get(names, i), F.get(hits, j)
+        before, after = left["e"] <= right["b"], right["e"] <= left["b"]
+        same = (left["b"] == right["b"]) & (left["e"] == right["e"])
+        holds = (left["b"] <= right["b"]) & (right["e"] <= left["e"])
+        held = (right["b"] <= left["b"]) & (left["e"] <= right["e"])
+        first = left["b"] < right["b"]
+        keeps = before | (~after & (same | holds | (~held & first)))
+        kept = F.when(keeps, _kept(left, left["ne"], F.when(same & ~before & ~after, right["uids"]))).otherwise(_kept(right, none, right["uids"]))
+        wins = holds | (~held & ~first)
+        to_i = F.when(before, i + 1).when(after, i).when(same | wins, i + 1).otherwise(past(names, i + 1, right))
+        to_j = F.when(before, j).when(after | same, j + 1).when(wins, past(hits, j + 1, left)).otherwise(j + 1)
+        ended = (i >= F.size(names)) | (j >= F.size(hits))
+        moved = F.struct(to_i.alias("i"), to_j.alias("j"), F.concat(now["out"], F.array(kept)).alias("out"))
+        return F.when(ended, now).otherwise(moved)
 
-def merge(names: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, b, e, ne, uids. names: doc_id, b, e, ne; found: doc_id, b, e, uids. One document is one task's unit."""
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.expr(f"cast(array() as array<{KEPT}>)").alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(names) + F.size(hits)), start, step)
 
-    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        a = sorted(left[["b", "e", "ne"]].itertuples(index=False, name=None))
-        b = sorted(((x, y, list(map(int, u))) for x, y, u in right[["b", "e", "uids"]].itertuples(index=False, name=None)), key=lambda r: r[:2])
-        return pd.DataFrame([(key[0], *row) for row in sweep(a, b)], columns=["doc_id", "b", "e", "ne", "uids"])
 
-    return names.groupBy("doc_id").cogroup(found.groupBy("doc_id")).applyInPandas(one, MERGED)
+def merge(names: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, b, e, ne, uids: equal spans join, an outer span beats an inner one, of two that overlap the earlier stays.
+
+    names: doc_id, b, e, ne; found: doc_id, b, e, uids. What a kept span beats is
+    skipped up to the first span that lies wholly after it. The spans of a document
+    are two lists of one row; the walk along them is a fold of columns.
+    """
+    left = names.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("b", "e", "ne").cast(NAME))).alias("names"))
+    right = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("b", "e", "uids").cast(HIT))).alias("hits"))
+    both = left.join(right, "doc_id", "full")
+    listed = both.select("doc_id", F.coalesce("names", F.expr(f"cast(array() as array<{NAME}>)")).alias("names"), F.coalesce("hits", F.expr(f"cast(array() as array<{HIT}>)")).alias("hits"))
+    walked = stage(listed, walk=_sweep(F.col("names"), F.col("hits")))
+    rest = lambda rows, at: F.slice(rows, at + 1, F.size(rows))
+    names_left = F.transform(rest(F.col("names"), F.col("walk.i")), lambda x: _kept(x, x["ne"], F.lit(None)))
+    hits_left = F.transform(rest(F.col("hits"), F.col("walk.j")), lambda x: _kept(x, F.lit(None), x["uids"]))
+    return walked.select("doc_id", F.inline(F.concat("walk.out", names_left, hits_left)))
 
 
 def resolve(merged: DataFrame, item_classes: DataFrame) -> DataFrame:

@@ -544,7 +544,24 @@ def resolve_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions.resolve(merged, items.select("qid", "cls")).select("doc_id", "ne", "state", F.size("uids").alias("candidates"))
 
 
-@query()
+_SWEEP = """, name AS (SELECT user_id, event_type AS ne, min(i)::BIGINT AS b, (max(i) + 1)::BIGINT AS e FROM p WHERE event_type IN ('purchase', 'click') GROUP BY user_id, event_type, run),
+hit AS (SELECT user_id, b, e FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.user_id = s.user_id AND s.b >= o.b AND s.e <= o.e AND (s.b <> o.b OR s.e <> o.e))),
+names AS (SELECT user_id, list({'b': b, 'e': e, 'ne': ne} ORDER BY b, e, ne) AS a FROM name GROUP BY user_id), hits AS (SELECT user_id, list({'b': b, 'e': e} ORDER BY b, e) AS f FROM hit GROUP BY user_id),
+pair AS MATERIALIZED (SELECT user_id, coalesce(a, []) AS a, coalesce(f, []) AS f FROM names FULL JOIN hits USING (user_id)),
+walk(user_id, i, j, b, e, ne, uid) AS (SELECT user_id, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT FROM pair
+  UNION ALL SELECT user_id, CASE WHEN how IN ('before', 'same', 'holds', 'right first') THEN i + 1 WHEN how = 'after' THEN i ELSE greatest(i + 1, len(list_filter(a, lambda x: x.b < r.e))) END,
+    CASE WHEN how = 'before' THEN j WHEN how IN ('holds', 'right first') THEN greatest(j + 1, len(list_filter(f, lambda x: x.b < l.e))) ELSE j + 1 END,
+    CASE WHEN keeps THEN l.b ELSE r.b END, CASE WHEN keeps THEN l.e ELSE r.e END, CASE WHEN keeps THEN l.ne END, CASE WHEN NOT keeps OR how = 'same' THEN r.b END
+  FROM (SELECT *, how IN ('before', 'same', 'holds', 'left first') AS keeps FROM (SELECT *, CASE WHEN l.e <= r.b THEN 'before' WHEN r.e <= l.b THEN 'after' WHEN l.b = r.b AND l.e = r.e THEN 'same' WHEN l.b <= r.b AND r.e <= l.e THEN 'holds' WHEN r.b <= l.b AND l.e <= r.e THEN 'held' WHEN l.b < r.b THEN 'left first' ELSE 'right first' END AS how
+    FROM (SELECT w.user_id, i, j, a, f, a[i + 1] AS l, f[j + 1] AS r FROM walk w JOIN pair t ON t.user_id = w.user_id WHERE i < len(a) AND j < len(f))))),
+ends AS (SELECT w.user_id, max(i) AS i, max(j) AS j FROM walk w GROUP BY w.user_id),
+rest AS (SELECT e.user_id, unnest(a[i + 1 :]) AS x, NULL::BIGINT AS uid FROM ends e JOIN pair USING (user_id)),
+others AS (SELECT e.user_id, unnest(f[j + 1 :]) AS x FROM ends e JOIN pair USING (user_id))
+SELECT user_id AS doc_id, b, e, ne, CASE WHEN uid IS NOT NULL THEN [uid] END AS uids FROM walk WHERE b IS NOT NULL
+UNION ALL SELECT user_id, x.b, x.e, x.ne, NULL FROM rest UNION ALL SELECT user_id, x.b, x.e, NULL, [x.b] FROM others"""
+
+
+@query(_SPANS.replace("WITH ", "WITH RECURSIVE ", 1) + _SWEEP)
 def span_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of purchases as recognised names against wide spans as dictionary hits, by user."""
     names = sequences.islands(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type").where("event_type in ('purchase', 'click')")

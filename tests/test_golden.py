@@ -126,12 +126,12 @@ def test_slices(spark):
     assert row.select(spans.is_slice(F.col("x"), F.col("y")), spans.is_strict_slice(F.col("y"), F.col("y")), spans.is_slice(F.col("y"), F.col("x"))).first()[:] == (True, False, False)
 
 
-def test_sweep():
-    names = [(0, 2, "Person"), (5, 8, "Org"), (10, 12, "Loc")]
-    found = [(0, 2, [1]), (6, 7, [2]), (11, 14, [3]), (20, 21, [4])]
-    assert list(mentions.sweep(names, found)) == [(0, 2, "Person", [1]), (5, 8, "Org", None), (10, 12, "Loc", None), (20, 21, None, [4])]
-    assert list(mentions.sweep([(3, 5, "Org")], [(2, 6, [1])])) == [(2, 6, None, [1])]
-    assert list(mentions.sweep([], [(2, 6, [1])])) == [(2, 6, None, [1])]
+def test_sweep(spark):
+    names = [(1, 0, 2, "Person"), (1, 5, 8, "Org"), (1, 10, 12, "Loc"), (2, 3, 5, "Org"), (4, 1, 2, "Loc")]
+    found = [(1, 0, 2, [1]), (1, 6, 7, [2]), (1, 11, 14, [3]), (1, 20, 21, [4]), (2, 2, 6, [1]), (3, 2, 6, [1])]
+    merged = mentions.merge(spark.createDataFrame(names, "doc_id long, b long, e long, ne string"), spark.createDataFrame(found, "doc_id long, b long, e long, uids array<long>"))
+    one = [(1, 0, 2, "Person", [1]), (1, 5, 8, "Org", None), (1, 10, 12, "Loc", None), (1, 20, 21, None, [4])]
+    assert sorted(tuple(r) for r in merged.collect()) == [*one, (2, 2, 6, None, [1]), (3, 2, 6, None, [1]), (4, 1, 2, "Loc", None)]
 
 
 def test_resolution(spark):
