@@ -17,8 +17,9 @@ MOST_ROUNDS = 60
 
 
 def _digest(edges: DataFrame) -> tuple:
+    """Count, sum and exclusive or of hashes. Of 56 bits their sum overflows from 200,000 edges or so; 32 bits leave room for 2^31 edges."""
     mixed = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(mixed, 8)), F.bit_xor(mixed)).first())
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(mixed, 32)), F.bit_xor(mixed)).first())
 
 
 def components(edges: DataFrame) -> DataFrame:

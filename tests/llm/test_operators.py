@@ -343,6 +343,12 @@ def test_components(spark):
     assert found == {i: 0 for i in range(31)} | {40: 40, 45: 40, 50: 40}
 
 
+def test_digests_of_edges_do_not_overflow(spark):
+    one_sided = spark.range(10_000).select((F.col("id") + 1).alias("a"), F.lit(0).cast("long").alias("b")).where(F.xxhash64("a", "b") > 2**62)
+    assert components._digest(one_sided)[0] > 2000
+    assert components.components(one_sided).where("label <> 0").isEmpty()
+
+
 def base_statistics(text):
     w = words(text)
     places: dict = {}
