@@ -110,8 +110,8 @@ SELECT sent_id, sense, reading, frame, pattern, text, round(score, 6) AS score F
 def frame_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     clauses, parts = clauses_and_parts(spark, sf_dir)
     words = lexicon(spark, sf_dir)
-    best = frames.match_patterns(clauses, parts, *[words[k] for k in ("senses", "roles", "patterns", "duals", "dual_roles", "durations")])
-    return frames.choose(best).select("sent_id", "sense", "reading", "frame", "pattern", _told(), F.round("score", 6).alias("score"))
+    best = frames.match_senses(clauses, parts, *[words[k] for k in ("senses", "roles", "patterns", "duals", "dual_roles", "durations")])
+    return best.select("sent_id", "sense", "reading", "frame", "pattern", _told(), F.round("score", 6).alias("score"))
 
 
 @query(_TABLES + """inner_clause AS (SELECT *, row_number() OVER (PARTITION BY sent_id, word ORDER BY ord) AS k FROM part_row WHERE kind = 'CP' AND role <> 'subject'),
