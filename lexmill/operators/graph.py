@@ -7,13 +7,21 @@ one multiplies.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.plans.shared import written
 
+#: Links in a block of neighbour lists at most, on average, and the least number of blocks.
+BLOCK_LINKS = 2_000_000
+LEAST_BLOCKS = 8
+
 
 def neighbours(edges: DataFrame, nodes: DataFrame | None = None, backward: bool = False) -> DataFrame:
     """node, neighbour: distinct direct neighbours of ``nodes`` (all, if none are given)."""
@@ -193,16 +201,88 @@ def shared_neighbour_choice(edges: DataFrame, mentions: DataFrame, allowed: Data
     mentions: doc_id, mention, item, resolved; allowed: mention, item (those whose class
     may be meant). Two things share the nodes that both are or link to; the best of
     (shared, known thing, candidate) must share more than ``cutoff`` and be allowed.
-    Candidates meet known things within a document only, over the nodes they share: a
-    pair without a common node is never made.
+    Candidates meet known things within a document only. Neighbours are lists in blocks
+    of items; a pair goes to the task of both its blocks, so lists are sent once a pair of
+    blocks, never once a pair of things, and a task streams its pairs past two blocks.
     """
-    known = mentions.where("resolved").select("doc_id", F.col("item").alias("ref")).distinct()
-    asked = mentions.where("not resolved").select("doc_id", "mention", F.col("item").alias("candidate")).distinct()
-    items = known.select(F.col("ref").alias("node")).unionByName(asked.select(F.col("candidate").alias("node"))).distinct()
+    known = mentions.where("resolved and item is not null").select("doc_id", F.col("item").alias("ref"))
+    asked = mentions.where("not resolved and item is not null").select("doc_id", "mention", F.col("item").alias("candidate"))
+    items = mentions.where("item is not null").select(F.col("item").alias("node")).distinct()
     near = neighbours(edges, items).withColumnRenamed("neighbour", "shared").where("node <> shared").unionByName(items.select("node", F.col("node").alias("shared")))
-    near = written(near, "near")
-    left = known.join(near.withColumnRenamed("node", "ref"), "ref")
-    right = asked.join(near.withColumnRenamed("node", "candidate"), "candidate")
-    scored = left.join(right, ["doc_id", "shared"]).where("shared <> ref or shared <> candidate").groupBy("doc_id", "mention", "ref", "candidate").agg(F.count(F.lit(1)).alias("score"))
-    best = most_similar(scored, ["doc_id", "mention"], cutoff)
+    near = written(near.groupBy("node").agg(F.collect_list("shared").alias("near")), "near")
+    links = near.agg(F.sum(F.size("near"))).first()[0] or 0
+    scored = _common_counts(asked.join(known, "doc_id"), near, max(LEAST_BLOCKS, -(-links // BLOCK_LINKS)))
+    best = most_similar(scored.where(F.col("score") > cutoff), ["doc_id", "mention"], cutoff)
     return best.select("doc_id", "mention", F.col("candidate").alias("chosen"), "score").join(allowed.select("mention", F.col("item").alias("chosen")).distinct(), ["mention", "chosen"]).select("doc_id", "mention", "chosen", "score")
+
+
+def _common_counts(pairs: DataFrame, near: DataFrame, blocks: int) -> DataFrame:
+    """doc_id, mention, ref, candidate, score: how many nodes both lists hold, but for a thing that meets itself. Pairs without a common node are left out."""
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    types = dict(pairs.dtypes) | dict(near.dtypes)
+    null = {c: F.lit(None).cast(types[c]).alias(c) for c in ("doc_id", "mention", "ref", "candidate", "near")}
+    own = near.select("node", "near", block("node").alias("own"), every)
+    lists = [own.select((F.col(a) * blocks + F.col(b)).alias("part"), F.lit(side).alias("side"), null["doc_id"], null["mention"], F.col("node").alias("ref"), null["candidate"], "near") for side, a, b in ((0, "own", "other"), (1, "other", "own"))]
+    asked = pairs.select((block("ref") * blocks + block("candidate")).alias("part"), F.lit(2).alias("side"), "doc_id", "mention", "ref", "candidate", null["near"])
+    dealt = lists[0].unionByName(lists[1]).unionByName(asked).repartition("part").sortWithinPartitions("part", "side")
+    out = pairs.select("doc_id", "mention", "ref", "candidate").withColumn("score", F.lit(0).cast("long")).schema
+    return dealt.mapInArrow(_count_common, out)
+
+
+class _Lists:
+    """Two blocks of lists, each node's list as a run of numbers; keys of the second are (row, number), sorted."""
+
+    def __init__(self, batches: list[pa.RecordBatch]) -> None:
+        table = pa.Table.from_batches(batches)
+        self.nodes, lists = [], []
+        for side in (0, 1):
+            own = table.filter(pc.equal(table.column("side"), side))
+            self.nodes.append(own.column("ref").combine_chunks())
+            lists.append(own.column("near").combine_chunks())
+        flat = [x.flatten() for x in lists]
+        codes = pa.chunked_array(flat).combine_chunks().dictionary_encode()
+        self.width = max(1, len(codes.dictionary))
+        number = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.number = number[: len(flat[0])]
+        sizes = [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
+        self.size, self.begin = sizes[0], np.cumsum(sizes[0]) - sizes[0]
+        self.keys = np.sort(np.repeat(np.arange(len(sizes[1])), sizes[1]) * self.width + number[len(flat[0]) :])
+
+    def common(self, left: pa.Array, right: pa.Array) -> np.ndarray:
+        """How many numbers the lists of each pair share; each distinct pair is counted once, some at a time."""
+        a, b = (pc.index_in(x, value_set=nodes).to_numpy(zero_copy_only=False).astype(np.int64) for x, nodes in ((left, self.nodes[0]), (right, self.nodes[1])))
+        pairs, back = np.unique(a * len(self.nodes[1]) + b, return_inverse=True)
+        a, b = pairs // len(self.nodes[1]), pairs % len(self.nodes[1])
+        out, ends = np.zeros(len(a), np.int64), np.cumsum(self.size[a])
+        first = 0
+        while first < len(a):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 4_000_000, "right")))
+            size = self.size[a[first:last]]
+            owner = np.repeat(np.arange(first, last), size)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + self.begin[a[owner]]
+            asked = b[owner] * self.width + self.number[place]
+            found = self.keys[np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)] == asked
+            out += np.bincount(owner[found], minlength=len(a))
+            first = last
+        return (out - (pc.equal(self.nodes[0].take(pa.array(a)), self.nodes[1].take(pa.array(b))).to_numpy(zero_copy_only=False)))[back]
+
+
+def _count_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, held, lists = None, [], None
+    for batch in batches:
+        key = batch.column(0).to_numpy().astype(np.int64) * 2 + (batch.column(1).to_numpy() == 2)
+        cuts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else []
+        for begin, end in zip(cuts, [*cuts[1:], len(key)], strict=True):
+            rows, own = batch.slice(begin, end - begin), int(key[begin]) // 2
+            if own != part:
+                part, held, lists = own, [], None
+            if not key[begin] % 2:
+                held.append(rows)
+                continue
+            if lists is None:
+                lists, held = _Lists(held), []
+            score = lists.common(rows.column(4), rows.column(5))
+            kept = np.flatnonzero(score > 0)
+            chosen = rows.take(pa.array(kept))
+            yield pa.RecordBatch.from_arrays([*chosen.columns[2:6], pa.array(score[kept])], names=["doc_id", "mention", "ref", "candidate", "score"])

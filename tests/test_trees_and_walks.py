@@ -82,6 +82,24 @@ def test_the_best_connected_candidate_is_chosen(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(1, "four", 4, 5), (1, "two", 2, 4)]
 
 
+def test_choices_by_lists_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LEAST_BLOCKS", 3)
+    rng = np.random.default_rng(5)
+    links = {(f"n{a}", f"n{b}") for a, b in rng.integers(0, 30, (260, 2)).tolist()}
+    rows = [(int(d), f"m{m}", f"n{i}" if i < 33 else None, m == 0) for d, m, i in np.column_stack([rng.integers(0, 20, 400), rng.integers(0, 4, 400), rng.integers(0, 34, 400)]).tolist()]
+    near = {i: {y for x, y in links if x == i} | {i} for _, _, i, _ in rows}
+    best = {}
+    for d, m, candidate, resolved in rows:
+        for ref in {r[2] for r in rows if r[3] and r[0] == d} - {None}:
+            if candidate and not resolved:
+                score = len(near[ref] & near[candidate]) - (ref == candidate)
+                best[d, m] = max(best.get((d, m), (0, "", "")), (score, ref, candidate))
+    mentions = spark.createDataFrame(rows, "doc_id long, mention string, item string, resolved boolean")
+    found = graph.shared_neighbour_choice(spark.createDataFrame(list(links), "src string, dst string"), mentions, mentions)
+    assert "shared#" not in found._jdf.queryExecution().executedPlan().toString()  # no pair meets over each node it shares
+    assert sorted(tuple(r) for r in found.collect()) == sorted((d, m, candidate, score) for (d, m), (score, _, candidate) in best.items() if score > 3)
+
+
 def test_records_of_sibling_files_side_by_side(spark, tmp_path):
     for name, text in {"a.parse": "p0\np1\n", "a.prop": "x0\nx1", "a.lemma": "l0\n\n", "b.parse": "q0", "b.prop": "", "c.lemma": "only"}.items():
         folder = tmp_path / name[0]
