@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 
-from lexmill.operators import dependencies, graph
+from lexmill.functions import render
+from lexmill.operators import dependencies, graph, trees
 from lexmill.sources import articles
 
 
@@ -108,3 +109,14 @@ def test_records_of_sibling_files_side_by_side(spark, tmp_path):
     rows = articles.zipped(spark, str(tmp_path), ["parse", "prop", "lemma"])
     assert sorted(map(tuple, rows.collect()), key=repr) == [("a", 0, "p0", "x0", "l0"), ("a", 1, "p1", "x1", ""), ("b", 0, "q0", None, None), ("c", 0, None, None, "only")]
     assert sorted(r["article"] for r in articles.complete(rows, ["parse", "prop", "lemma"]).collect()) == ["a", "a"]
+
+
+def test_trees_are_shown_and_counted_without_joins(spark):
+    rows = [(s, 0, None, 0, 0, "S", False, None, 2, 4) for s in (1, 2)] + [(1, 1, 0, 0, 1, "NP", False, None, 1, 2), (1, 2, 1, 0, 2, "NN", True, "a", 1, 2), (1, 3, 0, 1, 1, "VP", False, None, 2, 4), (1, 4, 3, 0, 2, "VB", True, "b", 2, 4)]
+    nodes = spark.createDataFrame(rows, "sent_id long, node_id int, parent_id int, ord int, depth int, tag string, is_leaf boolean, word string, e int, last_id int")
+    text, sizes = render.tree_text(nodes), trees.subtree_sizes(nodes)
+    assert {r["sent_id"]: r["text"] for r in text.collect()}[1] == "\n(S    \n  (NP   \n    (NN   a)) \n  (VP   \n    (VB   b)))"
+    assert sorted(tuple(r) for r in sizes.collect()) == [(1, 0, 5), (1, 1, 2), (1, 2, 1), (1, 3, 2), (1, 4, 1), (2, 0, 1)]
+    assert sorted(map(tuple, trees.subtree_pairs(nodes).where("top = 3").collect())) == [(1, 3, 3), (1, 3, 4)]
+    for made in (text, sizes, trees.subtree_pairs(nodes)):
+        assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
