@@ -8,8 +8,9 @@ tree; a silent subject shares the index of the clause above or below, a relative
 clause that of the noun it modifies. An index is resolved by the first phrase of
 the tree that carries it.
 
-All rules are projections of a sentence's row (see ``operators.sentences``): one
-shuffle gathers its nodes, none follows.
+All rules are projections of a sentence's row (see ``operators.sentences``). They look
+at tags, places and a closed list of lemmas, so sentences with one outline (these alike,
+whatever the other words) are analysed once, and each gets its own words back.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.tags import ADJECTIVES, NOUNS
 from lexmill.operators.noun_phrases import head_text, noun_phrase_at, split, with_noun_phrases
+from lexmill.operators.outlines import given_back, outline, outlined
 from lexmill.operators.sentences import after, at, extended, first_child, first_id, found, is_phrase, is_word, last_id, nodes_where, parent, record, sentences, sibling, stage, text_of
 from lexmill.operators.verbs import with_verbs
 from lexmill.plans.shared import discard, written
@@ -224,18 +226,38 @@ def with_bound_clauses(rows: DataFrame) -> DataFrame:
     return rows.select(*[c for c in keep if c != "clauses"], F.col("bound").alias("clauses"), "resolved")
 
 
-def analysed(nodes: DataFrame, marks: DataFrame | None = None) -> DataFrame:
-    """One row a sentence, as a table: sent_id, n, marks, words, nps, verbs, pps, dps, clauses, tree, resolved.
+def analysed_rows(rows: DataFrame) -> DataFrame:
+    """Rows of ``sentences`` with all columns of the analysis, as a table.
 
     Written after each half: Catalyst's time grows with the square of a plan's steps.
     """
-    phrases = written(with_noun_phrases(with_verbs(sentences(nodes, marks))), "phrases")
+    phrases = written(with_noun_phrases(with_verbs(rows)), "phrases")
     parted = written(with_clauses(phrases), "clauses")
-    bound = written(with_bound_clauses(with_tree(parted)), "analysed")
+    bound = written(with_bound_clauses(with_tree(parted)), "bound")
     discard(phrases, parted)
     return bound
 
 
+#: What the analysis finds in a sentence.
+FOUND = ("verbs", "pps", "dps", "clauses", "tree", "resolved")
+
+
+def analysed(nodes: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """One row a sentence, as a table: sent_id, n, marks, verbs, pps, dps, clauses, tree, resolved.
+
+    One sentence of each outline is analysed; the others take what was found there.
+    """
+    rows = written(sentences(nodes, marks).withColumn("outline", outline()), "sentences")
+    first = rows.groupBy("outline").agg(F.min("sent_id").alias("__first"))
+    chosen = rows.join(first.select("__first"), F.col("sent_id").eqNullSafe(F.col("__first")), "left_semi")
+    spread = chosen.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "outline")  # few bytes, long work
+    bound = analysed_rows(outlined(spread))
+    each = rows.join(bound.select("outline", *FOUND), "outline")
+    whole = written(given_back(each).select("sent_id", "n", "marks", *FOUND), "analysed")
+    discard(rows, bound)
+    return whole
+
+
 def referents(rows: DataFrame) -> DataFrame:
     """sent_id, root_b, root_e, i, kind (DP, CP or WH), b, e, text: what each index of a tree stands for."""
     r = F.col("x.r")

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from lexmill.operators import clauses, noun_phrases, trees, verbs
+from lexmill.operators import clauses, noun_phrases, sentences, trees, verbs
 from lexmill.sources import penn
 
 CASES = [json.loads(line) for line in (Path(__file__).parent / "parsed_sentences.jsonl").read_text().splitlines()]
@@ -77,3 +77,18 @@ def test_sentences_without_verbs_or_clauses(analysed):
     found = [(r["sent_id"], r["verb_idx"], r["lemma"]) for r in clauses.clause_tree(analysed).where("sent_id > 900").collect()]
     assert found == [(902, 0, "go")]
     assert [(r["role"], r["trace"], r["kind"]) for r in clauses.clause_parts(analysed).where("sent_id > 900").collect()] == [("subject", "PRO", None)]
+
+
+def test_sentences_that_differ_in_other_words_are_analysed_once(spark, monkeypatch):
+    cases = [(i, c) for i, c in enumerate(CASES)]
+    odd = ["be.VBN have", "\0 1", "", "that", "he", "to"]
+    worded = [(1000 + i, {"tree": f"(ROOT (S (NP (NNP N{i})) (VP (VBD met{i}) (NP (DT the) (NN x{i})) (SBAR (NP (DT this) (NN y{i})) (S (NP (PRP it)) (VP (VBD z))))) (. .)))", "lemmas": {}, "marks": []}) for i in range(20)]
+    strange = [(2000 + i, worded[i][1] | {"lemmas": {str(k): lemma for k in range(9)}}) for i, lemma in enumerate(odd)]
+    nodes, marks = parsed(spark, cases + worded + strange)
+    plain = {r["sent_id"]: r for r in clauses.analysed_rows(sentences.sentences(nodes, marks)).select("sent_id", "n", "marks", *clauses.FOUND).collect()}
+    seen, analyse = [], clauses.analysed_rows
+    monkeypatch.setattr(clauses, "analysed_rows", lambda rows: seen.extend(r["sent_id"] for r in rows.select("sent_id").collect()) or analyse(rows))
+    found = {r["sent_id"]: r for r in clauses.analysed(nodes, marks).collect()}
+    assert len(plain) == 99 and found == plain
+    assert len([i for i in seen if 1000 <= i < 2000]) == 1
+    assert [v["lemma"] for v in found[1007]["verbs"]] == ["met7", "z"]
