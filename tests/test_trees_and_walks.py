@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from lexmill.functions import render
 from lexmill.operators import dependencies, graph, trees
@@ -120,3 +122,21 @@ def test_trees_are_shown_and_counted_without_joins(spark):
     assert sorted(map(tuple, trees.subtree_pairs(nodes).where("top = 3").collect())) == [(1, 3, 3), (1, 3, 4)]
     for made in (text, sizes, trees.subtree_pairs(nodes)):
         assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("backward", [False, True])
+def test_siblings_like_are_found_in_the_sentence_row(spark, backward):
+    rng = random.Random(5)
+    rows = [(s, 0, None, 0, "VP") for s in range(30)] + [(s, i, rng.randrange(i), i, rng.choice(["VP", "NP", None])) for s in range(30) for i in range(1, 12)]
+    made = trees.with_siblings_like(spark.createDataFrame(rows, "sent_id long, node_id int, parent_id int, ord int, tag string"), F.col("tag") == "VP", backward)
+    assert made.columns == ["sent_id", "node_id", "parent_id", "ord", "tag", "siblings", "nearest"]
+    assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
+
+    def siblings(row):
+        s, i, p, o, _ = row
+        found = [n for t, n, q, k, tag in rows if (t, q) == (s, p) and p is not None and tag == "VP" and ((k < o) if backward else (k > o))]
+        return sorted(found, reverse=backward)
+
+    want = {r[:2]: siblings(r) for r in rows}
+    found = {(r["sent_id"], r["node_id"]): (r["siblings"], r["nearest"]) for r in made.collect()}
+    assert found == {k: (v, v[0] if v else None) for k, v in want.items()} and len(found) == len(rows)
