@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import labels
 from lexmill.operators import coreference, gazetteer, resources
+from lexmill.plans import catalog_resources
 from lexmill.sources import dumps, rdf
+from tests.conftest import SF
 
 
 def test_dump_rows(spark, tmp_path):
@@ -60,3 +62,11 @@ def test_pronoun_without_clauses_near_it(spark):
     clauses = spark.createDataFrame([(1, 1, None, None, 0, 1, "Person"), (1, 2, 1, None, 3, 4, None)], "sent_id int, clause_id int, parent_id int, topic_id int, subject_b int, subject_e int, subject_class string")
     phrases = spark.createDataFrame([(1, 1, 2, "He", False), (1, 2, 2, "It", False), (1, 3, 1, "She", False), (1, 4, 1, "She", True), (1, 5, 9, "He", True)], "sent_id int, phrase_id int, clause_id int, person string, genitive boolean")
     assert sorted(tuple(r) for r in coreference.pronouns(phrases, clauses).collect()) == [(1, 1, 0, 1), (1, 4, 0, 1)]
+
+
+def test_predicates_are_grouped_where_their_lines_are(spark):
+    for make in (catalog_resources.predicate_rolesets, catalog_resources.roleset_table):
+        plan = make(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(lemma" in line and "REPARTITION_BY_NUM" in line]
+        own = [line for line in plan.splitlines() if "Exchange hashpartitioning(lemma" in line and ("seq" in line or "o_orderkey" in line)]
+        assert len(dealt) == 1 and not own, plan
