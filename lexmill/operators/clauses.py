@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.tags import ADJECTIVES, NOUNS
 from lexmill.operators.noun_phrases import head_text, noun_phrase_at, split, with_noun_phrases
-from lexmill.operators.outlines import given_back, outline, outlined
+from lexmill.operators.outlines import HIDDEN, filled, given, given_back, outline, outlined, worded
 from lexmill.operators.sentences import after, at, extended, first_child, first_id, found, is_phrase, is_word, last_id, nodes_where, parent, record, sentences, sibling, stage, text_of
 from lexmill.operators.verbs import with_verbs
 from lexmill.plans.shared import discard, written
@@ -242,22 +242,58 @@ def analysed_rows(rows: DataFrame) -> DataFrame:
 FOUND = ("verbs", "pps", "dps", "clauses", "tree", "resolved")
 
 
+def analysed_outlines(nodes: DataFrame, marks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sent_id, n, marks, outline; outline, n, marks, verbs, pps, dps, clauses, tree, resolved), tables: the sentences, and the analysis of one sentence of each outline, with lemmas hidden."""
+    rows = written(sentences(nodes, marks).withColumn("outline", outline()), "sentences")
+    first = rows.groupBy("outline").agg(F.min("sent_id").alias("__first"))
+    chosen = rows.join(first.select("__first"), F.col("sent_id").eqNullSafe(F.col("__first")), "left_semi")
+    spread = chosen.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "outline")  # few bytes, long work
+    return rows, analysed_rows(outlined(spread))
+
+
 def analysed(nodes: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """One row a sentence, as a table: sent_id, n, marks, verbs, pps, dps, clauses, tree, resolved.
 
     One sentence of each outline is analysed; the others take what was found there.
     """
-    rows = written(sentences(nodes, marks).withColumn("outline", outline()), "sentences")
-    first = rows.groupBy("outline").agg(F.min("sent_id").alias("__first"))
-    chosen = rows.join(first.select("__first"), F.col("sent_id").eqNullSafe(F.col("__first")), "left_semi")
-    spread = chosen.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "outline")  # few bytes, long work
-    bound = analysed_rows(outlined(spread))
+    rows, bound = analysed_outlines(nodes, marks)
     each = rows.join(bound.select("outline", *FOUND), "outline")
     whole = written(given_back(each).select("sent_id", "n", "marks", *FOUND), "analysed")
     discard(rows, bound)
     return whole
 
 
+def as_sentences(bound: DataFrame) -> DataFrame:
+    """Analysed outlines in place of sentences (sent_id: the outline), with words hidden."""
+    return bound.select(F.col("outline").alias("sent_id"), worded().alias("n"), "marks", *FOUND)
+
+
+def each_sentence(rows: DataFrame, found_there: DataFrame, texts: tuple[str, ...] = ("text",), lemmas: tuple[str, ...] = ()) -> DataFrame:
+    """What was found in outlines (sent_id: the outline) for each sentence, with its own words in texts and lemmas. rows: as of ``analysed_outlines``."""
+    own = rows.select("sent_id", "outline", F.col("n.word").alias("words"), F.col("n.lemma").alias("lemmas"))
+    each = own.join(found_there.withColumnRenamed("sent_id", "outline"), "outline")
+    put = {**{c: filled(F.col(c)) for c in texts}, **{c: given(F.col(c)) for c in lemmas}}
+    return each.select("sent_id", *[put.get(c, F.col(c)).alias(c) for c in found_there.columns if c != "sent_id"])
+
+
+def kinds_of_sentences(rows: DataFrame, bound: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sent_id, words, kind; rows as of ``analysed``, a table, sent_id: the kind, words hidden).
+
+    Sentences with one outline and the same lemmas of verbs and of words that open clauses
+    are of one kind: no more is looked at up to the meaning graph. rows, bound: as of
+    ``analysed_outlines``.
+    """
+    asked = F.filter(F.flatten(F.transform("clauses", lambda c: F.array(c["verb"]["lemma"], c["word"]))), lambda x: x.startswith(HIDDEN))
+    found = bound.withColumn("asked", F.array_distinct(F.transform(asked, lambda x: F.substring(x, 2, 10).cast("int"))))
+    own = rows.select("sent_id", "outline", F.col("n.word").alias("words"), F.col("n.lemma").alias("lemmas")).join(found.select("outline", "asked"), "outline")
+    own = own.withColumn("said", F.transform("asked", lambda i: F.get("lemmas", i)))
+    own = own.withColumn("kind", F.sha2(F.to_json(F.struct("outline", "said")), 256))
+    kinds = own.select("kind", "outline", "said").distinct().join(found, "outline")
+    lemma = lambda x: F.coalesce(F.get("said", F.array_position("asked", x["id"]).cast("int") - 1), x["lemma"])
+    kinds = given_back(kinds.withColumn("n", F.transform(worded(), lambda x: x.withField("lemma", lemma(x)))))
+    return own.select("sent_id", "words", "kind"), written(kinds.select(F.col("kind").alias("sent_id"), "n", "marks", *FOUND), "kinds")
+
+
 def referents(rows: DataFrame) -> DataFrame:
     """sent_id, root_b, root_e, i, kind (DP, CP or WH), b, e, text: what each index of a tree stands for."""
     r = F.col("x.r")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators.clauses import _entry, _phrase, clause_heads
 from lexmill.operators.noun_phrases import head_range, head_text
+from lexmill.operators.outlines import filled
 from lexmill.operators.sentences import found, stage, text_of
 from lexmill.plans.shared import written
 
@@ -95,6 +96,23 @@ def meaning_graph(frames: DataFrame, clauses: DataFrame, phrases: DataFrame, par
     relations: prep, frame, role0, role1, prio: what a preposition inside of a phrase
     stands for, besides those of ``INSIDE``.
     """
+    vertices, edges = named_graph(frames, clauses, phrases, parts, linked, relations)
+    return vertices.withColumn("t", F.array_min("told")).select(*VERTEX), edges
+
+
+def graph_of_sentences(each: DataFrame, vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``meaning_graph``, from the ``named_graph`` of kinds of sentences. each: sent_id, words, kind (see ``clauses.kinds_of_sentences``)."""
+    own = lambda t: t.withField("text", F.when(t["kind"] == "entity", filled(t["text"])).otherwise(t["text"]))
+    said = each.join(vertices.withColumnRenamed("sent_id", "kind"), "kind").withColumn("t", F.array_min(F.transform("told", own)))
+    joined = each.select("sent_id", "kind").join(edges.withColumnRenamed("sent_id", "kind"), "kind")
+    return said.select(*VERTEX), joined.select(*edges.columns)
+
+
+VERTEX = ["sent_id", "id", "t.kind", "b", "e", "t.head_b", "t.head_e", "frame", "t.text"]
+
+
+def named_graph(frames: DataFrame, clauses: DataFrame, phrases: DataFrame, parts: DataFrame, linked: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vertices: sent_id, name, id, b, e, frame, told (array of text, kind, head_b, head_e: all that the tables say of it, of which the least counts); edges as of ``meaning_graph``), tables."""
     int_none, none = F.lit(None).cast("int"), F.lit(None).cast("string")
     phrases = written(phrases, "phrases")
     roles = written(_role_parts(frames, clauses, phrases, parts), "roles")
@@ -119,8 +137,10 @@ def meaning_graph(frames: DataFrame, clauses: DataFrame, phrases: DataFrame, par
     inner_predicates = put(inner, _name("in", b, e), "relation", 3, b, e, int_none, int_none, F.col("rel.f"), F.lit(""))
     inner_entities = entity(inner.where("kind = 'entity'"), _name("at", b, e), b, e, F.col("text"))
     every = predicates.unionByName(entities).unionByName(inner_entities).unionByName(silent).unionByName(inner_predicates).unionByName(linkers)
-    first = Window.partitionBy("sent_id", "name").orderBy("order", "b", "e", "frame", "text")
-    once = every.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    first = ("order", "b", "e", "frame")
+    listed = every.groupBy("sent_id", "name").agg(F.collect_list(F.struct(F.struct(*first).alias("first"), F.struct("text", "kind", "head_b", "head_e").alias("told"))).alias("x"))
+    once = listed.withColumn("first", F.array_min(F.transform("x", lambda x: x["first"])))
+    once = once.withColumn("told", F.transform(F.filter("x", lambda x: x["first"].eqNullSafe(F.col("first"))), lambda x: x["told"])).select("sent_id", "name", "first.*", "told")
     vertices = written(once.withColumn("id", F.row_number().over(Window.partitionBy("sent_id").orderBy("order", "b", "e", "name"))), "vertices")
 
     edge = lambda rows, role, modifier, prep, src, dst: rows.select("sent_id", role.alias("role"), F.lit(modifier).alias("modifier") if isinstance(modifier, bool) else modifier.alias("modifier"), prep.alias("prep"), src.alias("src"), dst.alias("dst"))
@@ -136,4 +156,5 @@ def meaning_graph(frames: DataFrame, clauses: DataFrame, phrases: DataFrame, par
     )
     ids = vertices.select("sent_id", "name", "id")
     edges = named.distinct().join(ids.select("sent_id", F.col("name").alias("src"), F.col("id").alias("__src")), ["sent_id", "src"]).join(ids.select("sent_id", F.col("name").alias("dst"), F.col("id").alias("__dst")), ["sent_id", "dst"])
-    return vertices.select("sent_id", "id", "kind", "b", "e", "head_b", "head_e", "frame", "text"), edges.select("sent_id", "role", "modifier", "prep", F.col("__src").alias("src"), F.col("__dst").alias("dst"))
+    edges = edges.select("sent_id", "role", "modifier", "prep", F.col("__src").alias("src"), F.col("__dst").alias("dst"))
+    return vertices.select("sent_id", "name", "id", "b", "e", "frame", "told"), written(edges, "edges")

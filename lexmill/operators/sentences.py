@@ -30,8 +30,9 @@ def sentences(nodes: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     leaf = F.col("is_leaf")
     tag = F.when(leaf, F.col("tag")).otherwise(plain_tag(F.col("tag")))
     node = F.struct(F.col("node_id").alias("id"), F.col("last_id").alias("last"), F.col("parent_id").alias("parent"), "ord", tag.alias("tag"), leaf.alias("leaf"), "word", F.coalesce("lemma", F.lit("")).alias("lemma"), "b", (F.col("e") - 1).alias("e"))
-    listed = nodes.groupBy("sent_id").agg(F.array_sort(F.collect_list(node)).alias("_n"))
-    whole = stage(listed, n=extended("_n", kid=lambda x: F.get(F.filter("_n", lambda y: (y["parent"] == x["id"]) & (y["last"] == x["last"])), 0)["id"])).drop("_n")
+    listed = nodes.groupBy("sent_id").agg(F.sort_array(F.collect_list(node)).alias("_n"))
+    listed = stage(listed, _ends=F.transform("_n", lambda y: F.when(at(y["parent"], "_n")["last"] == y["last"], y["parent"])))  # of each last child its parent
+    whole = stage(listed, n=extended("_n", kid=lambda x: at(F.array_position("_ends", x["id"]).cast("int") - 1, "_n")["id"])).drop("_n", "_ends")
     kind = "array<struct<b: int, e: int, kind: string>>"
     if marks is None:
         return whole.withColumn("marks", F.expr(f"cast(array() as {kind})"))

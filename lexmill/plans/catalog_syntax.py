@@ -25,6 +25,8 @@ SHAPES = (
     "(ROOT (S (NP (NP (NNP C)) (, ,) (NP (NP (DT a) (NN firm)) (PP (IN of) (NP (NNP N)))) (, ,)) (VP (VBZ has) (VP (VBN bought) (NP (NN G)) (NP-TMP (DT this) (NN week)))) (. .)))",
 )
 LEMMAS = {"wants": "want", "was": "be", "bought": "buy", "met": "meet", "left": "leave", "told": "tell", "them": "they", "buys": "buy", "said": "say", "sold": "sell", "made": "make", "prices": "price", "rose": "rise", "has": "have", "He": "he", "The": "the"}
+#: Sentences of a task.
+SENTENCES = 20_000
 #: shape, first word, end, kind.
 MARKS = ((0, 0, 1, "Org"), (1, 5, 6, "Org"), (7, 0, 1, "Org"), (7, 10, 12, "Time"))
 
@@ -32,7 +34,8 @@ MARKS = ((0, 0, 1, "Org"), (1, 5, 6, "Org"), (7, 0, 1, "Org"), (7, 10, 12, "Time
 def sentences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Node rows with lemmas, and marks."""
     said = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    said = said.select(F.col("c_custkey").alias("sent_id"), (F.col("c_custkey") % len(SHAPES)).cast("int").alias("shape"), F.col("c_name").alias("C"), F.col("c_mktsegment").alias("G"), F.translate("n_name", " ", "_").alias("N"))
+    pieces = max(spark.sparkContext.defaultParallelism, read(spark, sf_dir, "customer").count() // SENTENCES)
+    said = said.select(F.col("c_custkey").alias("sent_id"), (F.col("c_custkey") % len(SHAPES)).cast("int").alias("shape"), F.col("c_name").alias("C"), F.col("c_mktsegment").alias("G"), F.translate("n_name", " ", "_").alias("N")).repartition(pieces, "sent_id")  # nodes are gathered where they are made, so they are not shuffled
     rows = [(k, n["node_id"], n["last_id"], n["parent_id"], n["ord"], n["depth"], n["tag"], n["word"], LEMMAS.get(n["word"], n["word"]), n["b"], n["e"], n["is_leaf"]) for k, shape in enumerate(SHAPES) for n in penn.parse(shape)]
     shapes = spark.createDataFrame(rows, "shape int, node_id int, last_id int, parent_id int, ord int, depth int, tag string, word string, lemma string, b int, e int, is_leaf boolean")
     put = lambda c: F.when(F.col(c) == "C", F.col("C")).when(F.col(c) == "G", F.col("G")).when(F.col(c) == "N", F.col("N")).otherwise(F.col(c))
@@ -45,6 +48,10 @@ def analysed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clauses.analysed(*sentences(spark, sf_dir))
 
 
+def analysed_outlines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return clauses.analysed_outlines(*sentences(spark, sf_dir))
+
+
 _SAID = """WITH said AS (SELECT c_custkey AS sent_id, c_custkey % 8 AS shape, c_name, c_mktsegment, replace(n_name, ' ', '_') AS n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
 """
 
@@ -155,10 +162,11 @@ def lexicon(spark: SparkSession) -> dict[str, DataFrame]:
 
 
 def graph_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = analysed_sentences(spark, sf_dir)
-    tree, parts, words = clauses.clause_tree(rows), clauses.clause_parts(rows), lexicon(spark)
+    each, kinds = clauses.kinds_of_sentences(*analysed_outlines(spark, sf_dir))
+    tree, parts, words = clauses.clause_tree(kinds), clauses.clause_parts(kinds), lexicon(spark)
     matched = written(frames.match_frames(tree, parts, words), "frames")
-    return meaning_graph.meaning_graph(matched, tree, meaning_graph.phrases(rows), parts, frames.linked_clauses(tree, parts), words["relations"])
+    graph = meaning_graph.named_graph(matched, tree, meaning_graph.phrases(kinds), parts, frames.linked_clauses(tree, parts), words["relations"])
+    return meaning_graph.graph_of_sentences(each, *graph)
 
 
 @query(_SAID + f"""known(shape, id, kind, b, e, head_b, head_e, frame, text) AS (VALUES

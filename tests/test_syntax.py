@@ -5,7 +5,8 @@ from pathlib import Path
 
 import pytest
 
-from lexmill.operators import clauses, noun_phrases, sentences, trees, verbs
+from lexmill.operators import clauses, frames, meaning_graph, noun_phrases, sentences, trees, verbs
+from lexmill.plans import catalog_syntax
 from lexmill.sources import penn
 
 CASES = [json.loads(line) for line in (Path(__file__).parent / "parsed_sentences.jsonl").read_text().splitlines()]
@@ -92,3 +93,46 @@ def test_sentences_that_differ_in_other_words_are_analysed_once(spark, monkeypat
     assert len(plain) == 99 and found == plain
     assert len([i for i in seen if 1000 <= i < 2000]) == 1
     assert [v["lemma"] for v in found[1007]["verbs"]] == ["met7", "z"]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def all_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def worded(spark):
+    """Nodes and marks of the known sentences, and of 30 that differ in words: names, a verb, a word that opens a clause, an adverb."""
+    tree = "(ROOT (S (NP (NP (NNP N{i})) (, ,) (NP (NP (DT a) (NN f{i})) (PP (IN of) (NP (NNP {n})))) (, ,)) (VP (VBD met{k}) (NP (PRP$ his) (NN x{i})) (ADVP (RB {adverb})) (SBAR (IN {opener}) (S (NP (PRP it)) (VP (TO to) (VP (VB leave)))))) (. .)))"
+    more = [(1000 + i, {"tree": tree.format(i=i, k=i % 3, n="ZA"[i % 2] + str(i), adverb=("Up", "there")[i % 2], opener=("after", "that", "as")[i % 3]), "lemmas": {"6": "", "7": ("sell", "go", "\0 7")[i % 3]}, "marks": [[0, 1, "Org"]]}) for i in range(30)]
+    return parsed(spark, [(i, c) for i, c in enumerate(CASES)] + more)
+
+
+@pytest.fixture(scope="module")
+def outlines(worded):
+    return clauses.analysed_outlines(*worded)
+
+
+@pytest.fixture(scope="module")
+def plain(worded):
+    return clauses.analysed(*worded)
+
+
+def graph_of(spark, rows, make):
+    tree, parts, words = clauses.clause_tree(rows), clauses.clause_parts(rows), catalog_syntax.lexicon(spark)
+    return make(frames.match_frames(tree, parts, words), tree, meaning_graph.phrases(rows), parts, frames.linked_clauses(tree, parts), words["relations"])
+
+
+def test_graphs_are_made_once_a_kind_of_sentence(spark, outlines, plain):
+    each, kinds = clauses.kinds_of_sentences(*outlines)
+    found = meaning_graph.graph_of_sentences(each, *graph_of(spark, kinds, meaning_graph.named_graph))
+    assert [all_of(t) for t in found] == [all_of(t) for t in graph_of(spark, plain, meaning_graph.meaning_graph)]
+    assert each.where("sent_id >= 1000").select("kind").distinct().count() <= 6
+    assert any(r[0] >= 1000 and "N9" in str(r[-1]) for r in all_of(found[0]))
+
+
+def test_nodes_are_gathered_where_they_are_made(spark):
+    plan = sentences.sentences(*catalog_syntax.sentences(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(sent_id") == plan.count("REPARTITION_BY_NUM") > 0, plan
