@@ -360,3 +360,8 @@ def clause_parts(rows: DataFrame) -> DataFrame:
     noun = lambda field: F.when(F.col("kind") == "DP", F.col(f"noun.{field}")).alias(field)
     tails = [tail["prep"].alias("prep"), tail["time"].alias("time"), F.when(tail["id"].isNotNull(), tail["clause_b"].isNotNull()).alias("gerund"), F.coalesce(tail["clause_b"], F.col("inside.b")).alias("obj_b"), F.coalesce(tail["clause_e"], F.col("inside.e")).alias("obj_e")]
     return written(rows.select("sent_id", "verb_idx", "role", "ord", "kind", "trace", "i", "b", "e", "free", noun("det"), noun("person"), text.alias("text"), *tails, "word", "infinitive"), "clause-parts")
+
+
+def parts_of_sentences(rows: DataFrame, bound: DataFrame) -> DataFrame:
+    """As ``clause_parts`` of ``analysed``, with the parts looked up once an outline. rows, bound: as of ``analysed_outlines``."""
+    return each_sentence(rows, clause_parts(as_sentences(bound)), lemmas=("word",))

@@ -116,7 +116,7 @@ def clause_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
   (7, 8, 'complement', 0, 'DP', NULL, NULL, 9, 9, '<G>'), (7, 8, 'complement', 1, 'PP', NULL, NULL, 10, 11, ''), (7, 8, 'subject', 0, 'DP', NULL, NULL, 0, 6, '<C>'))
 SELECT sent_id, verb_idx, role, ord, kind, trace, i, b, e, {_put('text')} AS text FROM said JOIN known USING (shape)""")
 def clause_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clauses.clause_parts(analysed_sentences(spark, sf_dir)).select("sent_id", "verb_idx", "role", "ord", "kind", "trace", "i", "b", "e", "text")
+    return clauses.parts_of_sentences(*analysed_outlines(spark, sf_dir)).select("sent_id", "verb_idx", "role", "ord", "kind", "trace", "i", "b", "e", "text")
 
 
 @query(_SAID + f"""known(shape, root_b, root_e, i, kind, b, e, text) AS (VALUES

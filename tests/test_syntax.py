@@ -136,3 +136,10 @@ def test_graphs_are_made_once_a_kind_of_sentence(spark, outlines, plain):
 def test_nodes_are_gathered_where_they_are_made(spark):
     plan = sentences.sentences(*catalog_syntax.sentences(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(sent_id") == plan.count("REPARTITION_BY_NUM") > 0, plan
+
+
+def test_parts_are_looked_up_once_an_outline(outlines, plain):
+    found = clauses.clause_parts(clauses.as_sentences(outlines[1]))
+    each = clauses.each_sentence(outlines[0], found, lemmas=("word",))
+    assert all_of(clauses.parts_of_sentences(*outlines)) == all_of(each) == all_of(clauses.clause_parts(plain))
+    assert found.count() < each.count() - 90
