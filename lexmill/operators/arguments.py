@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.tags import ADVERBS, NOUNS, TRACE
 from lexmill.operators.lexicon import SLOTS
+from lexmill.operators.outlines import filled, worded
 from lexmill.operators.sentences import after, at, extended, first_id, found, is_phrase, is_word, nodes_where, parent, stage
 from lexmill.plans.shared import written
 
@@ -46,8 +47,15 @@ def argument_codes(rows: DataFrame, arguments: DataFrame) -> DataFrame:
     without a clause gives no place and no voice. A trace is judged by its phrase; an
     argument whose phrase is not in the tree is left out.
     """
-    asked = arguments.groupBy("sent_id").agg(F.collect_list(F.struct("verb_idx", "label", "idx", "h")).alias("asked"))
-    rows = rows.select("sent_id", "n", "clauses").join(asked, "sent_id")
+    return _codes(rows.select("sent_id", "n", "clauses").join(_asked(arguments), "sent_id"))
+
+
+def _asked(arguments: DataFrame) -> DataFrame:
+    return arguments.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("verb_idx", "label", "idx", "h"))).alias("asked"))
+
+
+def _codes(rows: DataFrame) -> DataFrame:
+    """As ``argument_codes``. rows: sent_id, n, clauses, asked."""
     above = lambda a: nodes_where(lambda y: (y["b"] <= a["idx"]) & (y["e"] >= a["idx"]))
     rows = stage(rows, _a1=extended("asked", path=above))
     rows = stage(rows, _a2=extended("_a1", named=lambda a: F.get(a["path"], F.size(a["path"]) - 1 - a["h"]), clause=lambda a: found("clauses", lambda c: at(c["verb"]["id"])["b"] == a["verb_idx"])))
@@ -71,3 +79,16 @@ def argument_patterns(codes: DataFrame) -> DataFrame:
     """sent_id, verb_idx, voice, arg0 to arg4: one row a verb; of an argument given twice the first by place."""
     first = [F.min(F.when(F.col("label") == s, F.struct("b", "e", "code")))["code"].alias(s) for s in SLOTS]
     return codes.groupBy("sent_id", "verb_idx").agg(F.max("voice").alias("voice"), *first)
+
+
+def patterns_of_sentences(rows: DataFrame, bound: DataFrame, arguments: DataFrame) -> DataFrame:
+    """As ``argument_patterns`` of the codes of all sentences; sentences of one outline with the same arguments are looked at once. rows, bound: as of ``clauses.analysed_outlines``."""
+    each = rows.select("sent_id", "outline", F.col("n.word").alias("words")).join(_asked(arguments), "sent_id")
+    each = written(each.withColumn("kind", F.sha2(F.to_json(F.struct("outline", "asked")), 256)), "asked")
+    kinds = each.select("kind", "outline", "asked").distinct().join(bound.select("outline", worded().alias("n"), "clauses"), "outline")
+    codes = _codes(kinds.select(F.col("kind").alias("sent_id"), "n", "clauses", "asked"))
+    listed = [F.collect_list(F.when(F.col("label") == s, F.struct("b", "e", "code"))).alias(s) for s in SLOTS]
+    found = written(codes.groupBy("sent_id", "verb_idx").agg(F.max("voice").alias("voice"), *listed).withColumnRenamed("sent_id", "kind"), "kinds")
+    own = lambda x: x.withField("code", F.when(x["code"].startswith("??("), x["code"]).otherwise(filled(x["code"], change=F.lower)))
+    first = [F.array_min(F.transform(s, own))["code"].alias(s) for s in SLOTS]
+    return each.select("sent_id", "kind", "words").join(found, "kind").select("sent_id", "verb_idx", "voice", *first)

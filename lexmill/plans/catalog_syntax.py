@@ -211,7 +211,7 @@ ARGUMENTS = (
   (4, 5, 'Active', 'NP-SBJ', 'S', NULL, NULL, NULL), (5, 4, 'Passive', NULL, NULL, 'PP-in', NULL, NULL), (6, 3, 'Active', 'NP-SBJ', 'NP-1', NULL, 'SBAR', NULL), (7, 8, 'Active', 'NP-SBJ', 'NP-1', NULL, NULL, NULL))
 SELECT sent_id, verb_idx, voice, arg0, arg1, arg2, arg3, arg4 FROM said JOIN known USING (shape)""")
 def argument_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, _ = sentences(spark, sf_dir)
+    nodes, marks = sentences(spark, sf_dir)
     shapes = F.broadcast(spark.createDataFrame(ARGUMENTS, "shape int, verb_idx int, label string, idx int, h int"))
     asked = nodes.where("parent_id is null").select("sent_id", (F.col("sent_id") % len(SHAPES)).cast("int").alias("shape")).join(shapes, "shape").drop("shape")
-    return arguments.argument_patterns(arguments.argument_codes(analysed_sentences(spark, sf_dir), asked))
+    return arguments.patterns_of_sentences(*clauses.analysed_outlines(nodes, marks), asked)

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from lexmill.operators import clauses, frames, meaning_graph, noun_phrases, sentences, trees, verbs
+from lexmill.operators import arguments, clauses, frames, meaning_graph, noun_phrases, sentences, trees, verbs
 from lexmill.plans import catalog_syntax
 from lexmill.sources import penn
 
@@ -143,3 +143,11 @@ def test_parts_are_looked_up_once_an_outline(outlines, plain):
     each = clauses.each_sentence(outlines[0], found, lemmas=("word",))
     assert all_of(clauses.parts_of_sentences(*outlines)) == all_of(each) == all_of(clauses.clause_parts(plain))
     assert found.count() < each.count() - 90
+
+
+def test_argument_patterns_are_found_once_a_kind_of_sentence(spark, outlines, plain):
+    asked = [(i, b, label, idx, h) for i in [*range(len(CASES)), *range(1000, 1030)] for b in (1, 7) for label, idx, h in (("arg0", 0, 1), ("arg0", 0, 2), ("arg1", 10, 1), ("arg2", 4, 1), ("arg3", i % 4, 0), ("arg4", 11, 1))]
+    asked = spark.createDataFrame(asked, "sent_id long, verb_idx int, label string, idx int, h int")
+    found = all_of(arguments.patterns_of_sentences(*outlines, asked))
+    assert found == all_of(arguments.argument_patterns(arguments.argument_codes(plain, asked)))
+    assert any("ADVP-up" in r for r in found) and any("ADVP-there" in r for r in found)
