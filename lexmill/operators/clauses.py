@@ -365,3 +365,8 @@ def clause_parts(rows: DataFrame) -> DataFrame:
 def parts_of_sentences(rows: DataFrame, bound: DataFrame) -> DataFrame:
     """As ``clause_parts`` of ``analysed``, with the parts looked up once an outline. rows, bound: as of ``analysed_outlines``."""
     return each_sentence(rows, clause_parts(as_sentences(bound)), lemmas=("word",))
+
+
+def referents_of_sentences(rows: DataFrame, bound: DataFrame) -> DataFrame:
+    """As ``referents`` of ``analysed``, with texts looked up once an outline. rows, bound: as of ``analysed_outlines``."""
+    return each_sentence(rows, referents(as_sentences(bound)))

@@ -127,7 +127,7 @@ def clause_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
   (5, 0, 7, 0, 'DP', 2, 6, '<G>'))
 SELECT sent_id, root_b, root_e, i, kind, b, e, {_put('text')} AS text FROM said JOIN known USING (shape)""")
 def clause_referents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clauses.referents(analysed_sentences(spark, sf_dir))
+    return clauses.referents_of_sentences(*analysed_outlines(spark, sf_dir))
 
 
 # Frames and meaning graphs of these sentences, by a small lexicon: lemma, frame, its roles in order, the codes of their slots.

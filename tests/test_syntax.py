@@ -145,6 +145,10 @@ def test_parts_are_looked_up_once_an_outline(outlines, plain):
     assert found.count() < each.count() - 90
 
 
+def test_referents_are_looked_up_once_an_outline(outlines, plain):
+    assert all_of(clauses.referents_of_sentences(*outlines)) == all_of(clauses.referents(plain))
+
+
 def test_argument_patterns_are_found_once_a_kind_of_sentence(spark, outlines, plain):
     asked = [(i, b, label, idx, h) for i in [*range(len(CASES)), *range(1000, 1030)] for b in (1, 7) for label, idx, h in (("arg0", 0, 1), ("arg0", 0, 2), ("arg1", 10, 1), ("arg2", 4, 1), ("arg3", i % 4, 0), ("arg4", 11, 1))]
     asked = spark.createDataFrame(asked, "sent_id long, verb_idx int, label string, idx int, h int")
