@@ -70,3 +70,11 @@ def test_predicates_are_grouped_where_their_lines_are(spark):
         dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(lemma" in line and "REPARTITION_BY_NUM" in line]
         own = [line for line in plan.splitlines() if "Exchange hashpartitioning(lemma" in line and ("seq" in line or "o_orderkey" in line)]
         assert len(dealt) == 1 and not own, plan
+
+
+def test_parts_of_lines_grow_in_number(spark, monkeypatch):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    monkeypatch.setattr(catalog_resources, "LINES", lines // 200)
+    plan = catalog_resources.predicate_rolesets(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert len(dealt) == 3 and all(f", {lines // (lines // 200)})" in line or f", {lines // (lines // 200)}," in line for line in dealt), plan
