@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lexmill.functions.tags import ADJECTIVES, NOUNS
 from lexmill.operators.noun_phrases import head_text, noun_phrase_at, split, with_noun_phrases
 from lexmill.operators.outlines import HIDDEN, filled, given, given_back, outline, outlined, worded
-from lexmill.operators.sentences import after, at, extended, first_child, first_id, found, is_phrase, is_word, last_id, nodes_where, parent, record, sentences, sibling, stage, text_of
+from lexmill.operators.sentences import after, at, extended, first_child, first_id, found, gathered, is_phrase, is_word, last_id, nodes_where, parent, record, sibling, stage, text_of, with_kids
 from lexmill.operators.verbs import with_verbs
 from lexmill.plans.shared import discard, written
 
@@ -243,12 +243,14 @@ FOUND = ("verbs", "pps", "dps", "clauses", "tree", "resolved")
 
 
 def analysed_outlines(nodes: DataFrame, marks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(sent_id, n, marks, outline; outline, n, marks, verbs, pps, dps, clauses, tree, resolved), tables: the sentences, and the analysis of one sentence of each outline, with lemmas hidden."""
-    rows = written(sentences(nodes, marks).withColumn("outline", outline()), "sentences")
-    first = rows.groupBy("outline").agg(F.min("sent_id").alias("__first"))
+    """(sent_id, n (as of ``gathered``), marks, outline; outline, n, marks, verbs, pps, dps, clauses, tree, resolved), tables: the sentences, and the analysis of one sentence of each outline, with lemmas hidden."""
+    rows = written(gathered(nodes, marks).withColumn("outline", outline()), "sentences")
+    first = written(rows.groupBy("outline").agg(F.min("sent_id").alias("__first")), "firsts")  # a table, so that its size is known, and sentences stay where they are if it is small
     chosen = rows.join(first.select("__first"), F.col("sent_id").eqNullSafe(F.col("__first")), "left_semi")
     spread = chosen.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "outline")  # few bytes, long work
-    return rows, analysed_rows(outlined(spread))
+    bound = analysed_rows(outlined(with_kids(spread)))
+    discard(first)
+    return rows, bound
 
 
 def analysed(nodes: DataFrame, marks: DataFrame | None = None) -> DataFrame:
@@ -257,7 +259,7 @@ def analysed(nodes: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     One sentence of each outline is analysed; the others take what was found there.
     """
     rows, bound = analysed_outlines(nodes, marks)
-    each = rows.join(bound.select("outline", *FOUND), "outline")
+    each = with_kids(rows).join(bound.select("outline", *FOUND), "outline")
     whole = written(given_back(each).select("sent_id", "n", "marks", *FOUND), "analysed")
     discard(rows, bound)
     return whole

@@ -21,18 +21,16 @@ from lexmill.functions.text import plain_tag
 NODES = "n"
 
 
-def sentences(nodes: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+def gathered(nodes: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """sent_id, n, marks: one row a sentence. nodes: node rows (see ``sources.penn``) with ``lemma``; marks: sent_id, b, e (half-open), kind.
 
     In ``n`` tags of phrases are without function marks, ``e`` is the last word of a
-    node, included, ``kid`` its last child. ``kind`` is Time or the class of a named thing.
+    node, included. ``kind`` is Time or the class of a named thing.
     """
     leaf = F.col("is_leaf")
     tag = F.when(leaf, F.col("tag")).otherwise(plain_tag(F.col("tag")))
     node = F.struct(F.col("node_id").alias("id"), F.col("last_id").alias("last"), F.col("parent_id").alias("parent"), "ord", tag.alias("tag"), leaf.alias("leaf"), "word", F.coalesce("lemma", F.lit("")).alias("lemma"), "b", (F.col("e") - 1).alias("e"))
-    listed = nodes.groupBy("sent_id").agg(F.sort_array(F.collect_list(node)).alias("_n"))
-    listed = stage(listed, _ends=F.transform("_n", lambda y: F.when(at(y["parent"], "_n")["last"] == y["last"], y["parent"])))  # of each last child its parent
-    whole = stage(listed, n=extended("_n", kid=lambda x: at(F.array_position("_ends", x["id"]).cast("int") - 1, "_n")["id"])).drop("_n", "_ends")
+    whole = nodes.groupBy("sent_id").agg(F.sort_array(F.collect_list(node)).alias("n"))
     kind = "array<struct<b: int, e: int, kind: string>>"
     if marks is None:
         return whole.withColumn("marks", F.expr(f"cast(array() as {kind})"))
@@ -41,6 +39,18 @@ def sentences(nodes: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     return whole.join(listed, "sent_id", "left").withColumn("marks", F.coalesce("marks", F.expr(f"cast(array() as {kind})")))
 
 
+def with_kids(rows: DataFrame) -> DataFrame:
+    """Adds to each node of ``gathered`` rows ``kid``, its last child."""
+    listed = stage(rows.withColumnRenamed("n", "_n"), _ends=F.transform("_n", lambda y: F.when(at(y["parent"], "_n")["last"] == y["last"], y["parent"])))  # of each last child its parent
+    whole = stage(listed, n=extended("_n", kid=lambda x: at(F.array_position("_ends", x["id"]).cast("int") - 1, "_n")["id"]))
+    return whole.select(*rows.columns)
+
+
+def sentences(nodes: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """As ``gathered``, with each node's last child."""
+    return with_kids(gathered(nodes, marks))
+
+
 def stage(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with columns that are computed here and now, once a row."""
     return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))

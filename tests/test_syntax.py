@@ -4,8 +4,10 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.operators import arguments, clauses, frames, meaning_graph, noun_phrases, sentences, trees, verbs
+from lexmill.operators import outlines as outlines_of
 from lexmill.plans import catalog_syntax
 from lexmill.sources import penn
 
@@ -138,6 +140,28 @@ def test_nodes_are_gathered_where_they_are_made(spark):
     assert plan.count("Exchange hashpartitioning(sent_id") == plan.count("REPARTITION_BY_NUM") > 0, plan
 
 
+def test_sentences_stay_where_they_are_when_one_of_each_outline_is_found(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(clauses, "analysed_rows", lambda rows: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or rows)
+    nodes, marks = catalog_syntax.sentences(spark, "/root/testdata/sf0.01")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")  # more than eight outlines take, less than 1500 sentences
+    try:
+        rows, chosen = clauses.analysed_outlines(nodes, marks)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0] and "hashpartitioning(sent_id" not in plans[0], plans[0]
+    assert (rows.count(), rows.select("outline").distinct().count()) == (1500, 8)
+
+
+def test_outlines_are_taken_without_last_children(worded):
+    rows = sentences.gathered(*worded)
+    whole = sentences.with_kids(rows)
+    assert all_of(rows.select("sent_id", outlines_of.outline())) == all_of(whole.select("sent_id", outlines_of.outline()))
+    plain = outlines_of.outlined(whole).withColumn("outline", outlines_of.outline()).select("outline", F.to_json(F.struct("n", "marks")).alias("p")).distinct()
+    assert plain.count() == plain.select("outline").distinct().count() == plain.select("p").distinct().count()
+
+
 def test_parts_are_looked_up_once_an_outline(outlines, plain):
     found = clauses.clause_parts(clauses.as_sentences(outlines[1]))
     each = clauses.each_sentence(outlines[0], found, lemmas=("word",))
